@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, warc
+from . import chat, decontaminate, language, licences, line_rules, mixing, quality, sharding, warc
 from .common import table
 
 DOMAINS = ("web", "books", "code", "news")
@@ -36,11 +36,36 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("headers", told)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior, score and decision for every document."""
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and cross-document line frequency over all documents; a document's host is its source."""
+    return line_rules.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to MIX_WEIGHTS, 60 % of the corpus's tokens, at most two epochs."""
     return mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items: 13-word windows, contaminated from 5 % of the words on."""
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that aren't held out."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and notices of licences in all documents."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1, whose texts hold control strings."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -56,7 +81,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_line_frequency": op4_line_frequency,
     "op5_mixing": op5_mixing,
+    "op6_decontamination": op6_decontamination,
+    "op7_language_id": op7_language_id,
+    "op8_licence_scan": op8_licence_scan,
     "op9_chat_format": op9_chat_format,
     "op10_sharding": op10_sharding,
 }

@@ -103,8 +103,85 @@ SELECT conv_id, count(*) AS n_turns,
 FROM laid GROUP BY conv_id
 """
 
+#: Words of a text, A-Z lower-cased.
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = rf"""
+WITH items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+grams AS (
+  SELECT DISTINCT item_id::VARCHAR AS item, array_to_string(w[i + 1:i + 13], ' ') AS gram, least(len(w), 13) AS n
+  FROM items, unnest(range(greatest(len(w) - 13, 0) + 1)) u(i) WHERE len(w) > 0),
+docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM grams),
+places AS (
+  SELECT doc_id, i, n, array_to_string(w[i + 1:i + n], ' ') AS gram
+  FROM docs, sizes, unnest(range(greatest(len(w) - n + 1, 0))) u(i)),
+hits AS (SELECT doc_id, i, places.n, item FROM places JOIN grams USING (gram, n)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) u(p) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+OP4 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i + 1], w[i + 2], w[i + 3]) AS n
+  FROM docs, unnest(range(greatest(len(w) - 2, 0))) u(i)),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM grams, unnest(range(i, i + 3)) u(p) WHERE n > 1 GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, host, line, lw, array_to_string(lw, ' ') AS key FROM (
+    SELECT doc_id, host, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
+    FROM docs, unnest(string_split(text, chr(10))) u(line)) WHERE len(lw) > 0),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+sizes AS (SELECT host, count(*) AS n FROM docs GROUP BY host),
+often AS (
+  SELECT host, key FROM lines JOIN sizes USING (host) GROUP BY host, key, n
+  HAVING count(DISTINCT doc_id) >= 10 AND count(DISTINCT doc_id) * 1000 >= n * 10),
+gone AS (SELECT doc_id, sum(len(lw)) AS n FROM lines JOIN often USING (host, key) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed
+  FROM docs LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT * EXCLUDE (fine), NOT fine AS base_failed, fine AND (n_words - n_removed) * 100 >= n_words * 30 AS kept FROM (
+  SELECT *, n_words >= 50 AND n_repeat_words * 100 <= n_words * 50 AS fine FROM counts)
+"""
+
+
+def _op8() -> str:
+    from .licences import PHRASES, TEMPLATES, THRESHOLD
+
+    quoted = lambda pairs: ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in p) + ")" for p in pairs)
+    return rf"""
+WITH docs AS (SELECT doc_id, text, {WORDS} AS w FROM documents),
+phrases AS (SELECT {WORDS} AS p, label FROM (VALUES {quoted(PHRASES)}) v(text, label)),
+base AS (SELECT doc_id, i, label FROM docs, phrases, unnest(range(len(w))) u(i) WHERE w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p),
+templates AS (SELECT list_distinct({WORDS}) AS t, label FROM (VALUES {quoted(TEMPLATES)}) v(text, label)),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM docs),
+blocks AS (SELECT doc_id, list_distinct({WORDS}) AS b FROM lines),
+met AS (
+  SELECT doc_id, label, len(list_intersect(t, b)) / len(t) AS s FROM blocks, templates
+  WHERE 100 * len(list_intersect(t, b)) >= {THRESHOLD} * len(t)),
+b AS (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY doc_id),
+a AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(s) AS s
+  FROM (SELECT doc_id, label, 1.0 AS s FROM base UNION ALL SELECT doc_id, label, s FROM met) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, first_word, last_word,
+  coalesce(b.l, '') AS base_labels, coalesce(a.l, '') AS labels, coalesce(a.s, 0)::DOUBLE AS score
+FROM docs LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_warc_revisits": OP1,
+    "op4_line_frequency": OP4,
     "op5_mixing": OP5,
+    "op6_decontamination": OP6,
+    "op8_licence_scan": _op8(),
     "op9_chat_format": OP9,
 }
