@@ -6,7 +6,7 @@ each is right on good and on bad documents, and from that each document's
 probability of being good. These posteriors, as soft labels, train a linear
 scorer over hashed features, which decides.
 
-The pattern counts cover all documents; there are at most 3 ** 7 patterns, which
+The pattern counts cover all documents; there are at most 3 ** 9 patterns, which
 bounds what the driver receives. The scorer is fitted on a sample of at most
 TRAIN_ROWS documents, taken in order of a hash of doc_id.
 """
@@ -32,17 +32,21 @@ ship(__name__)
 TRAIN_ROWS = 8_000
 BUCKETS = 1 << 12
 KEEP_FROM = 0.5
-LABELLERS = ("symbols", "capitals", "repeats", "stutter", "lengths", "marks", "sentences")
+LABELLERS = ("symbols", "capitals", "repeats", "stutter", "lengths", "marks", "sentences", "separators", "connectives")
+#: Texts of fewer words say too little for most labellers.
+SHORT = 20
 
 _LOW, _UP, _NUM = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+")
 _MARKS = re.compile(rb"([^\w\s])\1(?:\s|$)", re.ASCII)
 _END = re.compile(rb"[.!?:;\"')\]][ \t\r]*$", re.MULTILINE)
+_ALONE = re.compile(rb"(?:^|(?<=\s))[!-/:-@\[-`{-~]+(?=\s|$)")
+_BRIEF = re.compile(rb"(?:^|(?<=\s))[A-Za-z\x80-\xff]{1,3}(?=[,.;:!?]*(?:\s|$))")
 _UPPER, _LETTERS = bytes(range(65, 91)), bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _SYMBOLS = b"#*$%&|<>{}[]\\^~=_@"
 
 
 def ratios(raw: bytes, words: list[bytes]) -> tuple[float, ...]:
-    """Shares that the labellers judge: symbols, capitals, repeats, stutter, word length, marks, line ends."""
+    """Shares that the labellers judge, in the order of LABELLERS."""
     n = max(1, len(words))
     solid = max(1, sum(map(len, words)))
     letters = len(raw) - len(raw.translate(None, _LETTERS))
@@ -55,23 +59,28 @@ def ratios(raw: bytes, words: list[bytes]) -> tuple[float, ...]:
         solid / n,
         len(_MARKS.findall(raw)) / n,
         len(_END.findall(raw)) / lines,
+        len(_ALONE.findall(raw)) / n,
+        len(_BRIEF.findall(raw)) / n,
     )
 
 
-def votes(r: tuple[float, ...]) -> tuple[int, ...]:
-    """1 for good, 0 for bad, 2 for no vote, in the order of LABELLERS."""
+def votes(n: int, r: tuple[float, ...]) -> tuple[int, ...]:
+    """1 for good, 0 for bad, 2 for no vote, in the order of LABELLERS; n: number of words."""
+    long = n >= SHORT
 
     def rising(x: float, good: float, bad: float) -> int:
         return 1 if x <= good else 0 if x >= bad else 2
 
     return (
         rising(r[0], 0.01, 0.04),
-        rising(r[1], 0.10, 0.30),
-        rising(r[2], 0.20, 0.45),
-        rising(r[3], 0.03, 0.15),
+        rising(r[1], 0.10, 0.30) if long else 2,
+        rising(r[2], 0.20, 0.45) if n >= 50 else 2,
+        rising(r[3], 0.03, 0.15) if long else 2,
         1 if 3 <= r[4] <= 9 else 0 if r[4] > 14 or r[4] < 1.5 else 2,
         rising(r[5], 0.03, 0.15),
         1 if r[6] >= 0.6 else 2,
+        rising(r[7], 0.03, 0.15) if long else 2,
+        (1 if r[8] >= 0.15 else 0 if r[8] < 0.06 else 2) if long else 2,
     )
 
 
@@ -86,8 +95,8 @@ def features(raw: bytes, words: list[bytes], r: tuple[float, ...]) -> dict[int,
     for shape, k in shapes.items():
         i = bucket(b"shape " + shape[:12])
         out[i] = out.get(i, 0.0) + k / len(words)
-    for name, x, width in zip(LABELLERS, r, (0.02, 0.1, 0.1, 0.05, 1.0, 0.05, 0.2), strict=True):
-        i = bucket(f"{name} {min(int(x / width), 12)}".encode())
+    for name, x, width in zip(LABELLERS, r, (0.02, 0.1, 0.1, 0.05, 1.0, 0.05, 0.2, 0.05, 0.05), strict=True):
+        i = bucket(f"{name} {min(int(x / width), 12)} {len(words) >= SHORT}".encode())
         out[i] = out.get(i, 0.0) + 1.0
     return out
 
@@ -103,7 +112,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             r = ratios(raw, words)
             f = features(raw, words, r)
-            rows.append((len(words), sum(v * 3**j for j, v in enumerate(votes(r))), list(f), list(f.values())))
+            rows.append((len(words), sum(v * 3**j for j, v in enumerate(votes(len(words), r))), list(f), list(f.values())))
         df = pd.DataFrame(rows, columns=["n_words", "pattern", "idx", "val"])
         df.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype="Int64"))
         yield df
