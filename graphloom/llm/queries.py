@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, licences, line_rules, mixing, quality, sharding, warc
+from . import chat, decontaminate, language, licences, line_rules, mixing, ngram_join, quality, sharding, warc
 from .common import table
 
 DOMAINS = ("web", "books", "code", "news")
@@ -41,6 +41,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose five-word shingles have a similarity of 0.75 or more."""
+    return ngram_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and cross-document line frequency over all documents; a document's host is its source."""
     return line_rules.digest(table(spark, sf_dir, "documents"))
@@ -82,6 +87,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_line_frequency": op4_line_frequency,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,

@@ -125,6 +125,24 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+OP3 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(list_transform(range(greatest(len(w) - 5, 0) + 1), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s
+  FROM docs WHERE len(w) > 0),
+classes AS (SELECT min(doc_id) AS rep, list_sort(s) AS s FROM sets GROUP BY list_sort(s)),
+member AS (SELECT doc_id, rep FROM sets JOIN classes ON list_sort(sets.s) = classes.s),
+toks AS (SELECT rep, len(s) AS n, unnest(s) AS t FROM classes),
+common AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS c FROM toks a JOIN toks b USING (t) WHERE a.rep < b.rep GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 75 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT rep AS node, rep AS root FROM classes UNION SELECT b, root FROM reach JOIN both_ways ON node = a),
+comp AS (SELECT node, min(root) AS comp FROM reach GROUP BY node)
+SELECT docs.doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, coalesce(comp, docs.doc_id) AS component_id
+FROM docs LEFT JOIN sets ON sets.doc_id = docs.doc_id LEFT JOIN member ON member.doc_id = docs.doc_id LEFT JOIN comp ON comp.node = member.rep
+"""
+
 OP4 = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host,
@@ -179,6 +197,7 @@ FROM docs LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 
 ORACLES: dict[str, str] = {
     "op1_warc_revisits": OP1,
+    "op3_ngram_jaccard_join": OP3,
     "op4_line_frequency": OP4,
     "op5_mixing": OP5,
     "op6_decontamination": OP6,
