@@ -101,7 +101,7 @@ def build(counts: pd.DataFrame) -> Trees:
     symbol[seen] = np.arange(len(seen))
     part = [symbol[(gram >> np.uint32(8 * k)) & np.uint32(255)].astype(np.int64) for k in range(ORDER + 1)]
     rank = {x: i for i, x in enumerate(langs)}
-    lang = counts["lang"].map(rank).to_numpy()
+    lang = counts["lang"].map(rank).to_numpy(dtype=np.int64)
     count = counts["n"].to_numpy(dtype=np.float64)
 
     # order -1: uniform over bytes; each unknown byte is one of those that share a number
