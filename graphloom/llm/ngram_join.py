@@ -31,6 +31,7 @@ Components are found by alternating large-star and small-star steps.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -69,29 +70,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Hasher(dict):
-    """64-bit hashes of words, remembered."""
+#: Text is hashed in slices of about this many bytes; a longer text is a slice of its own.
+SLICE = 4 << 20
+_BYTES = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_Q_INVERSE = np.uint64(pow(int(_Q), -1, 1 << 64))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base to the power of 0 to n - 1, modulo 2 ** 64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
-def shingles(text: str | None, hashes: Hasher) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; fewer than five words are one shingle, none none."""
-    words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b"\0".join(words), seed=1)], dtype=np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = len(w) - WORDS + 1
-    s = w[:n].copy()
-    for k in range(1, WORDS):
-        s = s * _P + w[k : n + k]
-    return np.unique(mix(s))
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of raw, A-Z as a-z.
+
+    The hash is a polynomial over the word's bytes, got from running sums over
+    the whole text, and mixed with the word's length.
+    """
+    b = np.frombuffer(raw, dtype=np.uint8)
+    solid = ~_SPACE[b]
+    edge = np.flatnonzero(np.diff(np.r_[False, solid, False]))
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[b] * powers(_Q, len(b)), out=total[1:])
+    h = (total[end] - total[start]) * powers(_Q_INVERSE, len(b) + 1)[start]
+    return start, mix(h + (end - start).astype(np.uint64) * _P)
+
+
+def slices(texts: Iterator[str | None]) -> Iterator[list[bytes]]:
+    """Texts as bytes, in lists of about SLICE bytes; null is empty."""
+    out, size = [], 0
+    for t in texts:
+        raw = b"" if t is None else t.encode("utf-8", "surrogatepass")
+        if out and size + len(raw) > SLICE:
+            yield out
+            out, size = [], 0
+        out.append(raw)
+        size += len(raw) + 1
+    if out:
+        yield out
+
+
+def shingles(raws: list[bytes]) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles; fewer than five words are one shingle, none none."""
+    start, w = word_hashes(b"\n".join(raws))
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    first = np.searchsorted(start, np.r_[0, ends])
+    s = np.empty(0, dtype=np.uint64)
+    if len(w) >= WORDS:
+        n = len(w) - WORDS + 1
+        s = w[:n].copy()
+        for k in range(1, WORDS):
+            s = s * _P + w[k : n + k]
+        s = mix(s)
+    out = []
+    for a, z in zip(first[:-1], first[1:], strict=True):
+        if z - a >= WORDS:
+            x = np.sort(s[a : z - WORDS + 1])
+            out.append(x[np.r_[True, x[1:] != x[:-1]]])
+        elif z > a:
+            out.append(np.array([xxhash.xxh3_64_intdigest(w[a:z].tobytes(), seed=1)], dtype=np.uint64))
+        else:
+            out.append(np.empty(0, dtype=np.uint64))
+    return out
 
 
 def class_id(s: np.ndarray) -> tuple[int, int]:
@@ -179,68 +225,69 @@ def blocks(sets: list[np.ndarray], n: np.ndarray, tag: int) -> tuple[np.ndarray,
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each document, and rows for shingles that many documents of a batch hold (doc null, d1 shingle, n count)."""
-    hashes = Hasher()
+    """A row for each document, and rows for shingles that many documents of a slice hold (doc null, d1 shingle, n count)."""
     for pdf in batches:
-        rows, sets = [], {}
-        for t in pdf["text"]:
-            s = shingles(t, hashes)
-            d1, d2 = class_id(s) if len(s) else (0, 0)
-            rows.append((True, len(s), d1, d2, dense_sketch(s) if len(s) else b""))
-            if len(s):
-                sets[d1, d2] = s
-        df = pd.DataFrame(rows, columns=["doc", "n", "d1", "d2", "sketch"])
-        df.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype="Int64"))
-        yield df
-        if sets:
-            h, k = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            h, k = h[(often := k >= max(4, len(sets) // COMMON))], k[often]
-            ids = pd.array([None] * len(h), dtype="Int64")
-            yield pd.DataFrame({"doc_id": ids, "doc": False, "n": k, "d1": h.view(np.int64), "d2": 0, "sketch": b""})
+        ids = iter(pdf["doc_id"])
+        for raws in slices(pdf["text"]):
+            rows, sets = [], {}
+            for s in shingles(raws):
+                d1, d2 = class_id(s) if len(s) else (0, 0)
+                rows.append((True, len(s), d1, d2, dense_sketch(s) if len(s) else b""))
+                if len(s):
+                    sets[d1, d2] = s
+            df = pd.DataFrame(rows, columns=["doc", "n", "d1", "d2", "sketch"])
+            df.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i) for i in islice(ids, len(raws))], dtype="Int64"))
+            yield df
+            if sets:
+                h = np.sort(np.concatenate(list(sets.values())))
+                least = max(4, len(sets) // COMMON)
+                # in sorted order a shingle that occurs that often is equal to the one so many places on
+                h = h[: max(0, len(h) - least + 1)][h[: max(0, len(h) - least + 1)] == h[least - 1 :]]
+                h, k = np.unique(h, return_counts=True)
+                none = pd.array([None] * len(h), dtype="Int64")
+                yield pd.DataFrame({"doc_id": none, "doc": False, "n": k + (least - 1), "d1": h.view(np.int64), "d2": 0, "sketch": b""})
 
 
 def _pack(groups: int, common):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, left_out = Hasher(), common.value
+        left_out = common.value
         for pdf in batches:
-            sets = {}
-            for t in pdf["text"]:
-                s = shingles(t, hashes)
-                if len(s):
-                    sets[class_id(s)[0]] = s
-            if not sets:
-                continue
-            whole = list(sets.values())
-            ids = np.fromiter(sets, dtype=np.int64, count=len(sets))
-            n = np.array([len(s) for s in whole], dtype=np.int64)
-            if len(left_out):
-                flat = np.concatenate(whole)
-                near = np.minimum(np.searchsorted(left_out, flat), len(left_out) - 1)
-                rare = left_out[near] != flat
-                cut = np.cumsum(n)[:-1]
-                parts = [s[r] for s, r in zip(whole, np.split(rare, cut), strict=True)]
-            else:
-                parts = whole
-            keys, owners, weak = blocks(parts, n, 0)
-            if weak.any():
-                some = np.flatnonzero(weak)
-                k, o, _ = blocks([whole[i] for i in some], n[some], 1)
-                keys, owners = np.r_[keys, k], np.r_[owners, some[o]]
-            group = (keys >> np.uint64(32)) % np.uint64(groups)
-            order = np.argsort(group, kind="stable")
-            group, keys, owners = group[order], keys[order], ids[owners[order]]
-            cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            yield pd.DataFrame(
-                {
-                    "p": group[cut].astype(np.int32),
-                    "keys": [x.astype(np.uint32).tobytes() for x in np.split(keys, cut[1:])],
-                    "ids": [x.tobytes() for x in np.split(owners, cut[1:])],
-                }
-            )
+            for raws in slices(pdf["text"]):
+                sets = {class_id(s)[0]: s for s in shingles(raws) if len(s)}
+                if sets:
+                    yield _packed(sets, groups, left_out)
 
     return pack
 
 
+def _packed(sets: dict[int, np.ndarray], groups: int, left_out: np.ndarray) -> pd.DataFrame:
+    """Block keys of sets, a row for each group of keys."""
+    whole = list(sets.values())
+    ids = np.fromiter(sets, dtype=np.int64, count=len(sets))
+    n = np.array([len(s) for s in whole], dtype=np.int64)
+    parts = whole
+    if len(left_out):
+        flat = np.concatenate(whole)
+        rare = left_out[np.minimum(np.searchsorted(left_out, flat), len(left_out) - 1)] != flat
+        parts = [s[r] for s, r in zip(whole, np.split(rare, np.cumsum(n)[:-1]), strict=True)]
+    keys, owners, weak = blocks(parts, n, 0)
+    if weak.any():
+        some = np.flatnonzero(weak)
+        k, o, _ = blocks([whole[i] for i in some], n[some], 1)
+        keys, owners = np.r_[keys, k], np.r_[owners, some[o]]
+    group = (keys >> np.uint64(32)) % np.uint64(groups)
+    order = np.argsort(group, kind="stable")
+    group, keys, owners = group[order], keys[order], ids[owners[order]]
+    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return pd.DataFrame(
+        {
+            "p": group[cut].astype(np.int32),
+            "keys": [x.astype(np.uint32).tobytes() for x in np.split(keys, cut[1:])],
+            "ids": [x.tobytes() for x in np.split(owners, cut[1:])],
+        }
+    )
+
+
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """Candidates of one group of keys: pairs (a, b), and members b of large blocks a."""
     key = np.frombuffer(b"".join(pdf["keys"]), dtype=np.uint32)
@@ -302,10 +349,10 @@ def _square(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = Hasher()
     for pdf in batches:
-        sets = [shingles(t, hashes) for t in pdf["text"]]
-        yield pd.DataFrame({"cls": [class_id(s)[0] for s in sets], "s": [s.view(np.int64) for s in sets]})
+        for raws in slices(pdf["text"]):
+            sets = shingles(raws)
+            yield pd.DataFrame({"cls": [class_id(s)[0] for s in sets], "s": [s.view(np.int64) for s in sets]})
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ probability of being good. These posteriors, as soft labels, train a linear
 scorer over hashed features, which decides.
 
 The pattern counts cover all documents; there are at most 3 ** 10 patterns, which
-bounds what the driver receives. The scorer is fitted on a sample of at most
-TRAIN_ROWS documents, taken in order of a hash of doc_id.
+bounds what the driver receives. The scorer is fitted on a sample of about
+TRAIN_ROWS documents, those whose hash of doc_id is below a bound that follows from
+the number of documents.
 """
 
 from __future__ import annotations
@@ -201,7 +202,9 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep_from: float = K
     seen = rows.filter("pattern >= 0")
     table = seen.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
     model = fit_labels(table["pattern"].to_numpy(dtype=np.int64), table["n"].to_numpy())
-    sample = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("pattern", "idx", "val").toPandas()
+    # expected size train_rows; with fewer documents all are taken
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30))
+    sample = seen.filter(draw * F.lit(max(1, int(table["n"].sum()))) < F.lit(train_rows << 30)).select("pattern", "idx", "val").toPandas()
     weights = fit_scorer(list(sample["idx"]), list(sample["val"]), model.posterior(sample["pattern"].to_numpy(dtype=np.int64)) if len(sample) else np.zeros(0))
     shared = docs.sparkSession.sparkContext.broadcast((model, weights))
 
