@@ -127,7 +127,7 @@ def build(counts: pd.DataFrame) -> Trees:
         row_of[contexts] = len(prob) + np.arange(len(contexts))
         prob = np.concatenate([prob, fresh])
     # a byte outside the renumbered ones is coded like any one of them, all in the last number
-    length = -np.log2(prob).transpose(0, 2, 1).reshape(-1, len(langs)).astype(np.float32)
+    length = -np.log2(prob).transpose(0, 2, 1).reshape(len(prob) * n, len(langs)).astype(np.float32)
     return Trees(langs, symbol, n, row_of.astype(np.int32), np.ascontiguousarray(length))
 
 
