@@ -162,7 +162,7 @@ def test_revisits_against_plain_version(spark):
         rows.append((i, url, rng.choice([rng.randrange(80), None]) if i % 9 == 0 else rng.randrange(80), kind, tag, rng.choice(["m1", "m2", None]), rng.choice(["d1", "d2", None]), i, heads, "x"))
     rows.append(rows[0])
     df = spark.createDataFrame(rows, warc.RECORD + ", key string")
-    got = sorted((r["record_id"], r["base_id"], r["verdict"], r["digest"], r["n_bytes"], r["headers"] and tuple(sorted(r["headers"].items()))) for r in warc.resolve_revisits(df).collect())
+    got = sorted((r["record_id"], r["base_id"], r["verdict"], r["digest"], r["n_bytes"], None if r["headers"] is None else tuple(sorted(r["headers"].items()))) for r in warc.resolve_revisits(df).collect())
     got = sorted(got, key=repr)
     want = []
     for i, url, at, kind, tag, lm, digest, n, heads, _ in rows:
