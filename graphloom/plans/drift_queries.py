@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drift
+from ..operators import composite, drift, events
 from ..sources import bridge
 from .registry import query
 
@@ -198,3 +198,39 @@ def issues_in_error_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def issues_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of each file in order."""
     return drift.by_file(_issues(spark, sf_dir)).select("file", "first", F.array_join(F.transform("issues", lambda i: i["severity"]), ",").alias("severities"))
+
+
+@query(
+    """WITH t AS (SELECT user_id AS file, epoch(ts)::BIGINT // 600 AS x FROM events WHERE event_type <> 'signup'),
+    r AS (SELECT event_id AS id, user_id AS file, epoch(ts)::BIGINT // 600 AS lo FROM events WHERE event_type = 'signup')
+    SELECT id, count(*) AS n FROM t JOIN r ON t.file = r.file AND x BETWEEN lo AND lo + 300 GROUP BY id"""
+)
+def range_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user in the fifty hours after each sign-up."""
+    log = bridge.log(spark, sf_dir).withColumn("at", F.floor(F.unix_timestamp(F.col("at").cast("timestamp")) / 600))
+    tokens = log.filter("kind != 'signup'").select(F.col("user_id").alias("file"), "at", F.col("at").alias("until"))
+    ranges = log.filter("kind = 'signup'").select(F.col("event_id").alias("id"), F.col("user_id").alias("file"), F.col("at").alias("start"), (F.col("at") + 300).alias("end"))
+    return composite.contained(tokens, ranges).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {ISSUES}, s AS (SELECT {SCORE}, count(*) FILTER (severity = 'error') AS errors FROM issues WHERE day = DATE '2024-01-30'),
+    u AS (SELECT user_id, max(ts) FILTER (event_type = 'signup') AS t FROM events GROUP BY user_id),
+    h AS (SELECT count(*) FILTER (floor(epoch(TIMESTAMP '2024-01-30 12:00:00' - t) / 86400) > 3) AS n FROM u)
+    SELECT 'drift' AS what, score >= 80 AND errors = 0 AS ok, score AS n FROM s UNION ALL SELECT 'heartbeat', n = 0, n FROM h UNION ALL SELECT 'events', true, count(*) FROM events"""
+)
+def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day's score, stale users, and the number of events."""
+    _, report = composite.check([_issues(spark, sf_dir).filter(F.col("day") == F.lit("2024-01-30").cast("date"))])
+    log = bridge.log(spark, sf_dir)
+    last = log.groupBy(F.col("user_id").alias("key")).agg(F.max(F.when(F.col("kind") == "signup", F.col("at"))).alias("last_updated"))
+    return composite.doctor(report, events.heartbeat(last, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 3), log)
+
+
+@query(
+    """SELECT source, count(*) AS n, count(*) FILTER (n_chars > 2000) AS populated, round(count(*) FILTER (n_chars > 2000) * 100.0 / count(*))::BIGINT AS per_cent FROM documents GROUP BY source"""
+)
+def completeness_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of long documents by source, as status counts."""
+    d = bridge.table(spark, sf_dir, "documents").withColumn("status", F.when(F.col("n_chars") > 2000, "populated").otherwise("empty"))
+    return composite.completeness(d, ["source"])

@@ -122,3 +122,13 @@ def anchors(docs: DataFrame, scheme: str = "node") -> DataFrame:
 def rewrite_anchor(text, old: str, new: str, scheme: str = "node"):
     """Column text with links to one node led to another; nothing else changes."""
     return F.replace(text, F.lit(f"]({scheme}://{old})"), F.lit(f"]({scheme}://{new})"))
+
+
+def document_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (source, status, n_edges) and edges (file, target) of documents whose targets are documents."""
+    e = front_edges(docs).join(docs.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("file", "target").distinct()
+    body = F.trim(F.regexp_replace("text", r"^---[\s\S]*?\n---", ""))
+    blank = F.col("text").rlike(r"\[[A-Z][^\]\n]*\]|<!--\s*(?:TODO|fill)")
+    status = F.when(F.length(body) == 0, "empty").when(blank, "template").otherwise("populated")
+    n = docs.select("source", status.alias("status")).join(e.groupBy(F.col("file").alias("source")).agg(F.count("*").alias("n_edges")), "source", "left")
+    return n.select("source", "status", F.coalesce("n_edges", F.lit(0)).alias("n_edges")), e

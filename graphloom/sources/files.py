@@ -114,3 +114,42 @@ def commit_age(commits: DataFrame, now) -> DataFrame:
 def write_records(rows: DataFrame, path: str, order: str) -> None:
     """JSON lines in an order: meta, data, summary (M10); an answer is small, so that one file takes it."""
     rows.orderBy(order).drop(order).coalesce(1).write.mode("overwrite").json(path)
+
+
+def entry_points(files: DataFrame, kinds: dict[str, tuple[str, ...]], caps: dict[str, int] | None = None) -> DataFrame:
+    """path, type of the files that a kind's patterns (Java regular expressions) find; the first kind counts.
+
+    caps limits how many of a kind are reported, by path, such as ten tests.
+    """
+    from pyspark.sql import Window
+
+    kind = F.lit(None).cast("string")
+    for k, patterns in reversed(kinds.items()):
+        kind = F.when(F.col("path").rlike("|".join(f"(?:{p})" for p in patterns)), k).otherwise(kind)
+    rows = files.select("path", kind.alias("type")).filter("type is not null").distinct()
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("type").orderBy("path")))
+    most = F.coalesce(*[F.when(F.col("type") == k, F.lit(c)) for k, c in (caps or {}).items()], F.lit(1 << 30))
+    return ranked.filter(F.col("n") <= most).select("path", "type")
+
+
+def readme(files: DataFrame, names: tuple[str, ...] = ("README.md", "readme.md", "README", "README.txt"), limit: int = 3000) -> DataFrame:
+    """path, text of the first readme that there is, cut at limit characters with a mark."""
+    best = first_existing(files, {"readme": names})
+    text = F.when(F.length("text") > limit, F.concat(F.left("text", F.lit(limit)), F.lit("\n...(truncated)"))).otherwise(F.col("text"))
+    return files.join(best, "path").select("path", text.alias("text"))
+
+
+def workspace_names(files: DataFrame) -> DataFrame:
+    """path, name of the packages of workspaces: any package.json below the root that has a name."""
+    p = files.filter("path like '%/package.json'").select("path", F.get_json_object("text", "$.name").alias("name"))
+    return p.filter("name is not null").select(F.regexp_replace("path", "/package.json$", "").alias("path"), "name")
+
+
+def project(files: DataFrame) -> DataFrame:
+    """manifest, name, version from the first of four manifests (S14); the last three by pattern."""
+    first = first_existing(files, {"manifest": ("package.json", "pyproject.toml", "go.mod", "Cargo.toml")}).withColumnRenamed("path", "manifest")
+    rows = first.join(files.select(F.col("path").alias("manifest"), "text"), "manifest")
+    toml = lambda k: F.regexp_extract("text", rf'(?m)^{k}\s*=\s*"([^"]+)"', 1)
+    name = F.when(F.col("manifest") == "package.json", F.get_json_object("text", "$.name")).when(F.col("manifest") == "go.mod", F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1)).otherwise(toml("name"))
+    version = F.when(F.col("manifest") == "package.json", F.get_json_object("text", "$.version")).when(F.col("manifest") == "go.mod", F.regexp_extract("text", r"(?m)^go\s+(\S+)", 1)).otherwise(toml("version"))
+    return rows.select("manifest", name.alias("name"), version.alias("version"))

@@ -146,3 +146,43 @@ def test_exact_match_comes_first(spark):
     out = {r["id"]: r for r in search.scope(n, edges(spark, ("f:3", "f:1")), "runScan").collect()}
     assert (out["f:1"]["score"], out["f:1"]["category"], out["f:1"]["reasons"]) == (1.0, "direct", ["exact-name-match", "semantic-match"])
     assert out["f:2"]["category"] == "test" and out["f:3"]["category"] == "neighbor" and out["f:3"]["score"] == 0.3
+
+
+def test_answer_stays_in_its_budget(spark):
+    import json
+
+    from graphloom.operators import composite
+
+    facts = spark.createDataFrame([(f"n{i}", i, "x" * 60) for i in range(20)], "id string, ord int, t string").select("id", "ord", F.struct("id", "t").alias("record"))
+    e = edges(spark, *[(f"n{i}", f"n{i + 1}") for i in range(19)])
+    for budget, nodes in ((400, 10), (2000, 5), (10, 10)):
+        rows = composite.answer(facts, e, "scope", budget, nodes).orderBy("part", "n").collect()
+        records = [json.loads(r["record"]) for r in rows]
+        assert records[0]["type"] == "meta" and records[-1]["type"] == "summary"
+        s = records[-1]
+        got = [r["id"] for r in records if r["type"] == "fact"]
+        assert got == [f"n{i}" for i in range(len(got))] and s["returnedNodes"] == len(got) <= nodes and s["matchedNodes"] == 20 and s["truncated"]
+        assert all(r["source"] in got and r["target"] in got for r in records if r["type"] == "edge")
+        assert sum(-(-len(r["record"]) // 4) for r in rows[1:-1]) + composite.RESERVE == s["estimatedOutputTokens"] <= s["maxOutputTokens"]
+
+
+def test_sync_replaces_a_file(spark):
+    from graphloom.operators import composite
+
+    n = nodes(spark, [("1", "function", "run", "a.ts", True, 1), ("2", "function", "old", "b.ts", True, 2)])
+    schema = "ref_id int, from_node_id string, reference_name string, reference_kind string, file_path string"
+    refs = spark.createDataFrame([(1, "1", "old", "calls", "a.ts"), (2, "1", "new", "calls", "a.ts"), (3, "2", "run", "calls", "b.ts")], schema)
+    e = edges(spark, ("1", "2"), ("2", "1"))
+    fresh = nodes(spark, [("3", "function", "new", "b.ts", True, 3)])
+    gone = spark.createDataFrame([("b.ts",)], "file_path string")
+    n2, e2, r2 = composite.sync(n, e, refs, gone, fresh, spark.createDataFrame([(4, "3", "run", "calls", "b.ts")], schema))
+    assert {r["id"] for r in n2.collect()} == {"1", "3"} and {r["ref_id"] for r in r2.collect()} == {1, 2, 4}
+    assert {(r["source"], r["target"]) for r in e2.collect()} == {("1", "3"), ("3", "1")}
+
+
+def test_containment(spark):
+    from graphloom.operators import composite
+
+    t = spark.createDataFrame([("f", 5, 5), ("f", 70, 71), ("f", 200, 210), ("g", 5, 5)], "file string, at int, until int")
+    r = spark.createDataFrame([("a", "f", 1, 100), ("b", "f", 70, 205)], "id string, file string, start int, end int")
+    assert {(x["id"], x["at"]) for x in composite.contained(t, r).collect()} == {("a", 5), ("a", 70), ("b", 70)}
