@@ -20,9 +20,10 @@ at most D blocks differ, and of any D + 1 blocks one is equal.
   weak; for this, weak sets also give blocks of their whole sets, kept apart.
 - Documents with equal sets form a class first; only classes are compared.
 - Many sets may give one block. Up to SMALL of them are paired with each other;
-  more are first paired with one of them, and after these pairs are verified, those
-  that are not yet in one component are compared with each other by dense sketches,
-  in squares of CHUNK by CHUNK.
+  more are first paired with one of them. After these pairs are verified, those that
+  are not yet in one component are compared with each other by dense sketches, in
+  squares of CHUNK by CHUNK. Of the pairs that may be linked a spanning forest, the
+  closest first, is verified; then all pairs that may still join two components.
 - Pairs that pass the bound on dense sketches are verified with the shingles.
 
 Components are found by alternating large-star and small-star steps.
@@ -50,14 +51,15 @@ PER_CENT = 75
 SMALL = 8
 #: Members of a larger block are compared in squares of this many.
 CHUNK = 1024
-#: Block entries handled together.
+#: Block entries, and members of squares, handled together.
 GROUP_KEYS = 1 << 20
+HANDFUL = 1 << 14
 #: A shingle is common when about 1 in COMMON documents holds it.
 COMMON = 256
 #: At most so many common shingles are left out of the sketches, the most common first.
 MOST_COMMON = 1 << 20
 #: Bits of the largest dense sketch.
-DENSE = 1 << 14
+DENSE = 1 << 15
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -147,8 +149,8 @@ def class_id(s: np.ndarray) -> tuple[int, int]:
 
 
 def dense_sketch(s: np.ndarray) -> bytes:
-    """Parity bits of a set; twice as many as it has shingles or more, from 256 up to DENSE."""
-    bits = min(DENSE, max(256, 1 << (2 * len(s) - 1).bit_length()))
+    """Parity bits of a set; four times as many as it has shingles or more, from 256 up to DENSE."""
+    bits = min(DENSE, max(256, 1 << (4 * len(s) - 1).bit_length()))
     at = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((at & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -166,10 +168,17 @@ def max_difference(a, b):
     return (100 - PER_CENT) * (a + b) // (100 + PER_CENT)
 
 
-def layout_blocks(layout: np.ndarray | int):
-    """k: more blocks than any pair of a band can differ in, with about two shingles each in large sets."""
+#: Blocks for each place of a band's top size, in hundredths: enough that hardly any set has too few with a bit
+#: set, and few enough that a block is seldom made of a shared passage alone. Smaller sizes have SPARSE blocks.
+DENSITY = {5: 75, 6: 60, 7: 50, 8: 45, 9: 40}
+SPARSE = 1024
+
+
+def layout_blocks(layout: np.ndarray) -> np.ndarray:
+    """k of a band: always more than the shingles in which a pair of it can differ."""
     top = np.left_shift(np.int64(2), layout)
-    return np.where(top <= 32, 1024, np.where(top <= 256, top * 4, top // 2))
+    share = np.array([DENSITY.get(e, 34) for e in range(64)])[layout + 1]
+    return np.where(top <= 16, SPARSE, top * share // 100 + 1)
 
 
 def layouts(n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -331,21 +340,89 @@ def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[may, ["a", "b", "ra", "rb"]]
 
 
-def _square(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one square of a large block: members of different components whose sketches allow a link."""
-    out = []
-    if len(pdf):
-        size = min(map(len, pdf["sketch"]))
-        sketch = np.stack([folded(np.frombuffer(x, dtype=np.uint8), size) for x in pdf["sketch"]])
-        words = sketch.view(np.uint64)
-        n, comp, side = pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["side"].to_numpy()
-        cls, rep = pdf["cls"].to_numpy(), pdf["rep"].to_numpy()
-        right = np.flatnonzero(side == side.max())
-        for i in np.flatnonzero(side == side.min()):
-            j = right[(comp[right] != comp[i]) & (np.minimum(n[i], n[right]) * 100 >= np.maximum(n[i], n[right]) * PER_CENT)]
-            j = j[np.bitwise_count(words[j] ^ words[i]).sum(axis=1) <= max_difference(n[i], n[j])]
-            out += [(cls[i], cls[x], rep[i], rep[x]) for x in j]
-    return pd.DataFrame(out, columns=["a", "b", "ra", "rb"])
+def forest(x: np.ndarray, y: np.ndarray, lab: np.ndarray) -> np.ndarray:
+    """Of edges x, y between labelled nodes the places of those that join all that the edges can join, the first ones
+    where there is a choice: each label takes its first edge, what is joined becomes one label, and again."""
+    chosen = [np.empty(0, dtype=np.int64)]
+    lab = np.unique(lab, return_inverse=True)[1]
+    while len(live := np.flatnonzero(lab[x] != lab[y])):
+        ends = np.stack([lab[x[live]], lab[y[live]]], axis=1)
+        labels, first = np.unique(ends.ravel(), return_index=True)
+        pick = first // 2
+        chosen.append(np.unique(live[pick]))
+        parent = np.arange(lab.max() + 1)
+        parent[labels] = ends[pick].sum(axis=1) - labels
+        # two labels that took the same edge
+        top = np.arange(len(parent))
+        parent = np.where((parent[parent] == top) & (top < parent), top, parent)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        lab = parent[lab]
+    return np.concatenate(chosen)
+
+
+def near_pairs(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components whose sizes and sketches allow a link, the closest first."""
+    size = min(map(len, sketch))
+    bits = np.stack([folded(np.frombuffer(x, dtype=np.uint8), size) for x in sketch]).view(np.uint64)
+    xs, ys, close = [], [], []
+    every = np.arange(len(n))
+    rows = max(1, (1 << 18) // (len(n) * bits.shape[1]))
+    for at in range(0, len(n), rows):
+        i = every[at : at + rows, None]
+        may = (i < every) & (comp[i] != comp) & (np.minimum(n[i], n) * 100 >= np.maximum(n[i], n) * PER_CENT)
+        x, y = np.nonzero(may)
+        if len(x):
+            x += at
+            apart, most = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64), max_difference(n[x], n[y])
+            ok = apart <= most
+            xs.append(x[ok])
+            ys.append(y[ok])
+            close.append(apart[ok] / (most[ok] + 1))
+    if not xs:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    order = np.argsort(np.concatenate(close), kind="stable")
+    return np.concatenate(xs)[order], np.concatenate(ys)[order]
+
+
+def _squares(all_pairs: bool):
+    """Pairs of squares of large blocks that may be linked: all between different components, or a forest of them."""
+
+    def squares(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("square", kind="stable")
+        n, comp, cls, rep = (pdf[c].to_numpy() for c in ("n", "comp", "cls", "rep"))
+        square, sketch = pdf["square"].to_numpy(), pdf["sketch"].to_numpy()
+        cut = np.r_[np.flatnonzero(np.r_[True, square[1:] != square[:-1]]), len(pdf)]
+        out = [np.empty((2, 0), dtype=np.int64)]
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            if comp[a:z].min() != comp[a:z].max():
+                x, y = near_pairs(n[a:z], comp[a:z], sketch[a:z])
+                if not all_pairs:
+                    tree = forest(x, y, comp[a:z])
+                    x, y = x[tree], y[tree]
+                out.append(np.stack([a + x, a + y]))
+        i, j = np.concatenate(out, axis=1)
+        flip = rep[i] > rep[j]
+        i, j = np.where(flip, j, i), np.where(flip, i, j)
+        return pd.DataFrame({"a": cls[i], "b": cls[j], "ra": rep[i], "rb": rep[j]}).drop_duplicates()
+
+    return squares
+
+
+def large_block_pairs(member: DataFrame, comp: DataFrame, info: DataFrame, all_pairs: bool) -> DataFrame:
+    """Candidates (a, b, ra, rb) among the members (block, cls, rep) of large blocks that comp (node, comp) keeps apart."""
+    m = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("block", "cls", "rep", F.coalesce("comp", "rep").alias("comp"))
+    split = m.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
+    # each member goes to one of size / CHUNK cuts of its block, and each cut meets each
+    split = checkpoint(split.select("block", F.ceil(F.col("size") / CHUNK).cast("int").alias("cuts"), "size"))
+    rows_met = split.agg(F.coalesce(F.sum(F.col("size") * F.col("cuts")), F.lit(0))).first()[0]
+    m = m.join(split.select("block", "cuts"), "block").withColumn("cut", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    square = F.xxhash64("block", F.least("cut", "other"), F.greatest("cut", "other"))
+    m = m.select(square.alias("square"), "cls", "comp").join(info, "cls")
+    # many small squares are handled together
+    m = m.withColumn("hand", F.pmod("square", F.lit(1 + rows_met // HANDFUL)))
+    return checkpoint(m.groupBy("hand").applyInPandas(_squares(all_pairs), "a long, b long, ra long, rb long").distinct())
 
 
 def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -418,24 +495,14 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     edges = checkpoint(verified(docs, near))
     comp = components(edges)
 
-    # members of large blocks that are still in different components
+    # members of large blocks that are still in different components: what joins most first, then all that is left
     member = met.filter("large").select(F.col("a").alias("block"), F.col("b").alias("cls")).distinct()
-    member = member.join(info.select("cls", "rep"), "cls").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    member = member.select("block", "cls", "rep", F.coalesce("comp", "rep").alias("comp"))
-    member = checkpoint(member)
-    split = member.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
-    member = member.join(split.select("block", "size"), "block")
-    # each member goes to one of size / CHUNK cuts of its block, and each cut meets each
-    cuts = F.ceil(F.col("size") / CHUNK).cast("int")
-    member = member.withColumn("cuts", cuts).withColumn("cut", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    member = member.select("block", "cls", "comp", F.least("cut", "other").alias("x"), F.greatest("cut", "other").alias("y"), F.col("cut").alias("side"))
-    member = member.join(info, "cls")
-    more = member.groupBy("block", "x", "y").applyInPandas(_square, "a long, b long, ra long, rb long").distinct()
-    more = checkpoint(more)
-    if not more.isEmpty():
-        edges = edges.union(verified(docs, more))
-        comp = components(edges)
+    member = checkpoint(member.join(info.select("cls", "rep"), "cls").select("block", "cls", "rep"))
+    for all_pairs in (False, True):
+        more = large_block_pairs(member, comp, info, all_pairs)
+        if not more.isEmpty():
+            edges = checkpoint(edges.union(verified(docs, more)))
+            comp = components(edges)
 
     found = of.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select(
@@ -448,6 +515,6 @@ def similarity_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, that with the smallest doc_id; rows without a doc_id stay."""
     gone = similarity_components(docs).filter("component_id != doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("gone"), "left_anti")
 
 
