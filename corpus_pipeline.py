@@ -35,7 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mixture selects, once each: 90 % of the tokens, one epoch."""
     chosen = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, per_mille=900, max_epochs=1)
     chosen = chosen.select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("chosen_id")), "left_semi")
+    return docs.join(chosen.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("chosen_id")), "left_semi")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

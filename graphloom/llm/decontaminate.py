@@ -90,7 +90,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, per_cent: int
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, per_cent: int = 5) -> DataFrame:
     """docs without the contaminated ones; all columns stay."""
     bad = report(docs, benchmark, n, per_cent).filter("contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:

@@ -224,4 +224,4 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep_from: float = K
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without what classify() rejects; rows that share a doc_id go together."""
     bad = classify(docs).filter("not kept").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
