@@ -287,3 +287,26 @@ def impact_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.merged_impact(graph.impact(edges, roots, 2))
     facts = found.select("id", (F.col("depth") * 1_000_000).alias("ord"), F.struct("id", "depth", "root").alias("record"))
     return composite.answer(facts, edges, "impact", 600, 20)
+
+
+@query(
+    f"""WITH {NODES}, {CALLS} SELECT kind, count(*) AS n_nodes, count(DISTINCT file_path) AS n_files, sum(coalesce(o.n, 0))::BIGINT AS n_calls
+    FROM nodes LEFT JOIN (SELECT source AS id, count(*) AS n FROM calls GROUP BY source) o USING (id) GROUP BY kind"""
+)
+def build_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, files and outgoing calls by kind of node."""
+    out = graph.link_counts(bridge.edges(spark, sf_dir)).select("id", "n_callees")
+    n = bridge.nodes(spark, sf_dir).join(out, "id", "left")
+    return n.groupBy("kind").agg(F.count("*").alias("n_nodes"), F.count_distinct("file_path").alias("n_files"), F.sum(F.coalesce("n_callees", F.lit(0))).alias("n_calls"))
+
+
+@query(
+    """WITH p AS (SELECT string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/+$', ''), '/') AS s FROM pages)
+    SELECT s[1] AS folder, count(*) FILTER (len(s) - 1 <= 4) AS n, 'other' AS category FROM p WHERE len(s) > 1 GROUP BY s[1]"""
+)
+def page_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts as top folders by number of pages."""
+    from ..sources import files
+
+    path = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1), "/+$", "")
+    return files.folders(bridge.table(spark, sf_dir, "pages").select(path.alias("path")))

@@ -151,3 +151,40 @@ def metric_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of good labels by source against floors."""
     m = bridge.table(spark, sf_dir, "documents").join(bridge.table(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("source").alias("metric")).agg(F.round(F.avg("quality"), 6).alias("value"))
     return evaluate.gates(m, {"src0": 0.85, "src1": 0.95})
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS token FROM documents)
+    SELECT token, count(*) AS n_docs FROM t GROUP BY token"""
+)
+def token_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search index's statistics: documents for each token (Q05)."""
+    d = bridge.table(spark, sf_dir, "documents")
+    return d.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n_docs"))
+
+
+def _document_rows() -> str:
+    return "docs AS (SELECT doc_id::VARCHAR AS id, NULL AS name, NULL AS qualified_name, text AS docstring, NULL AS signature FROM documents)"
+
+
+@query(f"WITH {_document_rows()}, {_bm25(['the', 'license'], 'docs')} SELECT id, round(score, 6) AS score FROM scored")
+def document_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 of all documents for two terms (Q01-Q03)."""
+    d = bridge.table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("string")
+    rows = d.select(F.col("doc_id").cast("string").alias("id"), none.alias("name"), none.alias("qualified_name"), F.col("text").alias("docstring"), none.alias("signature"))
+    return search.bm25(rows, "the license").select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    """WITH r AS (SELECT p_name AS task, p_brand AS found, row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)
+    SELECT task, min(rank) FILTER (found = 'Brand#2') AS rank, min(rank) FILTER (found = 'Brand#2') IS NOT NULL AS found FROM r GROUP BY task"""
+)
+def found_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each name the rank, by price, of the first part of one brand."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("p_name").orderBy(F.col("p_retailprice").desc(), "p_partkey")
+    r = bridge.table(spark, sf_dir, "part").withColumn("rank", F.row_number().over(w))
+    hit = F.min(F.when(F.col("p_brand") == "Brand#2", F.col("rank"))).cast("long")
+    return r.groupBy(F.col("p_name").alias("task")).agg(hit.alias("rank"), hit.isNotNull().alias("found"))
