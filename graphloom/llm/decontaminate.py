@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, words_of
+from .common import words_of
 
 WINDOW = 13
 #: The window set is broadcast up to this number of bytes of text; beyond it the join is shuffled.
@@ -47,7 +47,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     # each character of an item is in at most n windows
     grams = F.broadcast(grams) if size * n <= BROADCAST_BYTES else grams
-    words = spread(docs.select("doc_id", "text").filter("text is not null")).select("doc_id", words_of(F.col("text")).alias("w"))
+    words = docs.filter("text is not null").select("doc_id", words_of(F.col("text")).alias("w"))
     seen = words.select("doc_id", "w", F.posexplode("w").alias("pos", "anchor"))
     found = seen.join(grams, "anchor").withColumn("first", F.col("pos") - F.col("at"))
     here = F.slice("w", F.greatest(F.col("first"), F.lit(0)) + 1, F.col("n_gram"))
@@ -74,7 +74,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, per_cent: int
     n_hit = places.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     items = h.select("doc_id", F.explode("items").alias("item")).groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = n_hit.join(items, "doc_id").withColumnRenamed("doc_id", "hit_id")
-    counts = spread(docs.select("doc_id", "text")).select("doc_id", n_words(F.col("text")).alias("n_words"))
+    counts = docs.select("doc_id", n_words(F.col("text")).alias("n_words"))
     counts = counts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
     out = counts.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").drop("hit_id")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")

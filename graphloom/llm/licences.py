@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, words_of
+from .common import words_of
 
 #: Per cent of a template's words that a block must hold.
 THRESHOLD = 80
@@ -56,7 +56,7 @@ TEMPLATES = (
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """Lines that hold a word: doc_id, w (its words)."""
-    text = spread(docs.select("doc_id", "text").filter("text is not null"))
+    text = docs.select("doc_id", "text").filter("text is not null")
     return text.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", words_of(F.col("line")).alias("w")).filter(F.size("w") > 0)
 
 
@@ -68,7 +68,7 @@ def template_words(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
 def frequencies(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """How often each word of a template occurs in all documents: word, n. As many rows as the templates have words."""
     vocabulary = templates.select(F.explode("t").alias("word")).distinct()
-    text = spread(docs.select("text").filter("text is not null"))
+    text = docs.select("text").filter("text is not null")
     used = text.select(F.explode(words_of(F.col("text"))).alias("word")).join(F.broadcast(vocabulary), "word")
     seen = used.groupBy("word").agg(F.count("*").alias("n"))
     return vocabulary.join(seen, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
@@ -104,7 +104,7 @@ def phrases(docs: DataFrame, given=PHRASES) -> DataFrame:
     spark = docs.sparkSession
     p = spark.createDataFrame(list(given), "phrase string, label string").select("label", words_of(F.col("phrase")).alias("phrase"))
     p = p.withColumn("word", F.element_at("phrase", 1))
-    text = spread(docs.select("doc_id", "text").filter("text is not null"))
+    text = docs.select("doc_id", "text").filter("text is not null")
     words = text.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("first", "word"))
     found = words.join(F.broadcast(p), "word")
     return found.filter(F.slice("w", F.col("first") + 1, F.size("phrase")) == F.col("phrase")).select("doc_id", "first", "label")
@@ -118,7 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
     one document; a null doc_id is one too. No documents, no rows. Other columns are
     ignored. A very long line is one block.
     """
-    words = spread(docs.select("doc_id", "text")).select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
+    words = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
     none = F.lit(None)
     base = phrases(docs).select("doc_id", F.lit(0).cast("long").alias("n_words"), F.col("first").cast("long").alias("at"), F.col("label").alias("base"), "label", F.lit(1.0).alias("s"))
     own = matches(docs).select("doc_id", F.lit(0).cast("long").alias("n_words"), none.cast("long").alias("at"), none.cast("string").alias("base"), "label", F.col("score").alias("s"))

@@ -70,12 +70,10 @@ def fill(nodes: DataFrame, parents: Sequence[str], name: str) -> DataFrame:
 
 def budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Mapping[str, int]], per_mille: int, max_epochs: int) -> DataFrame:
     """levels..., leaf_tokens, quota for each leaf; leaves: levels..., leaf_tokens."""
-    all_tokens = F.sum("leaf_tokens").over(Window.partitionBy(F.lit(0)))
     tree = leaves.withColumn("leaf_cap", F.col("leaf_tokens") * max_epochs)
     top = tree.groupBy(levels[0]).agg(F.sum("leaf_tokens").alias("leaf_tokens"), F.sum("leaf_cap").alias("cap"))
     budget = F.expr(f"cast(sum(leaf_tokens) over (partition by 0) as decimal(19,0)) * {int(per_mille)} div 1000")
     cap_all = F.sum("cap").over(Window.partitionBy(F.lit(0)))
-    del all_tokens
     node = top.withColumn("given", F.least(budget, cap_all)).drop("leaf_tokens")
     for depth, level in enumerate(levels):
         above = list(levels[:depth])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, language, licences, line_rules, mixing, ngram_join, quality, sharding, warc
-from .common import table
+from .common import spread, table
 
 DOMAINS = ("web", "books", "code", "news")
 MIX_WEIGHTS = (
@@ -58,7 +58,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items: 13-word windows, contaminated from 5 % of the words on."""
-    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases and notices of licences in all documents."""
-    return licences.scan(table(spark, sf_dir, "documents"))
+    return licences.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
