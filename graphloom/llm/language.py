@@ -102,33 +102,34 @@ def build(counts: pd.DataFrame) -> Trees:
     part = [symbol[(gram >> np.uint32(8 * k)) & np.uint32(255)].astype(np.int64) for k in range(ORDER + 1)]
     rank = {x: i for i, x in enumerate(langs)}
     lang = counts["lang"].map(rank).to_numpy(dtype=np.int64)
-    count = counts["n"].to_numpy(dtype=np.float64)
+    count = counts["n"].to_numpy(dtype=np.float32)
 
-    # order -1: uniform over bytes; each unknown byte is one of those that share a number
-    shares = np.ones(n)
-    row_of = np.zeros(1, dtype=np.int64)  # of a context of the order below, by its number
-    prob = np.broadcast_to(shares / 256, (1, len(langs), n)).copy()
+    # order -1: uniform over bytes
+    row_of = np.zeros(1, dtype=np.int32)  # of a context of the order below, by its number
+    prob = np.full((1, len(langs), n), 1 / 256, dtype=np.float32)
     for order in range(ORDER + 1):
         key = np.zeros(len(gram), dtype=np.int64)
         for k in range(order, 0, -1):
             key = key * n + part[k]
         contexts, where = np.unique(key, return_inverse=True)
-        table = np.zeros((len(contexts), len(langs), n))
+        table = np.zeros((len(contexts), len(langs), n), dtype=np.float32)
         np.add.at(table, (where, lang, part[0]), count)
-        total, kinds = table.sum(axis=2, keepdims=True), (table > 0).sum(axis=2, keepdims=True)
-        below = prob[row_of[contexts % n ** max(order - 1, 0)]]
-        seen_here = total > 0
-        safe = np.where(seen_here, total + kinds, 1)
-        own = np.where(table > 0, table / safe, below * np.where(seen_here, kinds / safe, 1.0))
-        fresh = np.where(seen_here, own, below)
+        total, kinds = table.sum(axis=2, keepdims=True), (table > 0).sum(axis=2, keepdims=True, dtype=np.float32)
+        # what a language has not seen here is coded below, after an escape if it has seen the context at all
+        fresh = prob[row_of[contexts % n ** max(order - 1, 0)]]
+        fresh *= np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1)
+        table /= np.maximum(total + kinds, 1)
+        np.copyto(fresh, table, where=table > 0)
+        del table
         # contexts not seen in any language keep the row of the order below
-        shorter = np.tile(row_of, n) if order else row_of
-        row_of = shorter.copy()
-        row_of[contexts] = len(prob) + np.arange(len(contexts))
+        row_of = np.tile(row_of, n) if order else row_of.copy()
+        row_of[contexts] = len(prob) + np.arange(len(contexts), dtype=np.int32)
         prob = np.concatenate([prob, fresh])
+        del fresh
     # a byte outside the renumbered ones is coded like any one of them, all in the last number
-    length = -np.log2(prob).transpose(0, 2, 1).reshape(len(prob) * n, len(langs)).astype(np.float32)
-    return Trees(langs, symbol, n, row_of.astype(np.int32), np.ascontiguousarray(length))
+    np.negative(np.log2(prob, out=prob), out=prob)
+    length = np.ascontiguousarray(prob.transpose(0, 2, 1)).reshape(len(prob) * n, len(langs))
+    return Trees(langs, symbol, n, row_of, length)
 
 
 def predict(docs: DataFrame, trees: Trees) -> DataFrame:
