@@ -114,7 +114,7 @@ def induced_subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls among large orders and customers in credit."""
     t = lambda n: bridge.table(spark, sf_dir, n)
     ids = t("orders").filter("o_totalprice > 250000").select(bridge.key("function:o", "o_orderkey").alias("id")).unionByName(t("customer").filter("c_acctbal > 0").select(bridge.key("method:c", "c_custkey").alias("id")))
-    return graph.induced(bridge.edges(spark, sf_dir).filter("kind = 'calls'"), ids).select("source", "target")
+    return graph.induced(bridge.edges(spark, sf_dir).filter("kind = 'calls'"), ids).select("source", "target").distinct()
 
 
 REFS = """refs AS (
@@ -235,7 +235,7 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delete_files_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and calls left when the files of brands with large parts are deleted."""
     paths = bridge.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.avg("p_size").alias("a")).filter("a > 25.5").select(F.concat(F.lit("brand/"), "p_brand").alias("file_path"))
-    nodes, edges = bridge.nodes(spark, sf_dir), bridge.edges(spark, sf_dir).filter("kind = 'calls'")
+    nodes, edges = bridge.nodes(spark, sf_dir), bridge.edges(spark, sf_dir).filter("kind = 'calls'").distinct()
     refs = spark.createDataFrame([], "from_node_id string")
     n, e, _ = graph.delete_files(nodes, edges, refs, paths)
     both = n.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(e.select(F.lit(0).alias("a"), F.lit(1).alias("b")))

@@ -43,14 +43,17 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, target, kind: calls between customers, orders, suppliers and parts, and what contains what."""
+    """source, target, kind: calls between customers, orders, suppliers and parts, and what contains what.
+
+    Edges repeat, as lines do; the operators take each once where it matters.
+    """
     t = lambda n: table(spark, sf_dir, n)
     e = lambda df, s, d, k: df.select(s.alias("source"), d.alias("target"), F.lit(k).alias("kind"))
     line = t("lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     return (
         e(t("orders"), key("method:c", "o_custkey"), key("function:o", "o_orderkey"), "calls")
-        .unionByName(e(line, key("function:o", "l_orderkey"), key("function:p", "l_partkey"), "calls").distinct())
-        .unionByName(e(line, key("class:s", "l_suppkey"), key("function:p", "l_partkey"), "calls").distinct())
+        .unionByName(e(line, key("function:o", "l_orderkey"), key("function:p", "l_partkey"), "calls"))
+        .unionByName(e(line, key("class:s", "l_suppkey"), key("function:p", "l_partkey"), "calls"))
         .unionByName(e(t("customer"), key("namespace:n", "c_nationkey"), key("method:c", "c_custkey"), "contains"))
         .unionByName(e(t("supplier"), key("namespace:n", "s_nationkey"), key("class:s", "s_suppkey"), "contains"))
     )
