@@ -58,6 +58,8 @@ HANDFUL = 1 << 14
 COMMON = 256
 #: At most so many common shingles are left out of the sketches, the most common first.
 MOST_COMMON = 1 << 20
+#: Ids of documents to verify are broadcast up to this number (8 bytes each); beyond it the texts are shuffled.
+BROADCAST_IDS = 500_000
 #: Bits of the largest dense sketch.
 DENSE = 1 << 15
 
@@ -434,8 +436,10 @@ def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b: classes; ra, rb: their documents), those that are linked, as rows (ra, rb)."""
-    need = pairs.select(F.explode(F.array("ra", "rb")).alias("need")).distinct()
-    some = docs.select("doc_id", "text").join(need.hint("shuffle_hash"), F.col("doc_id") == F.col("need"), "left_semi")
+    need = checkpoint(pairs.select(F.explode(F.array("ra", "rb")).alias("need")).distinct())
+    few = need.count() <= BROADCAST_IDS
+    need = F.broadcast(need) if few else need.hint("shuffle_hash")
+    some = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("need"), "left_semi")
     sets = checkpoint(some.mapInPandas(_arrays, "cls long, s array<long>"))
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -445,22 +449,30 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node that it reaches) for the nodes of edges (ra, rb)."""
+    """node, comp (the smallest node that it reaches) for the nodes of edges (ra, rb).
+
+    Up to BROADCAST_IDS edges the least neighbours are broadcast and few tasks read
+    the edges; beyond it both sides are shuffled.
+    """
     e = checkpoint(edges.select(F.greatest("ra", "rb").alias("u"), F.least("ra", "rb").alias("v")).filter("u != v").distinct())
-    told = None
+    told, n = None, e.count()
     while True:
+        few = n <= BROADCAST_IDS
+        near = F.broadcast if few else lambda df: df
+        e = e.coalesce(1 + n // 50_000) if few else e
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours go to the least neighbour
-        e1 = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        e1 = both.join(near(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        e1 = e1 if few else e1.distinct()
         # small star: smaller neighbours, and the node itself, go to the least one
         least = e1.groupBy("u").agg(F.min("v").alias("m"))
-        e2 = e1.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v")).filter("u != v").distinct()
-        e = checkpoint(e2)
+        e2 = e1.join(near(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v")).filter("u != v").distinct()
+        e = checkpoint(e2.coalesce(1 + n // 50_000) if few else e2)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == told:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
-        told = now
+        told, n = now, now[0]
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
