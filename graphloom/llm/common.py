@@ -55,6 +55,11 @@ def words_of(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def text_key(text: Column) -> Column:
+    """A 128-bit hash of a text; with doc_id it tells rows apart unless these hold the same text. Null counts as empty."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def n_tokens(text: Column) -> Column:
     """Number of white-space separated words; null text has none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import text_key, words_of
 
 WINDOW = 13
 #: The window set is broadcast up to this number of bytes of text; beyond it the join is shuffled.
@@ -42,17 +42,17 @@ def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """A row (doc_id, first, n_gram, items) for each occurrence of a window; first counts words from 0."""
+    """A row (doc_id, key, first, n_gram, items) for each occurrence of a window; first counts words from 0, key is the text's hash."""
     grams = windows(benchmark, n)
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     # each character of an item is in at most n windows
     grams = F.broadcast(grams) if size * n <= BROADCAST_BYTES else grams
-    words = docs.filter("text is not null").select("doc_id", words_of(F.col("text")).alias("w"))
-    seen = words.select("doc_id", "w", F.posexplode("w").alias("pos", "anchor"))
+    words = docs.filter("text is not null").select("doc_id", text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("w"))
+    seen = words.select("doc_id", "key", "w", F.posexplode("w").alias("pos", "anchor"))
     found = seen.join(grams, "anchor").withColumn("first", F.col("pos") - F.col("at"))
     here = F.slice("w", F.greatest(F.col("first"), F.lit(0)) + 1, F.col("n_gram"))
     return found.filter((F.col("first") >= 0) & (F.xxhash64(here) == F.col("gram")) & (here == F.col("gram_words"))).select(
-        "doc_id", "first", "n_gram", "items"
+        "doc_id", "key", "first", "n_gram", "items"
     )
 
 
@@ -60,26 +60,23 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, per_cent: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted strings), contaminated, for each document.
+def hit_words(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+    """hit_id, hit_key, places (of the hit words), items (sorted) for each doc_id and text with a hit; rows that are equal in both are hit alike."""
+    h = hits(docs, benchmark, n).groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"))
+    h = h.agg(F.collect_set(F.struct("first", "n_gram")).alias("spans"), F.collect_set("items").alias("named"))
+    places = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["n_gram"] - 1)))
+    return h.select("hit_id", "hit_key", F.array_distinct(places).alias("places"), F.array_sort(F.array_distinct(F.flatten("named"))).alias("items"))
 
-    A word within any occurrence of a window is hit; contaminated: at least one
-    is, and at least per_cent of a hundred of the document's words. Null, empty and
-    blank texts have no words. Rows that share a doc_id are one document, with the
-    words of all; a null doc_id is a document of its own. Nothing in benchmark
-    means no hits. Other columns are ignored.
-    """
-    h = hits(docs, benchmark, n)
-    places = h.select("doc_id", F.explode(F.expr("sequence(first, first + n_gram - 1)")).alias("pos")).distinct()
-    n_hit = places.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    items = h.select("doc_id", F.explode("items").alias("item")).groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = n_hit.join(items, "doc_id").withColumnRenamed("doc_id", "hit_id")
-    counts = docs.select("doc_id", n_words(F.col("text")).alias("n_words"))
-    counts = counts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
-    out = counts.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").drop("hit_id")
+
+def judged(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, per_cent: int = 5) -> DataFrame:
+    """report() with key, the text's hash."""
+    found = hit_words(docs, benchmark, n).select("hit_id", "hit_key", F.size("places").alias("n_hit"), "items")
+    counts = docs.select("doc_id", text_key(F.col("text")).alias("key"), n_words(F.col("text")).alias("n_words"))
+    out = counts.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id",
+        "key",
         "n_words",
         hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -87,22 +84,34 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, per_cent: int
     )
 
 
+def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, per_cent: int = 5) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted strings), contaminated, for each row of docs.
+
+    A word within any occurrence of a window is hit; contaminated: at least one
+    is, and at least per_cent of a hundred of the document's words. Null, empty and
+    blank texts have no words. Every row is a document and is judged by its own
+    text, also where rows share a doc_id or have none. Nothing in benchmark
+    means no hits. Other columns are ignored.
+    """
+    return judged(docs, benchmark, n, per_cent).drop("key")
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, per_cent: int = 5) -> DataFrame:
-    """docs without the contaminated ones; all columns stay."""
-    bad = report(docs, benchmark, n, per_cent).filter("contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    """docs without the contaminated rows; all columns stay."""
+    bad = judged(docs, benchmark, n, per_cent).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key"))
+    same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (text_key(docs["text"]) == F.col("bad_key"))
+    return docs.join(bad.hint("shuffle_hash"), same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs with the hit words, and what stands between each and the next word, cut out of text."""
-    places = hits(docs, benchmark, n).select("doc_id", F.explode(F.expr("sequence(first, first + n_gram - 1)")).alias("pos")).distinct()
-    cut = places.groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_set("pos").alias("cut"))
+    """docs with the hit words, and what stands between each and the next word, cut out of text; each row by its own hits."""
+    cut = hit_words(docs, benchmark, n).select(F.col("hit_id").alias("cut_id"), F.col("hit_key").alias("cut_key"), F.col("places").alias("cut"))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     head = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
     rest = F.filter(F.regexp_extract_all("text", F.lit(word), F.lit(0)), lambda w, i: ~F.array_contains(F.col("cut"), i))
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(F.col("cut_id")), "left")
+    joined = docs.join(cut, docs["doc_id"].eqNullSafe(F.col("cut_id")) & (text_key(docs["text"]) == F.col("cut_key")), "left")
     text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(rest, "")))
-    return joined.withColumn("text", text).drop("cut", "cut_id")
+    return joined.withColumn("text", text).drop("cut", "cut_id", "cut_key")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

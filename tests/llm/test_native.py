@@ -244,6 +244,20 @@ def test_decontamination_against_plain_version(spark):
         decontaminate.BROADCAST_BYTES = old
 
 
+def test_decontamination_of_repeated_and_null_ids(spark):
+    item = " ".join(f"b{i}" for i in range(13))
+    dirty = item + " " + " ".join(f"c{i}" for i in range(150))
+    clean = [" ".join(f"d{k}x{i}" for i in range(200)) for k in range(3)]
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    rows = [(1, dirty), (1, dirty), (1, dirty), (2, dirty), (2, clean[0]), (None, dirty), (None, clean[1]), (None, clean[2]), (None, None), (3, clean[0])]
+    d = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], DOC)
+    got = decontaminate.report(d, bench).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["contaminated"]) for r in got) == sorted((str(i), len((t or "").split()), 13 * (t == dirty), t == dirty) for i, t in rows)
+    assert {r["n_chars"] for r in decontaminate.remove_documents(d, bench).collect()} == {k for k, (_, t) in enumerate(rows) if t != dirty}
+    cut = {r["n_chars"]: r["text"] for r in decontaminate.remove_spans(d, bench).collect()}
+    assert cut == {k: t.removeprefix(item + " ") if t == dirty else t for k, (_, t) in enumerate(rows)}
+
+
 # licences
 
 
