@@ -525,8 +525,20 @@ def similarity_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that with the smallest doc_id; rows without a doc_id stay."""
-    gone = similarity_components(docs).filter("component_id != doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("gone"), "left_anti")
-
+    """docs with one row of each component, that with the smallest doc_id; all columns stay.
 
+    Every row is a document, also where rows share a doc_id or have none: then rows
+    are numbered for the purpose, a row without a doc_id comes after all others,
+    and of rows with the same doc_id any one may stay. Rows without a word are in
+    components of their own and stay.
+    """
+    if docs.groupBy("doc_id").agg(F.count("*").alias("k")).filter("doc_id is null or k > 1").isEmpty():
+        gone = similarity_components(docs).filter("component_id != doc_id").select(F.col("doc_id").alias("gone"))
+        return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("gone"), "left_anti")
+    # numbers given once and written out, so that a lost executor can't change them
+    rows = checkpoint(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("nr")))
+    found = similarity_components(rows.select(F.col("nr").alias("doc_id"), F.col("row.text").alias("text")))
+    found = found.select(F.col("doc_id").alias("nr"), "component_id").join(rows.select("nr", F.col("row.doc_id").alias("id")), "nr")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "nr"))
+    kept = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.nr").alias("kept_nr"))
+    return rows.join(kept.hint("shuffle_hash"), rows["nr"] == F.col("kept_nr"), "left_semi").select("row.*")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship, spread
+from .common import checkpoint, ship, spread, text_key
 from .line_rules import repeated_words
 
 ship(__name__)
@@ -119,12 +119,15 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((len(words), sum(v * 3**j for j, v in enumerate(votes(len(words), r))), list(f), list(f.values())))
         df = pd.DataFrame(rows, columns=["n_words", "pattern", "idx", "val"])
         df.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype="Int64"))
+        if "key" in pdf:
+            df["key"] = pdf["key"]
         yield df
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, pattern (votes as digits to base 3; -1 without words), idx and val (hashed features)."""
-    return spread(docs.select("doc_id", "text")).mapInPandas(_measure, "doc_id long, n_words long, pattern long, idx array<int>, val array<float>")
+def measured(docs: DataFrame, keys: bool = False) -> DataFrame:
+    """doc_id, n_words, pattern (votes as digits to base 3; -1 without words), idx and val (hashed features), with keys also key (the text's hash)."""
+    given = docs.select("doc_id", "text", *[text_key(F.col("text")).alias("key")] * keys)
+    return spread(given).mapInPandas(_measure, "doc_id long, n_words long, pattern long, idx array<int>, val array<float>" + ", key string" * keys)
 
 
 @dataclass
@@ -189,8 +192,8 @@ def fit_scorer(idx: list[np.ndarray], val: list[np.ndarray], soft: np.ndarray, r
     return np.append(mean[:-1] * scale, mean[-1])
 
 
-def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
-    """doc_id, n_words, posterior, score, kept for every row of docs.
+def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep_from: float = KEEP_FROM, keys: bool = False) -> DataFrame:
+    """doc_id, n_words, posterior, score, kept for every row of docs, with keys also key (the text's hash).
 
     score is the scorer's probability that the document is good, posterior the
     label model's. kept: score >= keep_from. Null, empty and blank texts have
@@ -198,7 +201,7 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep_from: float = K
     rows are judged alike and counted as often as they occur. An empty table gives
     no rows. Other columns are ignored. Whole texts are used.
     """
-    rows = checkpoint(measured(docs))
+    rows = checkpoint(measured(docs, keys))
     seen = rows.filter("pattern >= 0")
     table = seen.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
     model = fit_labels(table["pattern"].to_numpy(dtype=np.int64), table["n"].to_numpy())
@@ -216,12 +219,16 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep_from: float = K
             some = pdf["pattern"].to_numpy() >= 0
             p = np.where(some, label.posterior(np.maximum(pdf["pattern"].to_numpy(), 0)), 0.0)
             ids = pd.array([None if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype="Int64")
-            yield pd.DataFrame({"doc_id": ids, "n_words": pdf["n_words"], "posterior": p, "score": s, "kept": some & (s >= keep_from)})
+            df = pd.DataFrame({"doc_id": ids, "n_words": pdf["n_words"], "posterior": p, "score": s, "kept": some & (s >= keep_from)})
+            if "key" in pdf:
+                df["key"] = pdf["key"]
+            yield df
 
-    return rows.mapInPandas(score, "doc_id long, n_words long, posterior double, score double, kept boolean")
+    return rows.mapInPandas(score, "doc_id long, n_words long, posterior double, score double, kept boolean" + ", key string" * keys)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without what classify() rejects; rows that share a doc_id go together."""
-    bad = classify(docs).filter("not kept").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    """docs without the rows that classify() rejects; each row by its own text, also where rows share a doc_id or have none."""
+    bad = classify(docs, keys=True).filter("not kept").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (text_key(docs["text"]) == F.col("bad_key"))
+    return docs.join(bad.hint("shuffle_hash"), same, "left_anti")

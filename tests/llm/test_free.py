@@ -137,6 +137,17 @@ def test_degenerate_tables(spark):
     assert got == sorted([("0", 2, 0), ("1", 2, 0), ("1", 2, 0), ("2", 0, 2), ("None", 2, None), ("None", 2, None), ("None", 0, None)], key=lambda r: (r[0], r[1], str(r[2])))
 
 
+def test_one_row_of_each_class_stays_with_repeated_and_null_ids(spark):
+    rng = random.Random(21)
+    one, two, three = (" ".join(words(rng, 60, 10**9)) for _ in range(3))
+    rows = [(5, one), (5, one), (5, one), (7, one), (5, two), (None, two), (None, two), (None, three), (None, three), (None, None), (9, ""), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], DOC).withColumn("nr", F.lit(1)).withColumn("row", F.lit(2))
+    got = ngram_join.keep_one(df)
+    assert got.columns == df.columns
+    want = [(5, one), (5, two), (None, three), (None, None), (9, ""), (9, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_similar_sets_share_a_block():
     """The promise of the sketches, with and without common shingles left out, at the very limit of similarity."""
     rng = np.random.default_rng(3)
@@ -216,6 +227,18 @@ def test_quality_rejects_junk_and_keeps_clean_documents(spark):
     assert twice == 1
 
 
+def test_quality_rejects_rows_and_not_ids(spark):
+    rng = random.Random(22)
+    vocab = ["the", "of", "and", "to", "in", "a"] * 40 + ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 10))) for _ in range(800)]
+    clean = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(60, 300))).capitalize() + "." for _ in range(200)]
+    junk = [" ".join(rng.choice(vocab).upper() + rng.choice(["$$$", "***"]) for _ in range(150)) for _ in range(40)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t, "en", "s", i) for i, t in enumerate([*clean, *junk, None, "", clean[0], junk[0]])]
+    got = {r["n_chars"] for r in quality.keep_good(spark.createDataFrame(rows, DOC)).collect()}
+    by_text = {r["doc_id"]: r["kept"] for r in quality.classify(spark.createDataFrame([(r[4], *r[1:]) for r in rows], DOC)).collect()}
+    assert got == {i for i, kept in by_text.items() if kept}
+    assert len(got & set(range(200))) >= 198 and 242 in got and not got & {200, 240, 241, 243}
+
+
 # language
 
 
