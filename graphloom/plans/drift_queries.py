@@ -176,6 +176,14 @@ def drift_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.score(_issues(spark, sf_dir).filter(F.col("day") == F.lit("2024-01-30").cast("date")))
 
 
+@query(f"WITH {ISSUES} SELECT day, {SCORE} FROM issues GROUP BY day UNION ALL SELECT NULL, {SCORE} FROM issues")
+def drift_score_every_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of each day's issues and, with a null day, that of all issues."""
+    issues = _issues(spark, sf_dir)
+    whole = drift.score(issues).select(F.lit(None).cast("date").alias("day"), "score")
+    return drift.score(issues, ["day"]).select("day", "score").unionByName(whole)
+
+
 @query(f"WITH {ISSUES} SELECT file, day, {SCORE} FROM issues GROUP BY file, day")
 def drift_score_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of each file on each day."""
@@ -227,6 +235,20 @@ def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composite.doctor(report, events.heartbeat(last, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 3), log)
 
 
+@query(
+    f"""WITH {ISSUES}, s AS (SELECT {SCORE}, count(*) FILTER (severity = 'error') AS errors FROM issues),
+    u AS (SELECT user_id, max(ts) FILTER (event_type = 'signup') AS t FROM events GROUP BY user_id),
+    h AS (SELECT count(*) FILTER (floor(epoch(TIMESTAMP '2024-01-30 12:00:00' - t) / 86400) > 3) AS n FROM u)
+    SELECT 'drift' AS what, score >= 80 AND errors = 0 AS ok, score AS n FROM s UNION ALL SELECT 'heartbeat', n = 0, n FROM h UNION ALL SELECT 'events', true, count(*) FROM events"""
+)
+def doctor_all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As doctor, with the score of all issues."""
+    _, report = composite.check([_issues(spark, sf_dir)])
+    log = bridge.log(spark, sf_dir)
+    last = log.groupBy(F.col("user_id").alias("key")).agg(F.max(F.when(F.col("kind") == "signup", F.col("at"))).alias("last_updated"))
+    return composite.doctor(report, events.heartbeat(last, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 3), log)
+
+
 @query(
     """SELECT source, count(*) AS n, count(*) FILTER (n_chars > 2000) AS populated, round(count(*) FILTER (n_chars > 2000) * 100.0 / count(*))::BIGINT AS per_cent FROM documents GROUP BY source"""
 )

@@ -146,3 +146,18 @@ def test_evaluation(spark):
     assert {x["task"]: x["recall"] for x in evaluate.expected_recall(e, r).collect()} == {"t": 0.5, "u": 0.0}
     t = spark.createDataFrame([("r", '{"type":"assistant","message":{"content":[{"type":"tool_use"},{"type":"text"}]}}'), ("r", '{"type":"result","num_turns":3,"total_cost_usd":0.2}'), ("r", "x")], "run string, value string")
     assert tuple(evaluate.transcript_counts(t).first()) == ("r", 3, 1, 0.2)
+
+
+def test_scores_cover_all_issues(spark):
+    from graphloom.plans import drift_queries, registry
+
+    sf = "/root/testdata/sf0.001"
+    cost = {"error": 10, "warning": 3, "info": 1}
+    spent = {}
+    for r in drift_queries._issues(spark, sf).select("day", "severity").collect():
+        for k in (r["day"], None):
+            spent[k] = spent.get(k, 0) + cost[r["severity"]]
+    got = {r["day"]: r["score"] for r in registry.QUERIES["drift_score_every_day"](spark, sf).collect()}
+    assert len(got) > 2 and got == {k: max(0, 100 - c) for k, c in spent.items()}
+    told = {r["what"]: r["n"] for r in registry.QUERIES["doctor_all_issues"](spark, sf).collect()}
+    assert told["drift"] == got[None]
