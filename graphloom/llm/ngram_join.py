@@ -9,21 +9,26 @@ at most D blocks differ, and of any D + 1 blocks one is equal.
 
 - Size bands: band l holds sizes from 2**l to 2**(l + 1) - 1 and has its own k. A set
   is put into its own band, and into the next one if a partner may be there.
-- Each set gives its first D + 1 blocks with a bit set, where D is the largest that
-  any partner allows. Of two similar sets, take the one whose last such block comes
-  first: at most D of its blocks differ, so one is equal, and the other set gives
-  that block too. Blocks are kept as the XOR of the shingles' 64-bit hashes.
+- Each set gives its first D + 1 + SLACK blocks with a bit set, where D is the largest
+  that any partner allows. Of two similar sets, take the one whose last such block
+  comes first: at most D of its blocks differ, so SLACK + 1 are equal, and the other set
+  gives these blocks too. Blocks are kept as the XOR of the shingles' 64-bit hashes.
 - Shingles in a large share of all documents are left out of the sketches, which
   keeps the bound, since the rest of two sets differs no more than the sets. Any
   set of shingles may be left out; the result is the same. Sets with too few
   blocks after that are weak. Two similar sets are found as above unless both are
   weak; for this, weak sets also give blocks of their whole sets, kept apart.
 - Documents with equal sets form a class first; only classes are compared.
-- Many sets may give one block. Up to SMALL of them are paired with each other;
-  more are first paired with one of them. After these pairs are verified, those that
-  are not yet in one component are compared with each other by dense sketches, in
-  squares of CHUNK by CHUNK. Of the pairs that may be linked a spanning forest, the
-  closest first, is verified; then all pairs that may still join two components.
+- Many sets may give one block. Up to SMALL of them are paired with each other; in
+  a large block the others are paired with one of them. These pairs are verified.
+- A pair that is missed by this has only large blocks in common, SLACK + 1 of them or
+  more. The few sets with so many large blocks give blocks once more, the large
+  ones last, so that a passage that many share is in few sets' first D + 1 + SLACK blocks.
+  The order of the blocks may be any, if it is the same for all sets. Of blocks that
+  are in different components, small ones give pairs; large ones are compared by
+  dense sketches, in squares of CHUNK by CHUNK. Of the pairs that may be linked a
+  spanning forest, the closest first, is verified; then all that may still join two
+  components.
 - Pairs that pass the bound on dense sketches are verified with the shingles.
 
 Components are found by alternating large-star and small-star steps.
@@ -40,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship, spread
+from .common import checkpoint, fresh, ship, spread
 
 ship(__name__)
 
@@ -49,8 +54,12 @@ WORDS = 5
 PER_CENT = 75
 #: Sets that give the same block: up to this many are all paired with each other at once.
 SMALL = 8
+#: Of a block that more than so many sets of one slice of text give, one of these sets stands for all.
+HOT = 32
+#: Blocks that a set gives besides the D + 1 that it must; at most 7.
+SLACK = 4
 #: Members of a larger block are compared in squares of this many.
-CHUNK = 1024
+CHUNK = 4096
 #: Block entries, and members of squares, handled together.
 GROUP_KEYS = 1 << 20
 HANDFUL = 1 << 14
@@ -58,8 +67,11 @@ HANDFUL = 1 << 14
 COMMON = 256
 #: At most so many common shingles are left out of the sketches, the most common first.
 MOST_COMMON = 1 << 20
-#: Ids of documents to verify are broadcast up to this number (8 bytes each); beyond it the texts are shuffled.
-BROADCAST_IDS = 500_000
+#: Edges up to this number are broadcast in the rounds that find components (16 bytes each); beyond it they are shuffled.
+BROADCAST_EDGES = 500_000
+#: A set of numbers is broadcast as a bit set of about 16 bits each and of at most so many 64-bit words, 64 MB. Beyond that more
+#: numbers pass for members than are; what uses the sets gives the same result for any superset.
+BIT_WORDS = 1 << 23
 #: Bits of the largest dense sketch.
 DENSE = 1 << 15
 
@@ -151,8 +163,8 @@ def class_id(s: np.ndarray) -> tuple[int, int]:
 
 
 def dense_sketch(s: np.ndarray) -> bytes:
-    """Parity bits of a set; four times as many as it has shingles or more, from 256 up to DENSE."""
-    bits = min(DENSE, max(256, 1 << (4 * len(s) - 1).bit_length()))
+    """Parity bits of a set; one and a half times as many as it has shingles or more, from 256 up to DENSE."""
+    bits = min(DENSE, max(256, 1 << (3 * len(s) // 2).bit_length()))
     at = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((at & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -170,6 +182,45 @@ def max_difference(a, b):
     return (100 - PER_CENT) * (a + b) // (100 + PER_CENT)
 
 
+# sets of numbers as bits
+
+
+def _bits_of(x: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and two bits of each number."""
+    x = mix(x.view(np.uint64) ^ _P)
+    one = np.uint64(1)
+    return (x % np.uint64(words)).astype(np.int64), (one << (x >> np.uint64(40) & np.uint64(63))) | (one << (x >> np.uint64(50) & np.uint64(63)))
+
+
+def bit_set(numbers: DataFrame):
+    """A broadcast bit set of a column of longs: all of these are members, of other numbers a few per cent, see BIT_WORDS."""
+    words = 1 << 8
+    n = numbers.count()
+    while words < BIT_WORDS and words * 4 < n:
+        words *= 2
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            word, bits = _bits_of(pdf.iloc[:, 0].to_numpy(dtype=np.int64), words)
+            order = np.argsort(word, kind="stable")
+            word, bits = word[order], bits[order]
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
+            both = np.bitwise_or.reduceat(bits, first) if len(word) else bits
+            yield pd.DataFrame({"word": word[first].astype(np.int32), "bits": both.view(np.int64)})
+
+    marked = numbers.mapInPandas(mark, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(words, dtype=np.uint64)
+    out[marked["word"].to_numpy()] = marked["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return numbers.sparkSession.sparkContext.broadcast(out)
+
+
+def members(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    word, both = _bits_of(x, len(bits))
+    return (bits[word] & both) == both
+
+
+# blocks
+
 #: Blocks for each place of a band's top size, in hundredths: enough that hardly any set has too few with a bit
 #: set, and few enough that a block is seldom made of a shared passage alone. Smaller sizes have SPARSE blocks.
 DENSITY = {5: 75, 6: 60, 7: 50, 8: 45, 9: 40}
@@ -193,14 +244,17 @@ def layouts(n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return [(np.arange(len(n)), band, own), (over, band[over] + 1, max_difference(n[over], largest[over]) + 1)]
 
 
-def blocks(sets: list[np.ndarray], n: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and owners of the blocks that the sets give, and which sets gave too few.
+def blocks(sets: list[np.ndarray], n: np.ndarray, tag: int, groups: int, late: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, owners and slack of the blocks that the sets give, and which sets gave too few.
 
-    n: sizes of the whole sets, of which sets may be parts.
+    n: sizes of the whole sets, of which sets may be parts. late: a bit set of the names of blocks that come last.
+    The slack of a set is how many blocks it gives beyond those that it must; one that gives all it has counts as
+    having SLACK, since it limits no other set.
     """
-    keys, owners, weak = [], [], np.zeros(len(sets), dtype=bool)
+    none = np.empty(0, dtype=np.int64)
+    keys, owners, slacks, weak = [none.view(np.uint64)], [none], [none], np.zeros(len(sets), dtype=bool)
     size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets) if len(sets) else np.empty(0, dtype=np.uint64)
+    flat = np.concatenate(sets) if len(sets) else none.view(np.uint64)
     start = np.concatenate([[0], np.cumsum(size)])
     for which, band, need in layouts(n):
         if not len(which):
@@ -213,26 +267,57 @@ def blocks(sets: list[np.ndarray], n: np.ndarray, tag: int) -> tuple[np.ndarray,
         place = row * np.int64(1 << 32) + block
         order = np.argsort(place, kind="stable")
         place, s = place[order], s[order]
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.empty(0, dtype=np.int64)
-        value = np.bitwise_xor.reduceat(s, first) if len(first) else np.empty(0, dtype=np.uint64)
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else none
+        value = np.bitwise_xor.reduceat(s, first) if len(first) else none.view(np.uint64)
         place = place[first]
         place, value = place[value != 0], value[value != 0]
         owner = place >> 32
+        at = (place & np.int64(0xFFFFFFFF)) * 256 + band[owner] * 4 + tag
+        key = mix(value ^ mix(at.astype(np.uint64) + np.uint64(1)))
+        if late is not None:
+            order = np.lexsort((place, members(late, block_name(key, groups)), owner))
+            owner, key = owner[order], key[order]
         given = np.bincount(owner, minlength=len(which))
         rank = np.arange(len(owner)) - np.repeat(np.cumsum(given) - given, given)
         few = given < need
         weak[which[few]] = True
-        use = rank < need[owner]
-        at = (place[use] & np.int64(0xFFFFFFFF)) * 256 + band[owner[use]] * 4 + tag
-        keys.append(mix(value[use] ^ mix(at.astype(np.uint64) + np.uint64(1))))
+        slack = np.where(few, SLACK, np.minimum(SLACK, given - need))
+        use = rank < need[owner] + SLACK
+        keys.append(key[use])
         owners.append(which[owner[use]])
+        slacks.append(slack[owner[use]])
         if tag and few.any():
             # hardly any set gives too few even here; these are all compared with each other
-            none = band[few] * 4 + 2
-            keys.append(mix(none.astype(np.uint64) + np.uint64(1 << 60)))
+            alone = band[few] * 4 + 2
+            keys.append(mix(alone.astype(np.uint64) + np.uint64(1 << 60)))
             owners.append(which[few])
-    join = lambda x, t: np.concatenate(x) if x else np.empty(0, dtype=t)
-    return join(keys, np.uint64), join(owners, np.int64), weak
+            slacks.append(np.zeros(few.sum(), dtype=np.int64))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(slacks), weak
+
+
+def block_group(keys: np.ndarray, groups: int) -> np.ndarray:
+    return (keys >> np.uint64(32)) % np.uint64(groups)
+
+
+def block_name(keys: np.ndarray, groups: int) -> np.ndarray:
+    """What is kept of a key: its group and lower half."""
+    return ((block_group(keys, groups) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))).view(np.int64)
+
+
+def tokens_of(whole: list[np.ndarray], groups: int, left_out: np.ndarray, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, owners and slack of all blocks that sets give, those of whole sets for weak ones included."""
+    n = np.array([len(s) for s in whole], dtype=np.int64)
+    parts = whole
+    if len(left_out):
+        flat = np.concatenate(whole)
+        rare = left_out[np.minimum(np.searchsorted(left_out, flat), len(left_out) - 1)] != flat
+        parts = [s[r] for s, r in zip(whole, np.split(rare, np.cumsum(n)[:-1]), strict=True)]
+    keys, owners, slack, weak = blocks(parts, n, 0, groups, late)
+    if weak.any():
+        some = np.flatnonzero(weak)
+        k, o, r, _ = blocks([whole[i] for i in some], n[some], 1, groups, late)
+        keys, owners, slack = np.r_[keys, k], np.r_[owners, some[o]], np.r_[slack, r]
+    return keys, owners, slack
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,6 +344,36 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"doc_id": none, "doc": False, "n": k + (least - 1), "d1": h.view(np.int64), "d2": 0, "sketch": b""})
 
 
+#: Kinds of what comes of blocks: a pair of classes; a class, its large blocks (times 8) and their least slack; the name of a large block.
+PAIR, LARGE, NAME = 0, 1, 2
+#: Marks the slack of a class that stands for more than HOT of its slice.
+STANDS = 128
+
+
+def runs(key: np.ndarray, cls: np.ndarray, slack: np.ndarray):
+    """Entries in order of key and class, once each: first of each key, key of each, key, cls, slack (with STANDS) by key."""
+    order = np.lexsort((cls, key))
+    key, cls, slack = key[order], cls[order], slack[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+    least = np.minimum.reduceat(slack & 7, first) if len(first) else slack
+    stands = np.bitwise_or.reduceat(slack & STANDS, first) if len(first) else slack
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+    of = (np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if len(key) else np.empty(0, dtype=np.int64))[new]
+    key, cls = key[new], cls[new]
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
+    return first, of, key, cls, least, stands
+
+
+def large_counts(cls: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes, and the number of their large blocks times 8 with the least slack."""
+    if not len(cls):
+        return cls, cls
+    order = np.argsort(cls, kind="stable")
+    c, at, k = np.unique(cls[order], return_index=True, return_counts=True)
+    return c, k * 8 + np.minimum.reduceat(least[order], at)
+
+
 def _pack(groups: int, common):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left_out = common.value
@@ -272,62 +387,72 @@ def _pack(groups: int, common):
 
 
 def _packed(sets: dict[int, np.ndarray], groups: int, left_out: np.ndarray) -> pd.DataFrame:
-    """Block keys of sets, a row for each group of keys."""
-    whole = list(sets.values())
+    """Block keys of sets, a row for each group of keys.
+
+    Of a block that more than HOT of these sets give, one class stands for all: the others are told of in a row of
+    a group below 0, so that a block that a large part of all sets gives comes as a few entries from each slice. They
+    are told of with no slack, since other slices may have sets with less.
+    """
     ids = np.fromiter(sets, dtype=np.int64, count=len(sets))
-    n = np.array([len(s) for s in whole], dtype=np.int64)
-    parts = whole
-    if len(left_out):
-        flat = np.concatenate(whole)
-        rare = left_out[np.minimum(np.searchsorted(left_out, flat), len(left_out) - 1)] != flat
-        parts = [s[r] for s, r in zip(whole, np.split(rare, np.cumsum(n)[:-1]), strict=True)]
-    keys, owners, weak = blocks(parts, n, 0)
-    if weak.any():
-        some = np.flatnonzero(weak)
-        k, o, _ = blocks([whole[i] for i in some], n[some], 1)
-        keys, owners = np.r_[keys, k], np.r_[owners, some[o]]
-    group = (keys >> np.uint64(32)) % np.uint64(groups)
+    keys, owners, slack = tokens_of(list(sets.values()), groups, left_out)
+    first, of, keys, cls, least, _ = runs(keys, ids[owners], slack)
+    size = np.diff(np.r_[first, len(keys)])
+    large = size[of] > HOT
+    other = large & (np.arange(len(of)) != first[of])
+    slack = np.where(large, least[of] | STANDS, least[of])
+    told = large_counts(cls[other], np.zeros(other.sum(), dtype=np.int64))
+    pairs = np.unique(np.stack([cls[first[of[other]]], cls[other]]), axis=1)
+    keys, cls, slack = keys[~other], cls[~other], slack[~other]
+    group = block_group(keys, groups)
     order = np.argsort(group, kind="stable")
-    group, keys, owners = group[order], keys[order], ids[owners[order]]
+    group, keys, cls, slack = group[order], keys[order], cls[order], slack[order]
     cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    return pd.DataFrame(
-        {
-            "p": group[cut].astype(np.int32),
-            "keys": [x.astype(np.uint32).tobytes() for x in np.split(keys, cut[1:])],
-            "ids": [x.tobytes() for x in np.split(owners, cut[1:])],
-        }
-    )
+    out = {
+        "p": group[cut].astype(np.int32),
+        "keys": [x.astype(np.uint32).tobytes() for x in np.split(keys, cut[1:])],
+        "ids": [x.tobytes() for x in np.split(cls, cut[1:])],
+        "slack": [x.astype(np.uint8).tobytes() for x in np.split(slack, cut[1:])],
+    }
+    if len(told[0]):
+        # kinds in slack
+        aside = pd.DataFrame({
+            "p": np.int32(-1 - int(ids[0] % groups)),
+            "keys": [np.r_[pairs[0], told[0]].tobytes()],
+            "ids": [np.r_[pairs[1], told[1]].tobytes()],
+            "slack": [np.repeat(np.array([PAIR, LARGE], dtype=np.uint8), [pairs.shape[1], len(told[0])]).tobytes()],
+        })
+        return pd.concat([pd.DataFrame(out), aside], ignore_index=True)
+    return pd.DataFrame(out)
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one group of keys: pairs (a, b), and members b of large blocks a."""
-    key = np.frombuffer(b"".join(pdf["keys"]), dtype=np.uint32)
+    """What comes of one group of keys: kind, a, b."""
+    p = int(pdf["p"].iat[0])
+    slack = np.frombuffer(b"".join(pdf["slack"]), dtype=np.uint8)
     cls = np.frombuffer(b"".join(pdf["ids"]), dtype=np.int64)
+    if p < 0:
+        out = pd.DataFrame({"kind": slack.astype(np.int32), "a": np.frombuffer(b"".join(pdf["keys"]), dtype=np.int64), "b": cls})
+        return out.drop_duplicates() if len(out) else out
+    key = np.frombuffer(b"".join(pdf["keys"]), dtype=np.uint32)
     order = np.argsort(key, kind="stable")
-    key, cls = key[order], cls[order]
+    key, cls, slack = key[order], cls[order], slack[order].astype(np.int64)
     same = key[1:] == key[:-1]
-    met = np.r_[same, False] | np.r_[False, same]
-    key, cls = key[met], cls[met]
-    order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-    key, cls = key[new], cls[new]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+    met = np.r_[same, False] | np.r_[False, same] | (slack >= STANDS)
+    first, of, key, cls, least, stands = runs(key[met], cls[met], slack[met])
     size = np.diff(np.r_[first, len(key)])
-    of = np.repeat(np.arange(len(first)), size)
-    pairs = []
+    big = (size > SMALL) | (stands > 0)
+    pairs = [np.empty((2, 0), dtype=np.int64)]
     for off in range(1, SMALL):
-        i = np.flatnonzero((of[off:] == of[:-off]) & (size[of[off:]] <= SMALL)) if len(of) > off else np.empty(0, dtype=np.int64)
+        i = np.flatnonzero((of[off:] == of[:-off]) & ~big[of[off:]]) if len(of) > off else np.empty(0, dtype=np.int64)
         pairs.append(np.stack([cls[i], cls[i + off]]))
-    large = size[of] > SMALL
+    large = big[of]
     star = large & (np.arange(len(of)) != first[of])
     pairs.append(np.stack([cls[first[of[star]]], cls[star]]))
     pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    # blocks with the same members are one
-    names = np.bitwise_xor.reduceat(mix(cls.view(np.uint64)), first).view(np.int64) if len(first) else np.empty(0, dtype=np.int64)
-    member = np.unique(np.stack([names[of[large]], cls[large]]), axis=1)
-    return pd.DataFrame({"large": np.r_[np.zeros(pairs.shape[1], dtype=bool), np.ones(member.shape[1], dtype=bool)], "a": np.r_[pairs[0], member[0]], "b": np.r_[pairs[1], member[1]]})
+    c, k = large_counts(cls[large], least[of[large]])
+    names = (np.int64(p) << np.int64(32)) | key[first[big]].astype(np.int64)
+    kinds = np.repeat(np.array([PAIR, LARGE, NAME], dtype=np.int32), [pairs.shape[1], len(c), len(names)])
+    return pd.DataFrame({"kind": kinds, "a": np.r_[pairs[0], c, names], "b": np.r_[pairs[1], k, np.zeros(len(names), dtype=np.int64)]})
 
 
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,6 +467,12 @@ def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[may, ["a", "b", "ra", "rb"]]
 
 
+def near(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Of pairs of classes (a, b) those that may be linked, in order of (ra, rb), their documents."""
+    pairs = pairs.join(info.toDF("a", "ra", "na", "sa"), "a").join(info.toDF("b", "rb", "nb", "sb"), "b")
+    return pairs.mapInPandas(_near, "a long, b long, ra long, rb long")
+
+
 def forest(x: np.ndarray, y: np.ndarray, lab: np.ndarray) -> np.ndarray:
     """Of edges x, y between labelled nodes the places of those that join all that the edges can join, the first ones
     where there is a choice: each label takes its first edge, what is joined becomes one label, and again."""
@@ -411,14 +542,13 @@ def _squares(all_pairs: bool):
     return squares
 
 
-def large_block_pairs(member: DataFrame, comp: DataFrame, info: DataFrame, all_pairs: bool) -> DataFrame:
-    """Candidates (a, b, ra, rb) among the members (block, cls, rep) of large blocks that comp (node, comp) keeps apart."""
-    m = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("block", "cls", "rep", F.coalesce("comp", "rep").alias("comp"))
-    split = m.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
+def large_block_pairs(member: DataFrame, info: DataFrame, all_pairs: bool) -> DataFrame:
+    """Candidates (a, b, ra, rb) among the members (block, cls, comp) of large blocks."""
+    sizes = member.groupBy("block").agg(F.count("*").alias("size")).select("block", F.ceil(F.col("size") / CHUNK).cast("int").alias("cuts"), "size")
     # each member goes to one of size / CHUNK cuts of its block, and each cut meets each
-    split = checkpoint(split.select("block", F.ceil(F.col("size") / CHUNK).cast("int").alias("cuts"), "size"))
-    rows_met = split.agg(F.coalesce(F.sum(F.col("size") * F.col("cuts")), F.lit(0))).first()[0]
-    m = m.join(split.select("block", "cuts"), "block").withColumn("cut", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int"))
+    sizes = checkpoint(sizes)
+    rows_met = sizes.agg(F.coalesce(F.sum(F.col("size") * F.col("cuts")), F.lit(0))).first()[0]
+    m = member.join(sizes.select("block", "cuts"), "block").withColumn("cut", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     square = F.xxhash64("block", F.least("cut", "other"), F.greatest("cut", "other"))
     m = m.select(square.alias("square"), "cls", "comp").join(info, "cls")
@@ -427,37 +557,46 @@ def large_block_pairs(member: DataFrame, comp: DataFrame, info: DataFrame, all_p
     return checkpoint(m.groupBy("hand").applyInPandas(_squares(all_pairs), "a long, b long, ra long, rb long").distinct())
 
 
-def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for raws in slices(pdf["text"]):
-            sets = shingles(raws)
-            yield pd.DataFrame({"cls": [class_id(s)[0] for s in sets], "s": [s.view(np.int64) for s in sets]})
+def _arrays(wanted):
+    """doc_id, class and shingles of the documents in a bit set."""
+
+    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[members(wanted.value, pdf["doc_id"].to_numpy(dtype=np.int64))]
+            ids = iter(pdf["doc_id"])
+            for raws in slices(pdf["text"]):
+                sets = shingles(raws)
+                some = list(islice(ids, len(raws)))
+                yield pd.DataFrame({"id": some, "cls": [class_id(s)[0] for s in sets], "s": [s.view(np.int64) for s in sets]})
+
+    return arrays
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b: classes; ra, rb: their documents), those that are linked, as rows (ra, rb)."""
-    need = checkpoint(pairs.select(F.explode(F.array("ra", "rb")).alias("need")).distinct())
-    few = need.count() <= BROADCAST_IDS
-    need = F.broadcast(need) if few else need.hint("shuffle_hash")
-    some = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("need"), "left_semi")
-    sets = checkpoint(some.mapInPandas(_arrays, "cls long, s array<long>"))
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    common = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(left, "a").join(right, "b").withColumn("common", common)
-    union = F.size("sa") + F.size("sb") - F.col("common")
-    return met.filter(F.col("common") * 100 >= union * PER_CENT).select("ra", "rb").distinct()
+    """Of pairs (a, b: classes; ra, rb: their documents), those that are linked, as rows (ra, rb).
+
+    Texts are read once and not shuffled: the documents are found by a bit set. Only their shingles are.
+    """
+    ends = F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("ra").alias("id")), F.struct(F.col("b").alias("cls"), F.col("rb").alias("id"))))
+    want = pairs.select("ra", "rb", ends.alias("e")).select("ra", "rb", "e.cls", "e.id")
+    wanted = bit_set(want.select("id").distinct())
+    sets = docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(_arrays(wanted), "id long, cls long, s array<long>")
+    # each pair has two sets, and they differ
+    both = want.join(sets, ["id", "cls"]).groupBy("ra", "rb").agg(F.min("s").alias("x"), F.max("s").alias("y"))
+    both = both.select("ra", "rb", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return both.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * PER_CENT).select("ra", "rb")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node that it reaches) for the nodes of edges (ra, rb).
 
-    Up to BROADCAST_IDS edges the least neighbours are broadcast and few tasks read
+    Up to BROADCAST_EDGES edges the least neighbours are broadcast and few tasks read
     the edges; beyond it both sides are shuffled.
     """
     e = checkpoint(edges.select(F.greatest("ra", "rb").alias("u"), F.least("ra", "rb").alias("v")).filter("u != v").distinct())
     told, n = None, e.count()
     while True:
-        few = n <= BROADCAST_IDS
+        few = n <= BROADCAST_EDGES
         near = F.broadcast if few else lambda df: df
         e = e.coalesce(1 + n // 50_000) if few else e
         both = e.union(e.select("v", "u")).toDF("u", "v")
@@ -475,13 +614,79 @@ def components(edges: DataFrame) -> DataFrame:
         told, n = now, now[0]
 
 
+def _again(groups: int, common, wanted, names):
+    """doc_id, cls, block and slack for the blocks of the documents in a bit set, those in names last."""
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[members(wanted.value, pdf["doc_id"].to_numpy(dtype=np.int64))]
+            ids = iter(pdf["doc_id"])
+            for raws in slices(pdf["text"]):
+                sets = [(i, s) for i, s in zip(islice(ids, len(raws)), shingles(raws), strict=True) if len(s)]
+                if sets:
+                    keys, owners, slack = tokens_of([s for _, s in sets], groups, common.value, names.value)
+                    cls = np.array([class_id(s)[0] for _, s in sets], dtype=np.int64)
+                    doc = np.array([i for i, _ in sets], dtype=np.int64)
+                    yield pd.DataFrame({"rep": doc[owners], "cls": cls[owners], "block": block_name(keys, groups), "slack": slack.astype(np.int32)})
+
+    return again
+
+
+def labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows with comp, the component of their rep: rep itself where no edge is known."""
+    return rows.join(comp.toDF("rep", "found"), "rep", "left").withColumn("comp", F.coalesce("found", "rep")).drop("found")
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """Rows of blocks (block, cls, comp, slack) that are in different components, with size, the block's, and least, its slack."""
+    split = rows.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.min("slack").alias("least"))
+    return rows.join(split.filter("lo != hi").select("block", "size", "least"), "block")
+
+
+def missed_edges(docs: DataFrame, rows: DataFrame, info: DataFrame, met: DataFrame, edges: DataFrame, comp: DataFrame, groups: int, common) -> tuple[DataFrame, DataFrame]:
+    """edges and components, with the links of pairs that have only large blocks in common."""
+    counts = met.filter(F.col("kind") == LARGE).groupBy(F.col("a").alias("cls"))
+    counts = counts.agg(F.sum(F.shiftright("b", 3)).alias("k"), F.min(F.col("b").bitwiseAND(7)).alias("least")).filter("k > least")
+    again = checkpoint(counts.select("cls").join(info.select("cls", "rep"), "cls"))
+    if again.isEmpty():
+        return edges, comp
+    wanted = bit_set(again.select("rep"))
+    names = bit_set(met.filter(F.col("kind") == NAME).select("a"))
+    blocks = rows.filter("doc_id is not null").mapInPandas(_again(groups, common, wanted, names), "rep long, cls long, block long, slack int")
+    # only the document that stands for a class
+    blocks = mixed(labelled(blocks.join(again, ["rep", "cls"]), comp))
+    blocks = checkpoint(blocks.select("block", "cls", "rep", "comp", "slack", "size", "least"))
+
+    small = blocks.filter(F.col("size") <= SMALL).select("block", "cls", "comp")
+    other = small.toDF("block", "b", "comp_b")
+    pairs = small.withColumnRenamed("cls", "a").join(other, "block").filter("a < b and comp != comp_b").select("a", "b").distinct()
+    edges = checkpoint(edges.union(verified(docs, checkpoint(near(pairs, info)))))
+    comp = components(edges)
+
+    large = blocks.filter(F.col("size") > SMALL)
+    for all_pairs in (False, True):
+        # a pair that is still missed has more large blocks in common than the least slack
+        live = mixed(labelled(large.select("block", "cls", "rep", "slack"), comp))
+        enough = live.groupBy("cls").agg(F.count("*").alias("k"), F.min("least").alias("floor")).filter("k > floor").select("cls")
+        member = checkpoint(mixed(live.drop("size", "least").join(enough, "cls", "left_semi")).select("block", "cls", "comp"))
+        if member.isEmpty():
+            break
+        more = large_block_pairs(member, info, all_pairs)
+        if not more.isEmpty():
+            edges = checkpoint(edges.union(verified(docs, more)))
+            comp = components(edges)
+    return edges, comp
+
+
 def similarity_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
     component_id is the smallest doc_id that can be reached over links. Null, empty
     and blank texts have no shingles and are linked with nothing; nor is a row with
     a null doc_id, whose component_id is null. Rows that share a doc_id share its
-    links. An empty table gives no rows. Other columns are ignored.
+    links; repeated rows come out as often. Of ties, which there are none but equal
+    sets, all are one class. Very long texts are used whole. An empty table gives no
+    rows. Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     rows = spread(docs.select("doc_id", "text"))
@@ -498,43 +703,37 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     info = classes.select(F.col("d1").alias("cls"), "rep", "n", "sketch")
 
     groups = max(1, -(-total // (2 * GROUP_KEYS)))
-    packed = rows.filter("doc_id is not null").mapInPandas(_pack(groups, shared), "p int, keys binary, ids binary")
-    met = checkpoint(packed.groupBy("p").applyInPandas(_meet, "large boolean, a long, b long"))
+    packed = rows.filter("doc_id is not null").mapInPandas(_pack(groups, shared), "p int, keys binary, ids binary, slack binary")
+    met = checkpoint(packed.groupBy("p").applyInPandas(_meet, "kind int, a long, b long"))
 
-    pairs = met.filter("not large").select("a", "b").distinct()
-    pairs = pairs.join(info.toDF("a", "ra", "na", "sa"), "a").join(info.toDF("b", "rb", "nb", "sb"), "b")
-    near = checkpoint(pairs.mapInPandas(_near, "a long, b long, ra long, rb long"))
-    edges = checkpoint(verified(docs, near))
+    pairs = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
+    edges = checkpoint(verified(docs, checkpoint(near(pairs, info))))
     comp = components(edges)
+    edges, comp = missed_edges(docs, rows, info, met, edges, comp, groups, shared)
 
-    # members of large blocks that are still in different components: what joins most first, then all that is left
-    member = met.filter("large").select(F.col("a").alias("block"), F.col("b").alias("cls")).distinct()
-    member = checkpoint(member.join(info.select("cls", "rep"), "cls").select("block", "cls", "rep"))
-    for all_pairs in (False, True):
-        more = large_block_pairs(member, comp, info, all_pairs)
-        if not more.isEmpty():
-            edges = checkpoint(edges.union(verified(docs, more)))
-            comp = components(edges)
-
-    found = of.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.select(
+    # classes first, which are joined with the documents once
+    of_class = classes.select("d1", "d2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    of_class = of_class.select("d1", "d2", F.coalesce("comp", "rep").alias("least"))
+    return of.join(of_class, ["d1", "d2"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep")).alias("component_id"),
+        F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that with the smallest doc_id; all columns stay.
+    """docs with one row of each component, that with the smallest doc_id; all columns stay, whatever their names.
 
     Every row is a document, also where rows share a doc_id or have none: then rows
     are numbered for the purpose, a row without a doc_id comes after all others,
-    and of rows with the same doc_id any one may stay. Rows without a word are in
-    components of their own and stay.
+    and of rows with the same doc_id any one may stay. Rows without a word (null,
+    empty or blank) are in components of their own and stay. An empty table stays
+    empty. Texts are used whole.
     """
     if docs.groupBy("doc_id").agg(F.count("*").alias("k")).filter("doc_id is null or k > 1").isEmpty():
-        gone = similarity_components(docs).filter("component_id != doc_id").select(F.col("doc_id").alias("gone"))
-        return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("gone"), "left_anti")
+        gone = fresh(docs, "gone")
+        found = similarity_components(docs).filter("component_id != doc_id").select(F.col("doc_id").alias(gone))
+        return docs.join(found.hint("shuffle_hash"), docs["doc_id"] == F.col(gone), "left_anti")
     # numbers given once and written out, so that a lost executor can't change them
     rows = checkpoint(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("nr")))
     found = similarity_components(rows.select(F.col("nr").alias("doc_id"), F.col("row.text").alias("text")))

@@ -117,12 +117,12 @@ def test_components_against_all_pairs(spark, seed, small):
     texts = corpus(random.Random(seed))
     sets = plain_sets(texts)
     df = docs(spark, texts).withColumn("n", F.lit(1)).withColumn("doc", F.lit(1)).withColumn("rep", F.lit(1))
-    old = ngram_join.SMALL, ngram_join.CHUNK
-    ngram_join.SMALL, ngram_join.CHUNK = small, 16
+    old = ngram_join.SMALL, ngram_join.HOT, ngram_join.CHUNK, ngram_join.BROADCAST_EDGES
+    ngram_join.SMALL, ngram_join.HOT, ngram_join.CHUNK, ngram_join.BROADCAST_EDGES = small, small + 2, 16, 0 if seed == 2 else old[3]
     try:
         got = {r["doc_id"]: r for r in ngram_join.similarity_components(df).collect()}
     finally:
-        ngram_join.SMALL, ngram_join.CHUNK = old
+        ngram_join.SMALL, ngram_join.HOT, ngram_join.CHUNK, ngram_join.BROADCAST_EDGES = old
     want = plain_components(sets)
     assert {i: (got[i]["n_shingles"], got[i]["component_id"]) for i in got} == {i: (len(s), want[i]) for i, s in enumerate(sets)}
     kept = {r["doc_id"] for r in ngram_join.keep_one(docs(spark, texts)).collect()}
@@ -171,7 +171,15 @@ def test_similar_sets_share_a_block():
         if df.empty:
             raise AssertionError("no keys")
         met = ngram_join._meet(df)
-        assert [tuple(r) for r in met.loc[~met["large"], ["a", "b"]].to_numpy()] in ([(1, 2)], [(1, 2)] * 1), (len(x), len(y), i, u)
+        assert [tuple(r) for r in met.loc[met["kind"] == ngram_join.PAIR, ["a", "b"]].to_numpy()] == [(1, 2)], (len(x), len(y), i, u)
+        # and more than the slack that both have, whatever order the blocks are in
+        late = rng.integers(0, 1 << 63, 1 << 8, dtype=np.uint64) | rng.integers(0, 1 << 63, 1 << 8, dtype=np.uint64)
+        for order in (None, late):
+            keys, owners, slack = ngram_join.tokens_of([x, y], 1, left_out, order)
+            names = ngram_join.block_name(keys, 1)
+            both, at, _ = np.intersect1d(names[owners == 0], names[owners == 1], return_indices=True)
+            least = slack[np.isin(names, both)].min()
+            assert len(both) > least, (len(x), len(y), i, u, len(both), least)
         d = len(np.setxor1d(x, y))
         sx, sy = (np.frombuffer(ngram_join.dense_sketch(s), dtype=np.uint8) for s in (x, y))
         small = min(len(sx), len(sy))
