@@ -27,8 +27,8 @@ at most D blocks differ, and of any D + 1 blocks one is equal.
   The order of the blocks may be any, if it is the same for all sets. Of blocks that
   are in different components, small ones give pairs; large ones are compared by
   dense sketches, in squares of CHUNK by CHUNK. Of the pairs that may be linked a
-  spanning forest, the closest first, is verified; then all that may still join two
-  components.
+  spanning forest, the closest first, is verified, at first with each set in its
+  largest block only; then all that may still join two components.
 - Pairs that pass the bound on dense sketches are verified with the shingles.
 
 Components are found by alternating large-star and small-star steps.
@@ -72,8 +72,9 @@ BROADCAST_EDGES = 500_000
 #: A set of numbers is broadcast as a bit set of about 16 bits each and of at most so many 64-bit words, 64 MB. Beyond that more
 #: numbers pass for members than are; what uses the sets gives the same result for any superset.
 BIT_WORDS = 1 << 23
-#: Bits of the largest dense sketch.
-DENSE = 1 << 15
+#: Dense sketches have at least so many halves of a bit for each shingle, up to so many bits: those of all sets, and sharper
+#: ones of the few sets that are compared in squares.
+DENSE, SHARP = (3, 1 << 15), (16, 1 << 17)
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -162,9 +163,9 @@ def class_id(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def dense_sketch(s: np.ndarray) -> bytes:
-    """Parity bits of a set; one and a half times as many as it has shingles or more, from 256 up to DENSE."""
-    bits = min(DENSE, max(256, 1 << (3 * len(s) // 2).bit_length()))
+def dense_sketch(s: np.ndarray, fine: tuple[int, int] = DENSE) -> bytes:
+    """Parity bits of a set, 256 at least."""
+    bits = min(fine[1], max(256, 1 << (fine[0] * len(s) // 2).bit_length()))
     at = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((at & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -615,7 +616,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _again(groups: int, common, wanted, names):
-    """doc_id, cls, block and slack for the blocks of the documents in a bit set, those in names last."""
+    """rep (the document), cls, block and slack for the blocks of the documents in a bit set, those in names last; and a row
+    without a block for each document, with its size and sharp sketch."""
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -627,7 +629,10 @@ def _again(groups: int, common, wanted, names):
                     keys, owners, slack = tokens_of([s for _, s in sets], groups, common.value, names.value)
                     cls = np.array([class_id(s)[0] for _, s in sets], dtype=np.int64)
                     doc = np.array([i for i, _ in sets], dtype=np.int64)
-                    yield pd.DataFrame({"rep": doc[owners], "cls": cls[owners], "block": block_name(keys, groups), "slack": slack.astype(np.int32)})
+                    size = pd.array([len(s) for _, s in sets], dtype="Int64")
+                    yield pd.DataFrame({"rep": doc, "cls": cls, "block": pd.array([None] * len(doc), dtype="Int64"), "slack": 0, "n": size, "sketch": [dense_sketch(s, SHARP) for _, s in sets]})
+                    none = pd.array([None] * len(keys), dtype="Int64")
+                    yield pd.DataFrame({"rep": doc[owners], "cls": cls[owners], "block": block_name(keys, groups), "slack": slack.astype(np.int32), "n": none, "sketch": None})
 
     return again
 
@@ -652,9 +657,11 @@ def missed_edges(docs: DataFrame, rows: DataFrame, info: DataFrame, met: DataFra
         return edges, comp
     wanted = bit_set(again.select("rep"))
     names = bit_set(met.filter(F.col("kind") == NAME).select("a"))
-    blocks = rows.filter("doc_id is not null").mapInPandas(_again(groups, common, wanted, names), "rep long, cls long, block long, slack int")
+    given = rows.filter("doc_id is not null").mapInPandas(_again(groups, common, wanted, names), "rep long, cls long, block long, slack int, n long, sketch binary")
     # only the document that stands for a class
-    blocks = mixed(labelled(blocks.join(again, ["rep", "cls"]), comp))
+    given = checkpoint(given.join(again, ["rep", "cls"]))
+    info = given.filter("block is null").select("cls", "rep", "n", "sketch")
+    blocks = mixed(labelled(given.filter("block is not null").select("block", "cls", "rep", "slack"), comp))
     blocks = checkpoint(blocks.select("block", "cls", "rep", "comp", "slack", "size", "least"))
 
     small = blocks.filter(F.col("size") <= SMALL).select("block", "cls", "comp")
@@ -664,14 +671,18 @@ def missed_edges(docs: DataFrame, rows: DataFrame, info: DataFrame, met: DataFra
     comp = components(edges)
 
     large = blocks.filter(F.col("size") > SMALL)
-    for all_pairs in (False, True):
+    for step in ("largest", "forest", "all"):
         # a pair that is still missed has more large blocks in common than the least slack
         live = mixed(labelled(large.select("block", "cls", "rep", "slack"), comp))
         enough = live.groupBy("cls").agg(F.count("*").alias("k"), F.min("least").alias("floor")).filter("k > floor").select("cls")
-        member = checkpoint(mixed(live.drop("size", "least").join(enough, "cls", "left_semi")).select("block", "cls", "comp"))
+        member = checkpoint(mixed(live.drop("size", "least").join(enough, "cls", "left_semi")).select("block", "cls", "comp", "size"))
         if member.isEmpty():
             break
-        more = large_block_pairs(member, info, all_pairs)
+        if step == "largest":
+            # first each in one block only, so that a group of near copies meets once and not in each of its blocks
+            one = member.groupBy("cls").agg(F.max_by("block", F.struct("size", "block")).alias("block"))
+            member = member.join(one, ["cls", "block"], "left_semi")
+        more = large_block_pairs(member.select("block", "cls", "comp"), info, step == "all")
         if not more.isEmpty():
             edges = checkpoint(edges.union(verified(docs, more)))
             comp = components(edges)
