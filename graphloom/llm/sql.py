@@ -172,19 +172,23 @@ SELECT * EXCLUDE (fine), NOT fine AS base_failed, fine AND (n_words - n_removed)
 
 
 def _op8() -> str:
-    from .licences import PHRASES, TEMPLATES, THRESHOLD
+    from .licences import PHRASES, TEMPLATES, need_of, plain_words, span_of
 
-    quoted = lambda pairs: ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in p) + ")" for p in pairs)
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
+    phrases = ", ".join(f"({listed(plain_words(p))}, '{label}')" for p, label in PHRASES)
+    templates = ", ".join(
+        f"({listed(sorted(set(w)))}, {need_of(len(set(w)))}, {span_of(w)}, {listed(x.must)}, {listed(x.bar)}, '{x.label}')" for x in TEMPLATES for w in [plain_words(x.text)]
+    )
     return rf"""
-WITH docs AS (SELECT doc_id, text, {WORDS} AS w FROM documents),
-phrases AS (SELECT {WORDS} AS p, label FROM (VALUES {quoted(PHRASES)}) v(text, label)),
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+phrases(p, label) AS (VALUES {phrases}),
 base AS (SELECT doc_id, i, label FROM docs, phrases, unnest(range(len(w))) u(i) WHERE w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p),
-templates AS (SELECT list_distinct({WORDS}) AS t, label FROM (VALUES {quoted(TEMPLATES)}) v(text, label)),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM docs),
-blocks AS (SELECT doc_id, list_distinct({WORDS}) AS b FROM lines),
+templates(t, need, span, must, bar, label) AS (VALUES {templates}),
+near AS (SELECT doc_id, w, templates.* FROM docs, templates WHERE len(list_intersect(t, w)) >= need AND len(list_intersect(must, w)) = len(must)),
+spans AS (SELECT doc_id, label, t, need, must, bar, w[i + 1:i + span] AS s FROM near, unnest(range(len(w))) u(i) WHERE list_contains(t, w[i + 1])),
 met AS (
-  SELECT doc_id, label, len(list_intersect(t, b)) / len(t) AS s FROM blocks, templates
-  WHERE 100 * len(list_intersect(t, b)) >= {THRESHOLD} * len(t)),
+  SELECT doc_id, label, max(len(list_intersect(t, s)) / len(t)) AS s FROM spans
+  WHERE len(list_intersect(t, s)) >= need AND len(list_intersect(must, s)) = len(must) AND NOT list_has_any(s, bar) GROUP BY ALL),
 b AS (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY doc_id),
 a AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(s) AS s

@@ -261,32 +261,78 @@ def test_decontamination_of_repeated_and_null_ids(spark):
 # licences
 
 
+def plain_best(w, x):
+    """The largest containment of a template in a span of words that meets it, else 0."""
+    t = licences.plain_words(x.text)
+    span, need, best = len(t) * 3 // 2, licences.need_of(len(set(t))), 0
+    for i in range(len(w)):
+        if w[i] in t:
+            s = set(w[i : i + span])
+            if len(s & set(t)) >= need and s >= set(x.must) and not s & set(x.bar):
+                best = max(best, len(s & set(t)) / len(set(t)))
+    return best
+
+
 def test_licences_against_plain_version(spark):
     rng = random.Random(8)
-    notices = [t for t, _ in licences.TEMPLATES]
+    notices = [t.text for t in licences.TEMPLATES]
     texts = [None, "", "MIT License and mit-license, CC\nBY", "Licensed under CC BY-NC 4.0.", "x" * 50_000]
     for _ in range(120):
         lines = []
         for _ in range(rng.randrange(1, 5)):
             w = rng.choice(notices).split()
-            w = [x for x in w if rng.random() < rng.choice([1, 0.9, 0.7])] + ["foo"] * rng.randrange(3)
-            rng.shuffle(w)
-            lines.append(" ".join(w).upper() if rng.random() < 0.3 else " ".join(w))
+            keep = rng.choice([1, 0.95, 0.85, 0.7])
+            w = [x for x in w if rng.random() < keep] + ["foo"] * rng.randrange(3)
+            if rng.random() < 0.3:
+                rng.shuffle(w)
+            lines.append(rng.choice([" ", "\n# ", "\n// "]).join(w).upper() if rng.random() < 0.3 else " ".join(w))
+            lines += ["bar " * rng.randrange(150)]
         texts.append("\n".join(lines))
-    d = docs(spark, texts + [texts[9]]).withColumn("t", F.lit(1)).withColumn("label", F.lit("x"))
+    d = docs(spark, texts + [texts[9]]).withColumn("t", F.lit(1)).withColumn("label", F.lit("x")).withColumn("block", F.lit("x"))
     got = {r["doc_id"]: r for r in licences.scan(d).collect()}
-    sets = [(set(WORD.findall(low(t))), label) for t, label in licences.TEMPLATES]
+    found = set()
     for i, t in enumerate(texts + [texts[9]]):
         w = WORD.findall(low(t))
         base = sorted((k, label) for p, label in licences.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
-        labels, score = {x for _, x in base}, 1.0 if base else 0.0
-        for line in (t or "").split("\n"):
-            b = set(WORD.findall(low(line)))
-            for s, label in sets:
-                if 100 * len(s & b) >= licences.THRESHOLD * len(s):
-                    labels.add(label)
-                    score = max(score, len(s & b) / len(s))
+        best = {x.label: plain_best(w, x) for x in licences.TEMPLATES}
+        labels = {x for _, x in base} | {k for k, v in best.items() if v}
+        found |= labels
+        score = 1.0 if base else max(best.values())
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(base), min(base)[0] if base else None, max(base)[0] if base else None)
         assert (r["base_labels"], r["labels"]) == (",".join(sorted({x for _, x in base})), ",".join(sorted(labels))) and abs(r["score"] - score) < 1e-12
+    assert found == {x.label for x in licences.TEMPLATES} | {x for _, x in licences.PHRASES}
     assert licences.scan(d.limit(0)).count() == 0
+    twice = licences.scan(d.unionByName(d.filter("doc_id = 9")).unionByName(d.filter("doc_id in (7, 9)").withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    twice = {r["doc_id"]: r for r in twice}
+    assert twice[9]["n_words"] == 2 * got[9]["n_words"] and twice[9]["labels"] == got[9]["labels"] and twice[None]["n_words"] == got[7]["n_words"] + got[9]["n_words"]
+
+
+def test_notices_are_found_as_files_hold_them_and_siblings_told_apart(spark):
+    by = {t.label: t for t in licences.TEMPLATES}
+    wrapped = lambda label, n, mark: "\n".join(mark + " ".join(by[label].text.split()[i : i + n]) for i in range(0, len(by[label].text.split()), n))
+    texts = ["code = 1\n" * 90 + wrapped("notice:mit-text", 7, " * ") + "\nint x;" * 200, wrapped("notice:gpl-text", 9, "// "), wrapped("notice:lgpl-text", 5, "# "), "a " * 1000 + wrapped("notice:bsd-text", 500, "")]
+    texts += [t.text for t in licences.TEMPLATES] + ["Released under the BSD License", "the License was released. " * 20 + "MIT is not where the sea lies under", "Licensed under CC BY-NC-SA 4.0"]
+    got = {r["doc_id"]: {x for x in r["labels"].split(",") if x.startswith("notice:")} for r in licences.scan(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == [{"notice:mit-text"}, {"notice:gpl-text"}, {"notice:lgpl-text"}, {"notice:bsd-text"}]
+    for i, t in enumerate(licences.TEMPLATES):
+        # the text of the Apache licence begins with the line that is a template of its own
+        assert got[4 + i] == {t.label} | ({"notice:apache-2.0"} if t.label == "notice:apache-text" else set())
+    assert got[len(texts) - 3] == got[len(texts) - 2] == got[len(texts) - 1] == set()
+
+
+def test_each_filter_drops_something(spark):
+    rng = random.Random(18)
+    words = [w for t in licences.TEMPLATES for w in licences.plain_words(t.text)]
+    d = docs(spark, [" ".join(rng.choice(words) for _ in range(rng.randrange(5, 300))) for _ in range(200)]).select("doc_id", "text")
+    order = licences.ordered_templates(licences.read(d))
+    least = min(x["need"] for x in order)
+    w = licences.words_of(F.col("text"))
+    blocks = d.select(F.explode(licences.probes(w, order)).alias("x")).select("x.*")
+    assert blocks.filter(F.size("b") < least).isEmpty() and not blocks.filter(F.col("q") > F.size("b") - least).count()
+    pairs = blocks.join(licences.prefixes(d, order), "word")
+    short, late = pairs.filter(F.size("b") < F.col("need")).count(), pairs.filter((F.size("b") >= F.col("need")) & (F.size("b") - F.col("q") < F.col("need"))).count()
+    kept = pairs.filter(licences.filtered(F.col("b"), F.col("q"))).count()
+    assert short > 0 and late > 0 and kept > 0 and short + late + kept == pairs.count()
+    # and the prefixes leave most words of blocks and templates out
+    assert sum(len(x["t"]) - x["need"] + 1 for x in order) < 0.4 * sum(len(x["t"]) for x in order)
