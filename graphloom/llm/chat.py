@@ -37,20 +37,43 @@ def sorted_turns(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once, also where use() needs it for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def merged_turns(turns: Column) -> Column:
-    """Adjacent turns of one role become one (role, texts)."""
-
-    def add(runs: Column, t: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        new = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        same = F.coalesce(last["role"] == t["role"], F.lit(False))
-        return F.when(same, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown))).otherwise(
-            F.concat(runs, F.array(new))
-        )
+    """Adjacent turns of one role become one (role, texts): places where the role changes, and what stands between them."""
+
+    def runs(t: Column) -> Column:
+        role = lambda i: F.get(t, i)["role"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+
+        def between(s: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(s, k + 1), F.size(t))
+            texts = lambda x, k: F.transform(F.slice(t, x + 1, end(k) - x), lambda u: u["text"])
+            return F.transform(s, lambda x, k: F.struct(role(x).alias("role"), texts(x, k).alias("texts")))
+
+        return let(starts, between)
+
+    return let(turns, runs)
+
+
+#: Running sums and cuts are made in steps of this many, so that their work stays far below the square of an array's size.
+STEP = 256
+
 
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    return F.aggregate(turns, empty, add)
+def running_sums(sizes: Column) -> Column:
+    """For each element the sum of those before it; sizes: array of long, not empty."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+
+    def sums(n: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), ((F.size(n) - 1) / STEP).cast("int")), lambda k: total(F.slice(n, k * STEP + 1, STEP)))
+        ahead = let(parts, lambda p: F.transform(p, lambda _, k: total(F.slice(p, F.lit(1), k))))
+        step = lambda i: (i / STEP).cast("int")
+        return let(ahead, lambda a: F.transform(n, lambda _, i: F.get(a, step(i)) + total(F.slice(n, step(i) * STEP + 1, i % STEP))))
+
+    return let(sizes, sums)
 
 
 def format_conversations(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -80,20 +103,12 @@ def format_conversations(conversations: DataFrame, loss_roles: tuple[str, ...] =
         return F.concat(F.array(head), bodies, F.array(F.struct(F.lit(END + "\n").alias("s"), F.lit(False).alias("loss"))))
 
     laid = runs.select("conv_id", F.flatten(F.transform("runs", pieces)).alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        n = F.length(p["s"]).cast("long")
-        span = F.array(F.struct(acc["at"].alias("start"), n.alias("length")))
-        return F.struct(
-            (acc["at"] + n).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
-
+    sizes = F.transform("pieces", lambda p: F.length(p["s"]).cast("long"))
+    spans = let(running_sums(sizes), lambda at: F.transform("pieces", lambda p, i: F.struct(p["loss"].alias("loss"), F.get(at, i).alias("start"), F.length(p["s"]).cast("long").alias("length"))))
     return laid.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"),
-        F.aggregate("pieces", start, step)["spans"].alias("loss_spans"),
+        F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"),
     )
 
 
@@ -112,10 +127,23 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, loss_spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(
-        F.transform(loss_spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), ""
-    )
+    """All text under the loss mask, unescaped, nothing between; spans in order. To find a place in a string takes time in proportion
+    to the place, so that it is cut in parts of STEP spans first."""
+
+    def read(spans: Column) -> Column:
+        cut = lambda s, at, n: F.substring(s, (at + 1).cast("int"), n.cast("int"))
+
+        def part(k: Column) -> Column:
+            def told(own: Column) -> Column:
+                first, last = F.get(own, F.lit(0)), F.element_at(own, -1)
+                here = cut(formatted, first["start"], last["start"] + last["length"] - first["start"])
+                return let(here, lambda x: F.array_join(F.transform(own, lambda s: unescape(cut(x, s["start"] - first["start"], s["length"]))), ""))
+
+            return let(F.slice(spans, k * STEP + 1, STEP), told)
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), ((F.size(spans) - 1) / STEP).cast("int")), part), "")
+
+    return F.when(F.size(loss_spans) == 0, F.lit("")).otherwise(let(loss_spans, read))
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:

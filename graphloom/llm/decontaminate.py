@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, words_of
+from .common import checkpoint, fresh, text_key, words_of
 
 WINDOW = 13
 #: The window set is broadcast up to this number of bytes of text; beyond it the join is shuffled.
@@ -45,15 +45,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """A row (doc_id, key, first, n_gram, items) for each occurrence of a window; first counts words from 0, key is the text's hash."""
     grams = windows(benchmark, n)
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    # each character of an item is in at most n windows
-    grams = F.broadcast(grams) if size * n <= BROADCAST_BYTES else grams
     words = docs.filter("text is not null").select("doc_id", text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("w"))
     seen = words.select("doc_id", "key", "w", F.posexplode("w").alias("pos", "anchor"))
-    found = seen.join(grams, "anchor").withColumn("first", F.col("pos") - F.col("at"))
-    here = F.slice("w", F.greatest(F.col("first"), F.lit(0)) + 1, F.col("n_gram"))
-    return found.filter((F.col("first") >= 0) & (F.xxhash64(here) == F.col("gram")) & (here == F.col("gram_words"))).select(
-        "doc_id", "key", "first", "n_gram", "items"
-    )
+    # each character of an item is in at most n windows
+    if size * n <= BROADCAST_BYTES:
+        found = seen.join(F.broadcast(grams), "anchor").withColumn("first", F.col("pos") - F.col("at"))
+        here = F.slice("w", F.greatest(F.col("first"), F.lit(0)) + 1, F.col("n_gram"))
+        found = found.filter((F.col("first") >= 0) & (F.xxhash64(here) == F.col("gram")) & (here == F.col("gram_words")))
+        return found.select("doc_id", "key", "first", "n_gram", "items")
+    # beyond it windows are shuffled by their hashes, and their words are sent only for those that agree
+    lengths = [r["n_gram"] for r in grams.select("n_gram").distinct().collect()]
+    own = [F.when(F.size("w") - F.col("pos") >= k, F.struct(F.xxhash64(F.slice("w", F.col("pos") + 1, k)).alias("gram"), F.lit(k).alias("n_gram"))) for k in lengths]
+    own = seen.select("doc_id", "key", F.col("pos").alias("first"), F.explode(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("x")) if own else seen.limit(0)
+    if not lengths:
+        return seen.join(grams, "anchor").select("doc_id", "key", F.col("pos").alias("first"), "n_gram", "items")
+    met = checkpoint(own.select("doc_id", "key", "first", "x.gram", "x.n_gram").join(grams.select("gram", "n_gram").distinct(), ["gram", "n_gram"]))
+    texts = met.groupBy(F.col("doc_id").alias("met_id"), "key").agg(F.collect_set(F.struct("first", "gram", "n_gram")).alias("places"))
+    texts = words.dropDuplicates(["doc_id", "key"]).join(texts.withColumnRenamed("key", "met_key"), F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("key") == F.col("met_key")))
+    texts = texts.select("doc_id", "key", "w", F.explode("places").alias("x")).select("doc_id", "key", "x.*", F.slice("w", F.col("x.first") + 1, F.col("x.n_gram")).alias("gram_words"))
+    return texts.join(grams.select("gram", "gram_words", "items"), ["gram", "gram_words"]).select("doc_id", "key", "first", "n_gram", "items")
 
 
 def n_words(text: Column) -> Column:
@@ -97,21 +107,30 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, per_cent: int
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, per_cent: int = 5) -> DataFrame:
-    """docs without the contaminated rows; all columns stay."""
-    bad = judged(docs, benchmark, n, per_cent).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key"))
-    same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (text_key(docs["text"]) == F.col("bad_key"))
+    """docs without the contaminated rows; all columns stay, whatever their names.
+
+    Rows are judged as in report(): each by its own text, null and empty texts are never
+    contaminated, equal rows are judged alike, an empty table stays empty.
+    """
+    bad_id, bad_key = fresh(docs, "bad_id"), fresh(docs, "bad_key")
+    bad = judged(docs, benchmark, n, per_cent).filter("contaminated").select(F.col("doc_id").alias(bad_id), F.col("key").alias(bad_key))
+    same = docs["doc_id"].eqNullSafe(F.col(bad_id)) & (text_key(docs["text"]) == F.col(bad_key))
     return docs.join(bad.hint("shuffle_hash"), same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs with the hit words, and what stands between each and the next word, cut out of text; each row by its own hits."""
-    cut = hit_words(docs, benchmark, n).select(F.col("hit_id").alias("cut_id"), F.col("hit_key").alias("cut_key"), F.col("places").alias("cut"))
+    """docs with the hit words, and what stands between each and the next word, cut out of text; other columns stay, whatever their names.
+
+    Each row loses its own hits, equal rows the same; a null, empty or clean text stays as it is, and an empty table empty.
+    """
+    cut, cut_id, cut_key = (fresh(docs, c) for c in ("cut", "cut_id", "cut_key"))
+    cuts = hit_words(docs, benchmark, n).select(F.col("hit_id").alias(cut_id), F.col("hit_key").alias(cut_key), F.array_sort("places").alias(cut))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     head = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    rest = F.filter(F.regexp_extract_all("text", F.lit(word), F.lit(0)), lambda w, i: ~F.array_contains(F.col("cut"), i))
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(F.col("cut_id")) & (text_key(docs["text"]) == F.col("cut_key")), "left")
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(rest, "")))
-    return joined.withColumn("text", text).drop("cut", "cut_id", "cut_key")
+    rest = F.filter(F.regexp_extract_all("text", F.lit(word), F.lit(0)), lambda w, i: ~F.array_contains(F.col(cut), i))
+    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col(cut_id)) & (text_key(docs["text"]) == F.col(cut_key)), "left")
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(rest, "")))
+    return joined.withColumn("text", text).drop(cut, cut_id, cut_key)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -20,8 +20,9 @@ from .common import checkpoint, ship, spread
 
 ship(__name__)
 
-#: A line is boilerplate when at least MIN_DOCS documents and MIN_PER_MILLE of a host's documents hold it.
-MIN_DOCS, MIN_PER_MILLE = 10, 10
+#: A line is boilerplate when at least MIN_DOCS documents of a host hold it, and these are MIN_PER_MILLE of the host's or
+#: MANY_DOCS, so that the largest hosts have no other rule than small ones.
+MIN_DOCS, MIN_PER_MILLE, MANY_DOCS = 10, 10, 100
 #: A document is depleted when less than this per cent of its words remain.
 MIN_LEFT = 30
 #: Boilerplate lines up to this number are broadcast as hashes; beyond it they are joined with all lines.
@@ -130,12 +131,23 @@ def _explode_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc", "host", "key", "n"])
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_per_mille: int = MIN_PER_MILLE) -> DataFrame:
-    """host, key, n_docs of the lines above the limits; rows: text, host, one row a document."""
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_per_mille: int = MIN_PER_MILLE, many_docs: int = MANY_DOCS) -> DataFrame:
+    """host, key, n_docs of the lines above the limits; rows: doc_id, text, host. Rows that share a doc_id are one document here."""
+    again = checkpoint(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("again_id")))
+    single = several = rows
+    if repeated := not again.isEmpty():
+        same = rows["doc_id"] == again["again_id"]
+        single, several = rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
     # each batch has counted its own documents, so a hot line comes as one row a batch
-    lines = rows.mapInPandas(_count_lines, "host string, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    sizes = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
-    return lines.join(sizes, "host").filter(F.col("n_docs") * 1000 >= F.col("host_docs") * min_per_mille).drop("host_docs")
+    lines = single.select("text", "host").mapInPandas(_count_lines, "host string, key long, n long")
+    if repeated:
+        more = several.select(F.col("doc_id").alias("doc"), "text", "host").mapInPandas(_explode_lines, "doc long, host string, key long, n long")
+        lines = lines.union(more.select("doc", "host", "key").distinct().select("host", "key", F.lit(1).cast("long")))
+    lines = lines.groupBy("host", "key").agg(F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    alone = F.count(F.when(F.col("doc_id").isNull(), 1))
+    sizes = rows.groupBy("host").agg((F.countDistinct("doc_id") + alone if repeated else F.count("*")).alias("host_docs"))
+    enough = (F.col("n_docs") * 1000 >= F.col("host_docs") * min_per_mille) | (F.col("n_docs") >= many_docs)
+    return lines.join(sizes, "host").filter(enough).drop("host_docs")
 
 
 def line_rules(
@@ -146,17 +158,18 @@ def line_rules(
     min_left: int = MIN_LEFT,
     broadcast_lines: int = BROADCAST_LINES,
     texts: bool = True,
+    many_docs: int = MANY_DOCS,
 ) -> DataFrame:
     """doc_id, text, base counts, base_failed, n_removed (words in boilerplate lines), clean_text, kept.
 
-    One row for each row of docs; every row counts as a document, repeated ones
-    too. host: by default the column source; null is a host named "". Null,
+    One row for each row of docs. Where documents are counted, rows that share a doc_id
+    are one, and each row without a doc_id is one. host: by default the column source; null is a host named "". Null,
     empty and blank texts have no words and fail the base rules. clean_text is
     text without its boilerplate lines (null for null), left out without texts. Other columns are ignored;
     an empty table gives no rows. Whole texts are used, whatever their length.
     """
     rows = spread(docs.select("doc_id", "text", F.coalesce((F.col("source") if host is None else host).cast("string"), F.lit("")).alias("host")))
-    often = frequent_lines(rows.select("text", "host"), min_docs, min_per_mille)
+    often = frequent_lines(rows, min_docs, min_per_mille, many_docs)
     some = often.select("key").limit(broadcast_lines + 1).toPandas()["key"].to_numpy()
     sc = docs.sparkSession.sparkContext
     if len(some) <= broadcast_lines:

@@ -8,8 +8,8 @@ scorer over hashed features, which decides.
 
 The pattern counts cover all documents; there are at most 3 ** 10 patterns, which
 bounds what the driver receives. The scorer is fitted on a sample of about
-TRAIN_ROWS documents, those whose hash of doc_id is below a bound that follows from
-the number of documents.
+TRAIN_ROWS documents, those whose hash of doc_id and text is below a bound that
+follows from the number of documents; equal rows of the sample come as one with a weight.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship, spread, text_key
+from .common import checkpoint, fresh, ship, spread, text_key
 from .line_rules import repeated_words
 
 ship(__name__)
@@ -97,7 +97,7 @@ def features(raw: bytes, words: list[bytes], r: tuple[float, ...]) -> dict[int,
     shapes = Counter(_NUM.sub(b"0", _UP.sub(b"A", _LOW.sub(b"a", raw))).split())
     out: dict[int, float] = {}
     for shape, k in shapes.items():
-        i = bucket(b"shape " + shape[:12])
+        i = bucket(b"shape " + shape)
         out[i] = out.get(i, 0.0) + k / len(words)
     for name, x, width in zip(LABELLERS, r, (0.02, 0.1, 0.1, 0.05, 1.0, 0.05, 0.2, 0.05, 0.05, 0.1), strict=True):
         i = bucket(f"{name} {min(int(x / width), 12)} {len(words) >= SHORT}".encode())
@@ -119,15 +119,14 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((len(words), sum(v * 3**j for j, v in enumerate(votes(len(words), r))), list(f), list(f.values())))
         df = pd.DataFrame(rows, columns=["n_words", "pattern", "idx", "val"])
         df.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype="Int64"))
-        if "key" in pdf:
-            df["key"] = pdf["key"]
+        df["key"] = pdf["key"]
         yield df
 
 
-def measured(docs: DataFrame, keys: bool = False) -> DataFrame:
-    """doc_id, n_words, pattern (votes as digits to base 3; -1 without words), idx and val (hashed features), with keys also key (the text's hash)."""
-    given = docs.select("doc_id", "text", *[text_key(F.col("text")).alias("key")] * keys)
-    return spread(given).mapInPandas(_measure, "doc_id long, n_words long, pattern long, idx array<int>, val array<float>" + ", key string" * keys)
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, pattern (votes as digits to base 3; -1 without words), idx and val (hashed features), key (the text's hash)."""
+    given = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    return spread(given).mapInPandas(_measure, "doc_id long, n_words long, pattern long, idx array<int>, val array<float>, key string")
 
 
 @dataclass
@@ -171,8 +170,8 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> L
     return model
 
 
-def fit_scorer(idx: list[np.ndarray], val: list[np.ndarray], soft: np.ndarray, rounds: int = 400, l2: float = 1e-5) -> np.ndarray:
-    """Weights and, last, a bias of a logistic scorer, by accelerated full gradients over the sample."""
+def fit_scorer(idx: list[np.ndarray], val: list[np.ndarray], soft: np.ndarray, times: np.ndarray | None = None, rounds: int = 400, l2: float = 1e-5) -> np.ndarray:
+    """Weights and, last, a bias of a logistic scorer, by accelerated full gradients over the sample; times: how often each row counts."""
     w = np.zeros(BUCKETS + 1)
     if not len(soft):
         return w
@@ -180,13 +179,14 @@ def fit_scorer(idx: list[np.ndarray], val: list[np.ndarray], soft: np.ndarray, r
     row = np.repeat(np.arange(len(idx)), n)
     col, x = np.concatenate(idx).astype(np.int64), np.concatenate(val).astype(float)
     # features in their own scale: rare ones learn as fast as common ones
-    scale = 1 / np.sqrt(np.bincount(col, x * x, BUCKETS) / len(soft) + 1e-3)
+    share = np.full(len(soft), 1 / len(soft)) if times is None else np.asarray(times, dtype=float) / np.sum(times)
+    scale = 1 / np.sqrt(np.bincount(col, x * x * share[row], BUCKETS) + 1e-3)
     x = x * scale[col]
     mean = w.copy()
     for k in range(rounds):
         look = mean + k / (k + 3) * (mean - w)
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, look[col] * x, len(soft)) + look[-1], -50, 50)))
-        e = (p - soft) / len(soft)
+        e = (p - soft) * share
         grad = np.append(np.bincount(col, e[row] * x, BUCKETS) + l2 * look[:-1], e.sum())
         w, mean = mean, look - 0.5 * grad
     return np.append(mean[:-1] * scale, mean[-1])
@@ -199,16 +199,22 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep_from: float = K
     label model's. kept: score >= keep_from. Null, empty and blank texts have
     score and posterior 0 and are not kept; they take no part in the fit. Repeated
     rows are judged alike and counted as often as they occur. An empty table gives
-    no rows. Other columns are ignored. Whole texts are used.
+    no rows. Other columns, whatever their names, are ignored. Whole texts are used, however long.
     """
-    rows = checkpoint(measured(docs, keys))
+    rows = checkpoint(measured(docs))
     seen = rows.filter("pattern >= 0")
     table = seen.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
     model = fit_labels(table["pattern"].to_numpy(dtype=np.int64), table["n"].to_numpy())
     # expected size train_rows; with fewer documents all are taken
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30))
-    sample = seen.filter(draw * F.lit(max(1, int(table["n"].sum()))) < F.lit(train_rows << 30)).select("pattern", "idx", "val").toPandas()
-    weights = fit_scorer(list(sample["idx"]), list(sample["val"]), model.posterior(sample["pattern"].to_numpy(dtype=np.int64)) if len(sample) else np.zeros(0))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("key")), F.lit(1 << 40))
+    bound = min(1 << 40, (train_rows << 40) // max(1, int(table["n"].sum())))
+    sample = seen.filter(draw < F.lit(bound)).groupBy("doc_id", "key").agg(
+        F.first("pattern").alias("pattern"), F.first("idx").alias("idx"), F.first("val").alias("val"), F.count("*").alias("times")
+    )
+    # in a fixed order, so that the sums of floats are the same each time
+    sample = sample.toPandas().sort_values(["key", "doc_id"], kind="stable")
+    soft = model.posterior(sample["pattern"].to_numpy(dtype=np.int64)) if len(sample) else np.zeros(0)
+    weights = fit_scorer(list(sample["idx"]), list(sample["val"]), soft, sample["times"].to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast((model, weights))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,7 +226,7 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep_from: float = K
             p = np.where(some, label.posterior(np.maximum(pdf["pattern"].to_numpy(), 0)), 0.0)
             ids = pd.array([None if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype="Int64")
             df = pd.DataFrame({"doc_id": ids, "n_words": pdf["n_words"], "posterior": p, "score": s, "kept": some & (s >= keep_from)})
-            if "key" in pdf:
+            if keys:
                 df["key"] = pdf["key"]
             yield df
 
@@ -228,7 +234,12 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep_from: float = K
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that classify() rejects; each row by its own text, also where rows share a doc_id or have none."""
-    bad = classify(docs, keys=True).filter("not kept").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (text_key(docs["text"]) == F.col("bad_key"))
+    """docs without the rows that classify() rejects; all columns stay, whatever their names.
+
+    Each row is judged by its own text, also where rows share a doc_id or have none; equal rows are judged alike. Null,
+    empty and blank texts are rejected. An empty table stays empty. Very long texts are used whole.
+    """
+    bad_id, bad_key = fresh(docs, "bad_id"), fresh(docs, "bad_key")
+    bad = classify(docs, keys=True).filter("not kept").select(F.col("doc_id").alias(bad_id), F.col("key").alias(bad_key)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(bad_id)) & (text_key(docs["text"]) == F.col(bad_key))
     return docs.join(bad.hint("shuffle_hash"), same, "left_anti")

@@ -156,10 +156,10 @@ lines AS (
     SELECT doc_id, host, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
     FROM docs, unnest(string_split(text, chr(10))) u(line)) WHERE len(lw) > 0),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-sizes AS (SELECT host, count(*) AS n FROM docs GROUP BY host),
+sizes AS (SELECT host, count(DISTINCT doc_id) AS n FROM docs GROUP BY host),
 often AS (
   SELECT host, key FROM lines JOIN sizes USING (host) GROUP BY host, key, n
-  HAVING count(DISTINCT doc_id) >= 10 AND count(DISTINCT doc_id) * 1000 >= n * 10),
+  HAVING count(DISTINCT doc_id) >= 10 AND (count(DISTINCT doc_id) * 1000 >= n * 10 OR count(DISTINCT doc_id) >= 100)),
 gone AS (SELECT doc_id, sum(len(lw)) AS n FROM lines JOIN often USING (host, key) GROUP BY doc_id),
 counts AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
