@@ -10,7 +10,7 @@ number that depends on ORDER + 1 bytes only; all of these are worked out once
 and looked up. The language with the shortest code is the prediction.
 
 The trees are learnt from a sample of whole texts, about DOCS_PER_LANG documents of
-each language, chosen by a hash of doc_id; every text is scored.
+each language, chosen by a hash of doc_id and text; every text is scored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ ship(__name__)
 ORDER = 3
 #: Expected number of documents of each language that the trees are learnt from.
 DOCS_PER_LANG = 1_500
+#: Languages that are learnt at most; with more, learning fails rather than leave some out.
+MAX_LANGS = 400
 #: Bytes of text that are scored at a time.
 CHUNK = 1 << 19
 PAD = 10
@@ -52,26 +54,30 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def gram_counts(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
-    """lang, gram, n over the sample; labelled: doc_id, text, lang, none of them null but doc_id."""
+    """lang, gram, n over the sample; labelled: doc_id, text, lang, none of them null but doc_id. Equal rows are drawn together, as one."""
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 20))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # with fewer documents than docs_per_lang all are taken
-    chosen = labelled.join(F.broadcast(sizes), "lang").filter(draw * F.col("size") < F.lit(docs_per_lang << 20))
+    chosen = labelled.join(F.broadcast(sizes), "lang").filter(draw * F.col("size") < F.lit(float(docs_per_lang)))
+    chosen = chosen.dropDuplicates(["doc_id", "lang", "text"])
     return chosen.select("lang", "text").mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Trees:
-    """langs; context: for each symbol triple a row; length: for row and symbol the code lengths in bits by language.
+    """For each language the code lengths of bytes after contexts.
 
-    Bytes are renumbered by symbol: those never learnt share the last number.
+    symbol: bytes renumbered, those never learnt share the last number. context: for each triple of symbols a number
+    that says what all languages know of it. rows: for each language and such number a row of its own table. length:
+    for each language its table of bits, a row of n_symbols for each context that it knows.
     """
 
     langs: list[str]
     symbol: np.ndarray
     n_symbols: int
     context: np.ndarray
-    length: np.ndarray
+    rows: list[np.ndarray]
+    length: list[np.ndarray]
 
     def score(self, raw: bytes) -> np.ndarray:
         """Bits of the whole text in each language."""
@@ -87,49 +93,62 @@ class Trees:
                 c = a[: -ORDER]
                 for k in range(1, ORDER):
                     c = c * n + a[k : len(a) - ORDER + k]
-                out[i] += self.length[self.context[c] * n + a[ORDER:]].sum(axis=0, dtype=np.float64)
+                c, last = self.context[c], a[ORDER:]
+                for j, (rows, length) in enumerate(zip(self.rows, self.length, strict=True)):
+                    out[i, j] += length[rows[c] + last].sum(dtype=np.float64)
         return out
 
 
-def build(counts: pd.DataFrame) -> Trees:
-    """Trees from rows lang, gram, n. Their size depends on the sample and the number of languages."""
-    langs = sorted(counts["lang"].unique())
-    gram = counts["gram"].to_numpy(dtype=np.uint32)
-    seen = np.unique(np.concatenate([(gram >> np.uint32(8 * k)) & np.uint32(255) for k in range(ORDER + 1)] + [np.array([PAD], dtype=np.uint32)]))
-    n = len(seen) + 1
-    symbol = np.full(256, n - 1, dtype=np.int32)
-    symbol[seen] = np.arange(len(seen))
-    part = [symbol[(gram >> np.uint32(8 * k)) & np.uint32(255)].astype(np.int64) for k in range(ORDER + 1)]
-    rank = {x: i for i, x in enumerate(langs)}
-    lang = counts["lang"].map(rank).to_numpy(dtype=np.int64)
-    count = counts["n"].to_numpy(dtype=np.float32)
+def one_tree(part: list[np.ndarray], count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For one language: for each triple of symbols a row, and the rows of code lengths in bits.
 
+    part: for each gram the symbol and those before it, the nearest first; count: how often it occurs.
+    """
     # order -1: uniform over bytes
     row_of = np.zeros(1, dtype=np.int32)  # of a context of the order below, by its number
-    prob = np.full((1, len(langs), n), 1 / 256, dtype=np.float32)
+    prob = np.full((1, n), 1 / 256, dtype=np.float32)
     for order in range(ORDER + 1):
-        key = np.zeros(len(gram), dtype=np.int64)
+        key = np.zeros(len(count), dtype=np.int64)
         for k in range(order, 0, -1):
             key = key * n + part[k]
         contexts, where = np.unique(key, return_inverse=True)
-        table = np.zeros((len(contexts), len(langs), n), dtype=np.float32)
-        np.add.at(table, (where, lang, part[0]), count)
-        total, kinds = table.sum(axis=2, keepdims=True), (table > 0).sum(axis=2, keepdims=True, dtype=np.float32)
-        # what a language has not seen here is coded below, after an escape if it has seen the context at all
+        table = np.zeros((len(contexts), n), dtype=np.float32)
+        np.add.at(table, (where, part[0]), count)
+        total, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True, dtype=np.float32)
+        # what was not seen here is coded below, after an escape
         fresh = prob[row_of[contexts % n ** max(order - 1, 0)]]
-        fresh *= np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1)
-        table /= np.maximum(total + kinds, 1)
-        np.copyto(fresh, table, where=table > 0)
-        del table
-        # contexts not seen in any language keep the row of the order below
+        fresh *= kinds / (total + kinds)
+        np.copyto(fresh, table / (total + kinds), where=table > 0)
+        # contexts that the language has not seen keep the row of the order below
         row_of = np.tile(row_of, n) if order else row_of.copy()
         row_of[contexts] = len(prob) + np.arange(len(contexts), dtype=np.int32)
         prob = np.concatenate([prob, fresh])
-        del fresh
     # a byte outside the renumbered ones is coded like any one of them, all in the last number
-    np.negative(np.log2(prob, out=prob), out=prob)
-    length = np.ascontiguousarray(prob.transpose(0, 2, 1)).reshape(len(prob) * n, len(langs))
-    return Trees(langs, symbol, n, row_of, length)
+    return row_of, -np.log2(prob)
+
+
+def build(counts: pd.DataFrame, max_langs: int = MAX_LANGS) -> Trees:
+    """Trees from rows lang, gram, n. Their size is the sum of the languages' own trees, which the sample bounds, and a table of triples of symbols."""
+    langs = sorted(counts["lang"].unique())
+    if len(langs) > max_langs:
+        raise ValueError(f"{len(langs)} languages; at most {max_langs} are learnt, see max_langs")
+    gram = counts["gram"].to_numpy(dtype=np.uint32)
+    seen = np.unique(np.concatenate([(gram >> np.uint32(8 * k)) & np.uint32(255) for k in range(ORDER + 1)] + [np.array([PAD], dtype=np.uint32)]))
+    n = len(seen) + 1
+    symbol = np.full(256, n - 1, dtype=np.int32)
+    symbol[seen] = np.arange(len(seen))
+    part = [symbol[(gram >> np.uint32(8 * k)) & np.uint32(255)].astype(np.int64) for k in range(ORDER + 1)]
+    lang, count = counts["lang"].to_numpy(), counts["n"].to_numpy(dtype=np.float32)
+    context, rows, lengths = np.zeros(n**ORDER, dtype=np.int32), [], []
+    for x in langs:
+        own = lang == x
+        row_of, bits = one_tree([p[own] for p in part], count[own], n)
+        # triples that were alike in all languages so far and differ in this one are told apart
+        both, context = np.unique(context.astype(np.int64) * len(bits) + row_of, return_inverse=True)
+        context = context.astype(np.int32)
+        rows = [r[both // len(bits)] for r in rows] + [((both % len(bits)) * n).astype(np.int32)]
+        lengths.append(bits.ravel())
+    return Trees(langs, symbol, n, context, rows, lengths)
 
 
 def predict(docs: DataFrame, trees: Trees) -> DataFrame:
@@ -166,7 +185,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def identify(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, bits: learnt from the documents that aren't held out, applied to all."""
+    """doc_id, held_out, lang_pred, score, bits: learnt from the documents that aren't held out, applied to all.
+
+    One row for each row of docs, in which repeated rows are judged alike. Null, empty and letterless texts are und; a
+    null lang is not learnt from; a row with a null doc_id isn't held out. Of equal code lengths the language
+    whose name comes first wins. An empty table, or one without a usable lang, learns nothing, and all it has is und.
+    Whole texts are used, however long. Other columns, whatever their names, are ignored.
+    """
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     trees = build(gram_counts(spread(known), docs_per_lang).toPandas())
     return predict(docs, trees).withColumn("held_out", held_out())

@@ -24,6 +24,8 @@ from .common import checkpoint, n_tokens
 
 #: Leaves up to this number are broadcast; beyond it the join is shuffled.
 BROADCAST_LEAVES = 50_000
+#: Rows of a leaf's slice that are summed in order by one task.
+SLICE_ROWS = 50_000
 
 
 def weight_of(name: Column, weights: Mapping[str, int], default: int = 1) -> Column:
@@ -100,8 +102,9 @@ def mix(
     blank text) are never selected. Repeated rows count as documents of their
     own; between rows that tie in the seeded order either may come first. An empty
     table gives no rows. Columns of docs other than doc_id, text and those in
-    levels are ignored. A leaf's running sum is made in 4,096 slices of the
-    seeded order, so that a leaf with a third of all rows is not one task.
+    levels are ignored. A leaf's running sum is made in slices of the seeded
+    order, 4,096 or as many more as keep them below about SLICE_ROWS rows, so that a
+    leaf with a third of all rows is not one task. Very long texts count whole.
     """
     names = list(levels)
     rows = docs.select(
@@ -121,7 +124,10 @@ def mix(
     whole = whole.withColumn("taken", F.col("n_tokens")).select(*out)
 
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rounds").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    part = d.filter("rest > 0").withColumn("u", order).withColumn("slice", F.substring("u", 1, 3))
+    digits, n = 3, rows.count()
+    while 16**digits * SLICE_ROWS < n:
+        digits += 1
+    part = d.filter("rest > 0").withColumn("u", order).withColumn("slice", F.substring("u", 1, digits))
     sums = part.groupBy(*names, "slice").agg(F.sum("n_tokens").alias("slice_tokens"))
     ahead = F.coalesce(F.sum("slice_tokens").over(Window.partitionBy(*names).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("ahead", ahead).drop("slice_tokens")

@@ -311,3 +311,114 @@ def test_languages(spark):
     assert language.identify(df.limit(0)).count() == 0
     none = df.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language.identify(none).collect()} == {"und"}
+
+
+def test_trees_grow_with_the_languages_own_contexts():
+    """Memory is the sum over languages, not their number times the contexts of all."""
+    rng = np.random.default_rng(4)
+    sizes = {}
+    for k in (4, 16):
+        rows = []
+        for j in range(k):
+            letters = rng.choice(np.arange(97, 123), 12, replace=False).astype(np.uint8)
+            g, n = np.unique(language.grams(rng.choice(letters, 20_000).tobytes()), return_counts=True)
+            rows.append(pd.DataFrame({"lang": f"l{j:02}", "gram": g.astype(np.int64), "n": n}))
+        trees = language.build(pd.concat(rows, ignore_index=True))
+        sizes[k] = sum(x.nbytes for x in trees.length)
+    assert sizes[16] < 4.5 * sizes[4]
+    with pytest.raises(ValueError):
+        language.build(pd.DataFrame({"lang": ["a", "b"], "gram": [1, 2], "n": [1, 1]}), max_langs=1)
+
+
+def plain_shares(t):
+    """What the labellers look at, by the definition."""
+    raw = t.encode("utf-8", "surrogatepass").decode("latin-1")
+    w = [x for x in re.split("[\t-\r ]+", raw) if x]
+    n, solid = len(w), sum(map(len, w))
+    letters = [c for c in raw if c.isascii() and c.isalpha() or ord(c) > 127]
+    lines = [x for x in raw.split("\n") if re.search("[^\t-\r ]", x)]
+    tri = Counter(zip(w, w[1:], w[2:], strict=False))
+    rep = {j + d for j in range(n - 2) if tri[w[j], w[j + 1], w[j + 2]] > 1 for d in range(3)}
+    marks = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    ends = [x for x in raw.split("\n") if x.rstrip(" \t\r")[-1:] in set(".!?:;\"')]") and x.rstrip(" \t\r")]
+    brief = [x for x in w if 1 <= len(x.rstrip(",.;:!?")) <= 3 and all(c.isascii() and c.isalpha() or ord(c) > 127 for c in x.rstrip(",.;:!?"))]
+    return n, [
+        sum(c in "#*$%&|<>{}[]\\^~=_@" for c in raw) / solid,
+        sum("A" <= c <= "Z" for c in raw) / max(1, len(letters)),
+        len(rep) / n,
+        sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
+        solid / n,
+        sum(len(x) > 1 and x[-1] == x[-2] and x[-1] in marks - {"_"} for x in w) / n,
+        len(ends) / max(1, len(lines)),
+        sum(set(x) <= marks for x in w) / n,
+        len(brief) / n,
+        len(set(w)) / n,
+    ]
+
+
+def test_classifier_against_plain_version(spark):
+    """Votes, label model and scores of the query's operator, each by its definition; only the fitted weights are taken over, and tested for being a minimum."""
+    rng = random.Random(31)
+    vocab = ["the", "of", "and", "to", "it", "a"] * 20 + ["".join(rng.choice("abcdefgh\xe9") for _ in range(rng.randrange(2, 11))) for _ in range(200)]
+    odd = ["$$", "##", "WOW!!", "x=1", "--", "a|b", "Zz_", "12.5", "(x)"]
+    texts = []
+    for _ in range(160):
+        junk = rng.choice([0, 0, 0.05, 0.5])
+        w = [rng.choice(odd) if rng.random() < junk else rng.choice(vocab) for _ in range(rng.choice([1, 5, 19, 25, 60, 200]))]
+        texts.append("".join(x + rng.choice([" ", " ", " ", ".\n", "\t"]) for x in w) + rng.choice(["", ".", " !"]))
+    texts += [texts[3], None, "", " \n"]
+    some = [t for t in texts if t and t.strip()]
+    rows = []
+    for t in some:
+        n, r = plain_shares(t)
+        raw = t.encode("utf-8", "surrogatepass")
+        assert np.allclose(quality.ratios(raw, raw.split()), r), t
+        up = lambda x, good, bad: 1 if x <= good else 0 if x >= bad else 2
+        v = [
+            up(r[0], 0.01, 0.04), up(r[1], 0.1, 0.3) if n >= 20 else 2, up(r[2], 0.2, 0.45) if n >= 50 else 2, up(r[3], 0.03, 0.15) if n >= 20 else 2,
+            1 if 3 <= r[4] <= 9 else 0 if r[4] > 14 or r[4] < 1.5 else 2, up(r[5], 0.03, 0.15), 1 if r[6] >= 0.6 else 2, up(r[7], 0.03, 0.15) if n >= 20 else 2,
+            (1 if r[8] >= 0.15 else 0 if r[8] < 0.06 else 2) if n >= 20 else 2, (1 if r[9] >= 0.35 else 0 if r[9] < 0.2 else 2) if 50 <= n <= 3000 else 2,
+        ]
+        rows.append((t, n, v))
+    # expectation-maximisation in plain loops
+    q = [0.1 if 0 in v else 0.9 for _, _, v in rows]
+    for _ in range(200):
+        g, b = sum(q), len(q) - sum(q)
+        prior = (g + 1) / (len(q) + 2)
+        acc = []
+        for j in range(10):
+            cast = [(p, v[j]) for p, (_, _, v) in zip(q, rows, strict=True) if v[j] != 2]
+            acc.append(((sum(p for p, x in cast if x == 1) + 1) / (sum(p for p, _ in cast) + 2), (sum(1 - p for p, x in cast if x == 0) + 1) / (sum(1 - p for p, _ in cast) + 2)))
+        new = []
+        for _, _, v in rows:
+            good, bad = prior, 1 - prior
+            for (a, c), x in zip(acc, v, strict=True):
+                good, bad = (good * a, bad * (1 - c)) if x == 1 else (good * (1 - a), bad * c) if x == 0 else (good, bad)
+            new.append(good / (good + bad))
+        done = max(abs(x - y) for x, y in zip(q, new, strict=True)) < 1e-9
+        if done:
+            break
+        q = new
+    df = docs(spark, texts)
+    got = {r["doc_id"]: r for r in quality.classify(df).collect()}
+    by_text = {t: got[i] for i, t in enumerate(texts)}
+    assert all(abs(by_text[t]["posterior"] - p) < 1e-6 and by_text[t]["n_words"] == n for (t, n, _), p in zip(rows, q, strict=True))
+    feats = []
+    for t, n, _ in rows:
+        w, f = t.split(), {}
+        raw = t.encode()
+        shapes = Counter(re.sub(rb"[0-9]+", b"0", re.sub(rb"[A-Z]+", b"A", re.sub(rb"[a-z\x80-\xff]+", b"a", raw))).split())
+        for s, k in shapes.items():
+            f[quality.bucket(b"shape " + s)] = f.get(quality.bucket(b"shape " + s), 0) + k / len(w)
+        for name, x, width in zip(quality.LABELLERS, quality.ratios(raw, raw.split()), (0.02, 0.1, 0.1, 0.05, 1.0, 0.05, 0.2, 0.05, 0.05, 0.1), strict=True):
+            i = quality.bucket(f"{name} {min(int(x / width), 12)} {n >= 20}".encode())
+            f[i] = f.get(i, 0) + 1
+        feats.append(f)
+    weights = quality.fit_scorer([np.array(list(f)) for f in feats], [np.array(list(f.values())) for f in feats], np.array(q))
+    score = lambda w: [1 / (1 + math.exp(-(sum(w[i] * x for i, x in f.items()) + w[-1]))) for f in feats]
+    for (t, _, _), s in zip(rows, score(weights), strict=True):
+        assert abs(by_text[t]["score"] - s) < 1e-3 and by_text[t]["kept"] == (by_text[t]["score"] >= 0.5)
+    loss = lambda w: -sum(p * math.log(s) + (1 - p) * math.log(1 - s) for p, s in zip(q, score(w), strict=True)) / len(q)
+    assert loss(weights) < 0.1 * loss(np.zeros(len(weights)))
+    # the bound of the sample does not overflow, however many documents there are
+    assert quality.classify(df, train_rows=1).count() == len(texts)

@@ -336,3 +336,38 @@ def test_each_filter_drops_something(spark):
     assert short > 0 and late > 0 and kept > 0 and short + late + kept == pairs.count()
     # and the prefixes leave most words of blocks and templates out
     assert sum(len(x["t"]) - x["need"] + 1 for x in order) < 0.4 * sum(len(x["t"]) for x in order)
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    import time
+
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t<|"), F.col("id")).alias("text"))
+    began = time.time()
+    got = chat.chat_digest(rows).collect()[0]
+    assert time.time() - began < 60
+    assert got["n_turns"] == n and got["loss_sha256"] == hashlib.sha256("".join(f"t<|{i}" for i in range(n) if i % 3).encode()).hexdigest()
+
+
+def test_placement_against_plain_version(spark):
+    import xxhash
+
+    owner = sharding.lookup_table(sharding.SHARDS, 1009)
+    for r in sharding.place(spark.range(-50, 500).withColumnRenamed("id", "doc_id"), size=1009).collect():
+        h = xxhash.xxh64_intdigest(str(r["doc_id"]).encode(), seed=42)
+        slot = (h - (1 << 64) if h >> 63 else h) % 1009
+        assert (r["slot"], r["shard"]) == (slot, sharding.SHARDS[owner[slot]])
+
+
+def test_lines_are_counted_by_documents(spark):
+    from graphloom.llm import line_rules
+
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(1, "same footer\n" + body(0))] * 12 + [(i, "seldom seen\n" + body(i)) for i in range(2, 8)] + [(i, "often seen\n" + body(i)) for i in range(20, 31)] + [(None, "no name\n" + body(99))] * 10
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
+    got = {(r["doc_id"], r["text"].split("\n")[0] if "text" in r else None, r["n_removed"]) for r in line_rules.line_rules(df).withColumn("text", F.lit("\n")).collect()}
+    by = {(i, n) for i, _, n in got}
+    # the rows of document 1 are one document; each row without a doc_id is one
+    assert {(1, 0), (2, 0), (20, 2)} <= by and any(i is None and n > 0 for i, n in by)
+    hot = spark.createDataFrame([(i, ("a passage of the host\n" if i < 120 else "") + body(i), "en", "s", 0) for i in range(15_000)], DOC)
+    assert line_rules.line_rules(hot).filter("n_removed > 0").count() == 120
