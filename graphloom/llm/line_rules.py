@@ -121,14 +121,17 @@ def _count_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = line_rows(text, host)
             keys += found
             hosts += [host] * len(found)
-        df = pd.DataFrame({"host": hosts, "key": keys})
-        yield df.groupby(["host", "key"], sort=False).size().rename("n").reset_index() if keys else pd.DataFrame({"host": [], "key": [], "n": []})
+        if keys:
+            df = pd.DataFrame({"host": hosts, "key": keys}).groupby(["host", "key"], sort=False).size().rename("n").reset_index()
+            # strings as objects: in its own type pandas may hold them in several pieces, which Spark doesn't take
+            yield df.astype({"host": object})
 
 
 def _explode_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [(i, h, k, n) for i, t, h in zip(pdf["doc"], pdf["text"], pdf["host"], strict=True) for k, n in line_rows(t, h).items()]
-        yield pd.DataFrame(rows, columns=["doc", "host", "key", "n"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc", "host", "key", "n"]).astype({"host": object})
 
 
 def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_per_mille: int = MIN_PER_MILLE, many_docs: int = MANY_DOCS) -> DataFrame:

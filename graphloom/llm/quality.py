@@ -119,7 +119,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((len(words), sum(v * 3**j for j, v in enumerate(votes(len(words), r))), list(f), list(f.values())))
         df = pd.DataFrame(rows, columns=["n_words", "pattern", "idx", "val"])
         df.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype="Int64"))
-        df["key"] = pdf["key"]
+        df["key"] = pdf["key"].astype(object)
         yield df
 
 
@@ -227,7 +227,7 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep_from: float = K
             ids = pd.array([None if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype="Int64")
             df = pd.DataFrame({"doc_id": ids, "n_words": pdf["n_words"], "posterior": p, "score": s, "kept": some & (s >= keep_from)})
             if keys:
-                df["key"] = pdf["key"]
+                df["key"] = pdf["key"].astype(object)
             yield df
 
     return rows.mapInPandas(score, "doc_id long, n_words long, posterior double, score double, kept boolean" + ", key string" * keys)

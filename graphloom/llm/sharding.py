@@ -69,4 +69,5 @@ def place(docs: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS,
     """
     kept = docs.drop("slot", "shard")
     slot = F.pmod(F.xxhash64(F.coalesce(kept[key].cast("string"), F.lit("\u0000null"))), F.lit(size)).cast("int")
-    return kept.withColumn("slot", slot).join(F.broadcast(slots_frame(docs.sparkSession, shards, size)), "slot")
+    placed = kept.withColumn("slot", slot).join(F.broadcast(slots_frame(docs.sparkSession, shards, size)), "slot")
+    return placed.select(*[placed[c] for c in kept.columns], "slot", "shard")
