@@ -29,7 +29,12 @@ LIFECYCLE = (
     "preinstall", "install", "postinstall", "preuninstall", "uninstall", "postuninstall", "prepublish", "prepublishOnly",
     "publish", "postpublish", "prepack", "pack", "postpack", "prepare", "preshrinkwrap", "shrinkwrap", "postshrinkwrap",
 )
+#: Names of a manifest that are looked for in texts at a time.
+BROADCAST_NAMES = 10_000
 STALE = {"warn_days": 30, "error_days": 90, "warn_commits": 50, "error_commits": 200}
+#: How claims state a version, and how they run a script.
+VERSION_CLAIM = r"^(.+?)\s+v?(\d[\d.]*\S*)$"
+RUN_CLAIM = r"^(?:npm\s+run|yarn|pnpm|bun\s+run)\s+(\S+)"
 #: Phrases of a heading whose section says what not to do.
 NEGATED = ("not exist", "not use", "deliberately not", "excluded", "removed", "deprecated")
 COLUMNS = ("code", "severity", "file", "line", "message")
@@ -125,7 +130,7 @@ def dependencies(claims: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def versions(claims: DataFrame) -> DataFrame:
     """Version claims split: dep (lower case), said. Signs before the number other than v are not understood."""
-    p = r"^(.+?)\s+v?(\d[\d.]*\S*)$"
+    p = VERSION_CLAIM
     v = claims.filter(F.col("kind").eqNullSafe("version") & ~F.col("negated") & F.col("value").rlike(p))
     return v.withColumn("dep", F.lower(F.trim(F.regexp_extract("value", p, 1)))).withColumn("said", F.regexp_extract("value", p, 2))
 
@@ -141,25 +146,31 @@ def version_conflicts(claims: DataFrame) -> DataFrame:
 
 def manager_conflicts(claims: DataFrame) -> DataFrame:
     """Scripts that several files run with different package managers."""
-    p = r"^(?:npm\s+run|yarn|pnpm|bun\s+run)\s+(\S+)"
+    p = RUN_CLAIM
     c = claims.filter((F.col("kind") == "command") & ~F.col("negated")).withColumn("script", F.regexp_extract("value", p, 1)).filter("script != ''")
     g = c.groupBy("script").agg(F.count_distinct("source").alias("files"), F.count_distinct(F.regexp_extract("value", r"^(\S+)", 1)).alias("managers"), F.min(F.struct("source", "line")).alias("at"))
     return g.filter("files > 1 and managers > 1").select(*issue("CROSS_FILE_CONFLICT", "warning", F.col("at.source"), F.col("at.line"), F.col("script")))
 
 
 def uncovered(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """Names that occur in no text (J19): name. Names are a manifest's, few; they are broadcast to the texts."""
+    """Names that occur in no text (J19): name. They are broadcast to the texts, BROADCAST_NAMES at a time."""
     n = names.select("name").distinct()
-    found = texts.select(F.col("text").alias("t")).join(F.broadcast(n), F.col("t").contains(F.col("name"))).select("name").distinct()
-    return n.join(found, "name", "left_anti")
+    parts = 1 + n.count() // BROADCAST_NAMES
+    some = [n.filter(F.pmod(F.xxhash64("name"), F.lit(parts)) == i) for i in range(parts)]
+    found = reduce(DataFrame.unionByName, [texts.select(F.col("text").alias("t")).join(F.broadcast(p), F.col("t").contains(F.col("name"))).select("name") for p in some])
+    return n.join(found.distinct(), "name", "left_anti")
 
 
 def undocumented_scripts(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """UNDOCUMENTED_SCRIPT, without lifecycle scripts and pre/post variants of known ones."""
+    """UNDOCUMENTED_SCRIPT, without lifecycle scripts, pre/post variants of known ones, and variants a:b of a documented a."""
     known = names.select(F.col("name").alias("of")).distinct()
     n = names.filter(~F.col("name").isin(*LIFECYCLE)).withColumn("of", F.regexp_extract("name", "^(?:pre|post)(.+)$", 1))
-    own = n.join(known, "of", "left_anti").select("name")
-    return uncovered(own, texts).select(*issue("UNDOCUMENTED_SCRIPT", "warning", F.lit("package.json"), None, F.col("name")))
+    own = n.join(known, "of", "left_anti").select("name").distinct()
+    base = own.select(F.regexp_extract("name", "^([^:]+):", 1).alias("base"), "name").filter("base != ''")
+    bases = base.join(known, base["base"] == known["of"], "left_semi").select(F.col("base").alias("name"))
+    told = bases.distinct().join(uncovered(bases, texts), "name", "left_anti").select(F.col("name").alias("base"))
+    silent = base.join(told, "base", "left_semi").select("name")
+    return uncovered(own.join(silent, "name", "left_anti"), texts).select(*issue("UNDOCUMENTED_SCRIPT", "warning", F.lit("package.json"), None, F.col("name")))
 
 
 def differs_from_first(copies: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.store import checkpoint
 from ..functions.text import last_segment, posix_dirname, posix_join
 
 #: Kinds of node that a kind of reference may bind to; other kinds bind to any.
@@ -78,7 +79,8 @@ def impact(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     """Rows (root, id, depth) of what calls each root, over at most depth steps.
 
     Every root has its own visited set, which holds the root: a root may be
-    affected by another. One join a level; the level joins only what was new.
+    affected by another. One join a level; the level joins only what was new, and is
+    written out where another level follows.
     """
     calls = edges.filter("kind = 'calls'").select(F.col("target").alias("id"), F.col("source").alias("caller")).distinct()
     level = roots.select(F.col("id").alias("root"), "id").distinct()
@@ -86,6 +88,7 @@ def impact(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     for d in range(1, depth + 1):
         nxt = level.join(calls, "id").select("root", F.col("caller").alias("id")).distinct()
         level = nxt.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        level = checkpoint(level) if d < depth else level
         seen = seen.unionByName(level.withColumn("depth", F.lit(d)))
     return seen.filter("depth > 0")
 
@@ -122,39 +125,69 @@ def allowed(reference_kind: Column, node_kind: Column) -> Column:
     return out
 
 
+def reference_class(kind: Column) -> Column:
+    return F.when(kind.isin(*ALLOWED_TARGETS), kind).otherwise("any")
+
+
 def resolve(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """ref_id, target, rule of the references that bind.
 
     refs: ref_id, from_node_id, reference_name, reference_kind, file_path.
-    nodes: id, kind, name, file_path, is_exported, ord. imports: file_path,
+    nodes: id (once each), kind, name, file_path, is_exported, ord. imports: file_path,
     imported_path. Candidates have the last segment of the reference's name. In
     this order: the first in the same file; the only one in an imported file, or
     the only exported one of these; the only candidate; the only exported one.
+
+    Nodes are counted by name first, for all kinds of reference that may bind to them, so that a
+    reference meets a row for its name and one for its file, however many nodes bear the name.
     """
+    classes = F.array(F.lit("any"), *[F.when(F.col("kind").isin(*kinds), F.lit(k)) for k, kinds in ALLOWED_TARGETS.items()])
     cand = nodes.filter("kind != 'file'").select(
-        F.col("id").alias("target"), F.col("kind").alias("target_kind"), "name", F.col("file_path").alias("target_path"), "is_exported", "ord"
+        F.explode(F.array_compact(classes)).alias("class"), "name", F.col("file_path").alias("path"), F.col("id").alias("target"), "is_exported", "ord"
     )
-    r = refs.select("ref_id", "from_node_id", last_segment(F.col("reference_name")).alias("name"), "reference_kind", "file_path")
-    met = r.join(cand, "name").filter((F.col("target") != F.col("from_node_id")) & allowed(F.col("reference_kind"), F.col("target_kind")))
+
+    def counted(prefix: str) -> list[Column]:
+        exported = F.when(F.col("is_exported"), F.col("target"))
+        return [
+            F.struct(F.count("target").alias("n"), F.min("target").alias("lo"), F.max("target").alias("hi")).alias(prefix),
+            F.struct(F.count(exported).alias("n"), F.min(exported).alias("lo"), F.max(exported).alias("hi")).alias(prefix + "_exp"),
+        ]
+
+    by_name = cand.groupBy("class", "name").agg(*counted("all"))
+    first = Window.partitionBy("class", "name", "path").orderBy("ord")
+    of_file = cand.withColumn("nth", F.row_number().over(first)).filter("nth <= 2").groupBy("class", "name", F.col("path").alias("file_path"))
+    of_file = of_file.agg(F.min_by("target", "nth").alias("first"), F.max_by("target", "nth").alias("second"))
+
+    self_ = nodes.select(F.col("id").alias("from_node_id"), F.col("name").alias("own_name"), F.col("kind").alias("own_kind"), F.col("file_path").alias("own_path"), F.col("is_exported").alias("own_exp"))
+    r = refs.select("ref_id", "from_node_id", last_segment(F.col("reference_name")).alias("name"), reference_class(F.col("reference_kind")).alias("class"), "reference_kind", "file_path")
+    r = r.join(self_, "from_node_id", "left")
+    own = (F.col("own_kind") != "file") & (F.col("own_name") == F.col("name")) & allowed(F.col("reference_kind"), F.col("own_kind"))
+    r = r.withColumn("own", F.coalesce(own, F.lit(False)))
+    r = r.join(by_name, ["class", "name"], "left").join(of_file, ["class", "name", "file_path"], "left")
     if imports is None:
-        met = met.withColumn("imported", F.lit(False))
+        r = r.withColumn("own_imported", F.lit(False)).withColumn("imp", F.lit(None).cast("struct<n:long,lo:string,hi:string>")).withColumn("imp_exp", F.col("imp"))
     else:
-        i = imports.select("file_path", F.col("imported_path").alias("target_path"), F.lit(True).alias("imported")).distinct()
-        met = met.join(i, ["file_path", "target_path"], "left").withColumn("imported", F.coalesce("imported", F.lit(False)))
-    same, exp = F.col("file_path") == F.col("target_path"), F.col("is_exported")
-    imp = F.col("imported")
-    only = lambda c: F.when(F.count(F.when(c, 1)) == 1, F.max(F.when(c, F.col("target"))))
-    picked = met.groupBy("ref_id").agg(
-        F.min_by("target", F.when(same, F.col("ord"))).alias("p1"),
-        F.coalesce(only(imp), only(imp & exp)).alias("p2"),
-        only(F.lit(True)).alias("p3"),
-        only(exp).alias("p4"),
+        i = imports.select("file_path", F.col("imported_path").alias("path")).distinct()
+        asked = r.select("class", "name", "file_path").distinct()
+        met = asked.join(i, "file_path").join(cand, ["class", "name", "path"]).groupBy("class", "name", "file_path").agg(*counted("imp"))
+        r = r.join(met, ["class", "name", "file_path"], "left")
+        r = r.join(i.select("file_path", F.col("path").alias("own_path"), F.lit(True).alias("own_imported")), ["file_path", "own_path"], "left")
+
+    def only(c: str, own: Column) -> Column:
+        """The only candidate besides the node itself."""
+        x, me = F.col(c), F.coalesce(own, F.lit(False))
+        other = F.when(me & (x["lo"] == F.col("from_node_id")), x["hi"]).otherwise(x["lo"])
+        return F.when(x["n"] - me.cast("int") == 1, other)
+
+    own, exp, imp = F.col("own"), F.col("own_exp"), F.col("own_imported")
+    p1 = F.when(F.col("first") != F.col("from_node_id"), F.col("first")).when(F.col("second") != F.col("first"), F.col("second"))
+    picked = r.select(
+        "ref_id", p1.alias("p1"), F.coalesce(only("imp", own & imp), only("imp_exp", own & imp & exp)).alias("p2"), only("all", own).alias("p3"), only("all_exp", own & exp).alias("p4")
     )
-    target = F.coalesce("p1", "p2", "p3", "p4")
     rule = (
         F.when(F.col("p1").isNotNull(), "same_file").when(F.col("p2").isNotNull(), "imported").when(F.col("p3").isNotNull(), "unique").otherwise("unique_exported")
     )
-    return picked.select("ref_id", target.alias("target"), rule.alias("rule")).filter("target is not null")
+    return picked.select("ref_id", F.coalesce("p1", "p2", "p3", "p4").alias("target"), rule.alias("rule")).filter("target is not null")
 
 
 def framework_first(base: DataFrame, framework: DataFrame) -> DataFrame:

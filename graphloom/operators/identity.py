@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, BANDS, ROWS = 64, 32, 2
@@ -26,14 +26,13 @@ def minhash(rows: DataFrame, words: Column, key: str = "id") -> DataFrame:
 
     Value i is the least of the first four bytes of sha256(i NUL trigram). Hex
     strings of one length sort as their numbers do, so the least is taken of
-    the strings, and one number per value is made at the end.
+    the strings, and one number per value is made at the end. All of it stays within
+    the row: nothing is exploded or shuffled.
     """
-    base = rows.select(key, words.alias("w"))
-    g = base.select(key, F.explode(trigrams(F.col("w"))).alias("g"))
-    h = lambda i: F.substring(F.sha2(F.concat(F.lit(f"{i}\0"), F.col("g")), 256), 1, 8)
-    least = g.groupBy(key).agg(*[F.min(h(i)).alias(f"h{i}") for i in range(K)])
-    values = F.array(*[F.coalesce(F.conv(F.col(f"h{i}"), 16, 10).cast("long"), F.lit(EMPTY)) for i in range(K)])
-    return base.select(key, F.size("w").cast("long").alias("token_count")).join(least, key, "left").select(key, values.alias("minhash"), "token_count")
+    base = rows.select(key, words.alias("w")).select(key, F.size("w").cast("long").alias("token_count"), trigrams(F.col("w")).alias("g"))
+    low = lambda i: F.array_min(F.transform("g", lambda g: F.substring(F.sha2(F.concat(F.lit(f"{i}\0"), g), 256), 1, 8)))
+    values = F.array(*[F.coalesce(F.conv(low(i), 16, 10).cast("long"), F.lit(EMPTY)) for i in range(K)])
+    return base.select(key, values.alias("minhash"), "token_count")
 
 
 def bands(prints: DataFrame, key: str = "id") -> DataFrame:
@@ -47,9 +46,9 @@ def lsh_pairs(prints: DataFrame, key: str = "id") -> DataFrame:
     """Distinct pairs (a, b), a < b, that share a band (J09). Prints that are equal as a whole meet in one
     representative, the one with the least key, so that copies don't pair with each other: (rep, copy) pairs
     are added for them, and representatives pair among themselves."""
-    w = Window.partitionBy("minhash")
-    reps = prints.withColumn("rep", F.min(key).over(w))
-    b = bands(reps.filter(F.col(key) == F.col("rep")), key)
+    least = prints.groupBy("minhash").agg(F.min(key).alias("rep"))
+    reps = prints.select(key, "minhash").join(least, "minhash")
+    b = bands(least.withColumnRenamed("rep", key), key)
     met = b.select("band", "band_hash", F.col(key).alias("a")).join(b.select("band", "band_hash", F.col(key).alias("b")), ["band", "band_hash"]).filter("a < b")
     copies = reps.filter(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b"))
     return met.select("a", "b").distinct().unionByName(copies)

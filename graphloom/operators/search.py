@@ -78,8 +78,8 @@ def symbol_rank(rows: DataFrame, token: str) -> DataFrame:
     hits = bm25(rows, token).orderBy("score", "id").limit(100).select("id", F.lit(3).alias("how"))
     way = F.when(F.col("id") == token, 1).when((F.col("name") == token) | (F.col("qualified_name") == token), 2)
     found = rows.select("id", way.alias("how")).filter("how is not null").unionByName(hits)
-    best = Window.partitionBy(F.lit(0))
-    return found.withColumn("best", F.min("how").over(best)).filter("how = best").select("id", "how").distinct()
+    best = found.agg(F.min("how").alias("how"))
+    return found.join(F.broadcast(best), "how").select("id", "how").distinct()
 
 
 def by_quota(ranked: DataFrame, quotas: Mapping[str, int], n: int) -> DataFrame:

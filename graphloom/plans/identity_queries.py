@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import checkpoint
 from ..functions.text import body_hash
 from ..operators import identity
 from ..sources import bridge
@@ -57,7 +58,7 @@ def minhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {MINHASH.replace('item_id AS id', 'doc_id AS id').replace('FROM benchmark', 'FROM documents')}{PAIRS} SELECT a, b FROM pairs")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that share a band of their fingerprints."""
-    return identity.lsh_pairs(_prints(spark, sf_dir, "documents", "doc_id"))
+    return identity.lsh_pairs(checkpoint(_prints(spark, sf_dir, "documents", "doc_id")))
 
 
 @query(
@@ -66,7 +67,7 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def minhash_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of the candidates."""
-    p = _prints(spark, sf_dir, "documents", "doc_id")
+    p = checkpoint(_prints(spark, sf_dir, "documents", "doc_id"))
     pairs = identity.lsh_pairs(p)
     j = pairs.join(p.select(F.col("id").alias("a"), F.col("minhash").alias("ma")), "a").join(p.select(F.col("id").alias("b"), F.col("minhash").alias("mb")), "b")
     return j.select("a", "b", identity.similarity(F.col("ma"), F.col("mb")).alias("similarity"))
@@ -98,7 +99,7 @@ def neighbor_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconcile_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source's documents went missing: which others are they now? A document's neighbour is its language."""
     d = bridge.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.array("lang").alias("neighbors"))
-    p = _prints(spark, sf_dir, "documents", "doc_id").join(d, "id")
+    p = checkpoint(_prints(spark, sf_dir, "documents", "doc_id").join(d, "id"))
     lost, kept = p.filter("source = 'src3'"), p.filter("source != 'src3'")
     lb, kb = identity.bands(lost).withColumnRenamed("id", "a"), identity.bands(kept).withColumnRenamed("id", "b")
     pairs = lb.join(kb, ["band", "band_hash"]).select("a", "b").distinct()
