@@ -88,7 +88,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Text is hashed in slices of about this many bytes; a longer text is a slice of its own.
-SLICE = 4 << 20
+SLICE = 2 << 20
 _BYTES = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
 _SPACE = np.zeros(256, dtype=bool)
