@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.store import checkpoint
+
 #: What an issue costs.
 COST = {"error": 10, "warning": 3, "info": 1}
 #: Runtimes, platforms, databases, protocols and tools that need no entry in a manifest.
@@ -167,10 +169,12 @@ def undocumented_scripts(names: DataFrame, texts: DataFrame) -> DataFrame:
     n = names.filter(~F.col("name").isin(*LIFECYCLE)).withColumn("of", F.regexp_extract("name", "^(?:pre|post)(.+)$", 1))
     own = n.join(known, "of", "left_anti").select("name").distinct()
     base = own.select(F.regexp_extract("name", "^([^:]+):", 1).alias("base"), "name").filter("base != ''")
-    bases = base.join(known, base["base"] == known["of"], "left_semi").select(F.col("base").alias("name"))
-    told = bases.distinct().join(uncovered(bases, texts), "name", "left_anti").select(F.col("name").alias("base"))
-    silent = base.join(told, "base", "left_semi").select("name")
-    return uncovered(own.join(silent, "name", "left_anti"), texts).select(*issue("UNDOCUMENTED_SCRIPT", "warning", F.lit("package.json"), None, F.col("name")))
+    bases = base.join(known, base["base"] == known["of"], "left_semi").select(F.col("base").alias("name")).distinct()
+    # texts are searched once for all names
+    missing = checkpoint(uncovered(own.unionByName(bases), texts))
+    told = bases.join(missing, "name", "left_anti").select(F.col("name").alias("base"))
+    variants = base.join(told, "base", "left_semi").select("name")
+    return missing.join(own, "name", "left_semi").join(variants, "name", "left_anti").select(*issue("UNDOCUMENTED_SCRIPT", "warning", F.lit("package.json"), None, F.col("name")))
 
 
 def differs_from_first(copies: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:

@@ -261,12 +261,16 @@ def routes(files: DataFrame) -> DataFrame:
 
 def build(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges, references of a tree (C01): extraction, containment, imports, resolution."""
-    from ..operators import graph
-
-    raw = extract(files)
-    n = graph.upsert_latest(nodes(raw, files))
-    refs = references(raw, n)
-    imports = graph.import_targets(refs.filter("reference_kind = 'imports'").select("ref_id", "file_path", F.col("reference_name").alias("specifier")), files)
+    from ..functions.store import checkpoint
+    from ..operators import graph, lookup
+
+    # files are parsed once; nodes and references are used several times
+    raw = checkpoint(extract(files))
+    n = checkpoint(graph.upsert_latest(nodes(raw, files)))
+    refs = checkpoint(references(raw, n))
+    said = refs.filter("reference_kind = 'imports'").select("ref_id", "file_path", F.col("reference_name").alias("specifier"))
+    python = F.col("file_path").endswith(".py")
+    imports = graph.import_targets(said.filter(~python), files).unionByName(lookup.python_import_targets(said.filter(python), files))
     met = graph.resolve(refs.filter("reference_kind != 'imports'"), n, imports.select("file_path", "imported_path"))
     e = refs.join(met, "ref_id").select(F.col("from_node_id").alias("source"), "target", F.col("reference_kind").alias("kind"), F.col("ref_id").alias("ord"))
     i = imports.select(F.concat(F.lit("file:"), "file_path").alias("source"), F.concat(F.lit("file:"), "imported_path").alias("target"), F.lit("imports").alias("kind"), F.col("ref_id").alias("ord"))
