@@ -26,7 +26,9 @@ at most D blocks differ, and of any D + 1 blocks one is equal.
   ones last, so that a passage that many share is in few sets' first D + 1 + SLACK blocks.
   The order of the blocks may be any, if it is the same for all sets. Of blocks that
   are in different components, small ones give pairs; large ones are compared by
-  dense sketches, in squares of CHUNK by CHUNK. Of the pairs that may be linked a
+  dense sketches, in squares of CHUNK by CHUNK, but for the SLACK largest of each set:
+  the smallest of the blocks that a missed pair has in common comes after these in the
+  order of size, which is the same for all sets. Of the pairs that may be linked a
   spanning forest, the closest first, is verified, at first with each set in its
   largest block only; then all that may still join two components.
 - Pairs that pass the bound on dense sketches are verified with the shingles.
@@ -42,7 +44,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, fresh, ship, spread
@@ -672,10 +674,13 @@ def missed_edges(docs: DataFrame, rows: DataFrame, info: DataFrame, met: DataFra
 
     large = blocks.filter(F.col("size") > SMALL)
     for step in ("largest", "forest", "all"):
-        # a pair that is still missed has more large blocks in common than the least slack
+        # a pair that is still missed has more large blocks in common than the least slack, so that the smallest of these
+        # is not among the so many largest of either set: those need not be compared
         live = mixed(labelled(large.select("block", "cls", "rep", "slack"), comp))
-        enough = live.groupBy("cls").agg(F.count("*").alias("k"), F.min("least").alias("floor")).filter("k > floor").select("cls")
-        member = checkpoint(mixed(live.drop("size", "least").join(enough, "cls", "left_semi")).select("block", "cls", "comp", "size"))
+        of_class = Window.partitionBy("cls")
+        live = live.withColumn("floor", F.min("least").over(of_class))
+        live = live.withColumn("place", F.row_number().over(of_class.orderBy(F.desc("size"), "block"))).filter("place > floor")
+        member = checkpoint(mixed(live.select("block", "cls", "rep", "slack", "comp")).select("block", "cls", "comp", "size"))
         if member.isEmpty():
             break
         if step == "largest":
