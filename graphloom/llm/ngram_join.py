@@ -30,7 +30,8 @@ at most D blocks differ, and of any D + 1 blocks one is equal.
   the smallest of the blocks that a missed pair has in common comes after these in the
   order of size, which is the same for all sets. Of the pairs that may be linked a
   spanning forest, the closest first, is verified, at first with each set in its
-  largest block only; then all that may still join two components.
+  largest block only; then all that may still join two components, which were
+  verified at once where they were no more than the members of a square.
 - Pairs that pass the bound on dense sketches are verified with the shingles.
 
 Components are found by alternating large-star and small-star steps.
@@ -522,31 +523,35 @@ def near_pairs(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> tuple[np.
 
 
 def _squares(all_pairs: bool):
-    """Pairs of squares of large blocks that may be linked: all between different components, or a forest of them."""
+    """Pairs of squares of large blocks that may be linked: all between different components or, where these are more than
+    the square has members, a forest of them and the name of the block, which is open then."""
 
     def squares(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("square", kind="stable")
         n, comp, cls, rep = (pdf[c].to_numpy() for c in ("n", "comp", "cls", "rep"))
-        square, sketch = pdf["square"].to_numpy(), pdf["sketch"].to_numpy()
+        square, block, sketch = (pdf[c].to_numpy() for c in ("square", "block", "sketch"))
         cut = np.r_[np.flatnonzero(np.r_[True, square[1:] != square[:-1]]), len(pdf)]
-        out = [np.empty((2, 0), dtype=np.int64)]
+        out, left = [np.empty((2, 0), dtype=np.int64)], set()
         for a, z in zip(cut[:-1], cut[1:], strict=True):
             if comp[a:z].min() != comp[a:z].max():
                 x, y = near_pairs(n[a:z], comp[a:z], sketch[a:z])
-                if not all_pairs:
+                if not all_pairs and len(x) > z - a:
                     tree = forest(x, y, comp[a:z])
                     x, y = x[tree], y[tree]
+                    left.add(block[a])
                 out.append(np.stack([a + x, a + y]))
         i, j = np.concatenate(out, axis=1)
         flip = rep[i] > rep[j]
         i, j = np.where(flip, j, i), np.where(flip, i, j)
-        return pd.DataFrame({"a": cls[i], "b": cls[j], "ra": rep[i], "rb": rep[j]}).drop_duplicates()
+        pairs = pd.DataFrame({"a": cls[i], "b": cls[j], "ra": rep[i], "rb": rep[j]}).drop_duplicates().astype("Int64")
+        names = pd.DataFrame({"open": pd.array(sorted(left), dtype="Int64")})
+        return pd.concat([pairs, names], ignore_index=True)[["a", "b", "ra", "rb", "open"]]
 
     return squares
 
 
-def large_block_pairs(member: DataFrame, info: DataFrame, all_pairs: bool) -> DataFrame:
-    """Candidates (a, b, ra, rb) among the members (block, cls, comp) of large blocks."""
+def large_block_pairs(member: DataFrame, info: DataFrame, all_pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b, ra, rb) among the members (block, cls, comp) of large blocks, and the blocks that aren't done with these."""
     sizes = member.groupBy("block").agg(F.count("*").alias("size")).select("block", F.ceil(F.col("size") / CHUNK).cast("int").alias("cuts"), "size")
     # each member goes to one of size / CHUNK cuts of its block, and each cut meets each
     sizes = checkpoint(sizes)
@@ -554,10 +559,11 @@ def large_block_pairs(member: DataFrame, info: DataFrame, all_pairs: bool) -> Da
     m = member.join(sizes.select("block", "cuts"), "block").withColumn("cut", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     square = F.xxhash64("block", F.least("cut", "other"), F.greatest("cut", "other"))
-    m = m.select(square.alias("square"), "cls", "comp").join(info, "cls")
+    m = m.select(square.alias("square"), "block", "cls", "comp").join(info, "cls")
     # many small squares are handled together
     m = m.withColumn("hand", F.pmod("square", F.lit(1 + rows_met // HANDFUL)))
-    return checkpoint(m.groupBy("hand").applyInPandas(_squares(all_pairs), "a long, b long, ra long, rb long").distinct())
+    met = checkpoint(m.groupBy("hand").applyInPandas(_squares(all_pairs), "a long, b long, ra long, rb long, open long").distinct())
+    return met.filter("open is null").drop("open"), met.filter("open is not null").select(F.col("open").alias("block"))
 
 
 def _arrays(wanted):
@@ -674,20 +680,26 @@ def missed_edges(docs: DataFrame, rows: DataFrame, info: DataFrame, met: DataFra
 
     large = blocks.filter(F.col("size") > SMALL)
     for step in ("largest", "forest", "all"):
-        # a pair that is still missed has more large blocks in common than the least slack, so that the smallest of these
-        # is not among the so many largest of either set: those need not be compared
-        live = mixed(labelled(large.select("block", "cls", "rep", "slack"), comp))
-        of_class = Window.partitionBy("cls")
-        live = live.withColumn("floor", F.min("least").over(of_class))
-        live = live.withColumn("place", F.row_number().over(of_class.orderBy(F.desc("size"), "block"))).filter("place > floor")
-        member = checkpoint(mixed(live.select("block", "cls", "rep", "slack", "comp")).select("block", "cls", "comp", "size"))
+        if step == "all":
+            # what the squares of a block that isn't open found was verified
+            member = mixed(labelled(member.join(left, "block", "left_semi").select("block", "cls", "rep", "slack"), comp))
+        else:
+            # a pair that is still missed has more large blocks in common than the least slack, so that the smallest of these
+            # is not among the so many largest of either set: those need not be compared
+            live = mixed(labelled(large.select("block", "cls", "rep", "slack"), comp))
+            of_class = Window.partitionBy("cls")
+            live = live.withColumn("floor", F.min("least").over(of_class))
+            live = live.withColumn("place", F.row_number().over(of_class.orderBy(F.desc("size"), "block"))).filter("place > floor")
+            member = mixed(live.select("block", "cls", "rep", "slack", "comp"))
+        member = checkpoint(member.select("block", "cls", "rep", "slack", "comp", "size"))
         if member.isEmpty():
             break
+        some = member
         if step == "largest":
             # first each in one block only, so that a group of near copies meets once and not in each of its blocks
             one = member.groupBy("cls").agg(F.max_by("block", F.struct("size", "block")).alias("block"))
-            member = member.join(one, ["cls", "block"], "left_semi")
-        more = large_block_pairs(member.select("block", "cls", "comp"), info, step == "all")
+            some = member.join(one, ["cls", "block"], "left_semi")
+        more, left = large_block_pairs(some.select("block", "cls", "comp"), info, step == "all")
         if not more.isEmpty():
             edges = checkpoint(edges.union(verified(docs, more)))
             comp = components(edges)
