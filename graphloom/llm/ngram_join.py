@@ -77,7 +77,7 @@ BROADCAST_EDGES = 500_000
 BIT_WORDS = 1 << 23
 #: Dense sketches have at least so many halves of a bit for each shingle, up to so many bits: those of all sets, and sharper
 #: ones of the few sets that are compared in squares.
-DENSE, SHARP = (3, 1 << 15), (16, 1 << 17)
+DENSE, SHARP = (3, 1 << 15), (8, 1 << 17)
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
