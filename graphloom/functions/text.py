@@ -77,3 +77,30 @@ def utc_days(later: Column, earlier: Column) -> Column:
     """Whole days between two UTC times; null if negative."""
     d = F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(86_400_000_000))
     return F.when(d >= 0, d)
+
+
+def regex_quote(text: Column) -> Column:
+    """text as a regular expression that finds just it."""
+    return F.regexp_replace(text, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+
+
+def glob_regex(pattern: Column) -> Column:
+    """The regular expression of a glob: * and ? stay within a folder, ** spans folders; a leading * finds no hidden file."""
+    p = F.regexp_replace(pattern, r"([\\^$.|+()\[\]{}])", r"\\$1")
+    p = F.replace(F.replace(p, F.lit("**/"), F.lit("\x01")), F.lit("**"), F.lit("\x02"))
+    p = F.replace(p, F.lit("?"), F.lit("[^/]"))
+    p = F.regexp_replace(p, "(^|/|\x01)\\*", r"$1(?!\\.)*")
+    p = F.replace(p, F.lit("*"), F.lit("[^/]*"))
+    p = F.replace(F.replace(p, F.lit("\x01"), F.lit("(?:.*/)?")), F.lit("\x02"), F.lit(".*"))
+    return F.concat(F.lit("^"), p, F.lit("$"))
+
+
+def escapes_root(path: Column) -> Column:
+    """Whether a path leads out of the folder that it starts from, at any of its segments' end; absolute ones do."""
+    depth = F.struct(F.lit(0).alias("at"), F.lit(0).alias("low"))
+
+    def step(acc: Column, p: Column) -> Column:
+        at = acc["at"] + F.when(p == "..", -1).when((p == "") | (p == "."), 0).otherwise(1)
+        return F.struct(at.alias("at"), F.least(acc["low"], at).alias("low"))
+
+    return path.startswith("/") | (F.aggregate(F.split(path, "/"), depth, step)["low"] < 0)

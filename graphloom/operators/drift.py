@@ -39,6 +39,10 @@ VERSION_CLAIM = r"^(.+?)\s+v?(\d[\d.]*\S*)$"
 RUN_CLAIM = r"^(?:npm\s+run|yarn|pnpm|bun\s+run)\s+(\S+)"
 #: Phrases of a heading whose section says what not to do.
 NEGATED = ("not exist", "not use", "deliberately not", "excluded", "removed", "deprecated")
+#: What is no path of a file system, what names a package, and words of a path that stand for others.
+URL = r"^(?:https?|ftp|file)://|^//"
+SCOPED_PACKAGE = r"^(@[\w-]+/[\w-]+)(?:/.*)?$"
+PLACEHOLDER_WORDS = r"(?i)(?:^|[/_-])(?:new|example|your|sample|my|foo|bar|placeholder|template)(?:[/_.-]|$)"
 COLUMNS = ("code", "severity", "file", "line", "message")
 
 
@@ -78,17 +82,20 @@ def by_file(issues: DataFrame) -> DataFrame:
     return issues.groupBy("file").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(F.struct("ord", "code", "severity"))).alias("issues"))
 
 
-def missing_paths(claims: DataFrame, paths: DataFrame, scaffold: str = "scaffold") -> DataFrame:
+def missing_paths(claims: DataFrame, paths: DataFrame, scaffold: str = "scaffold", packages: DataFrame | None = None) -> DataFrame:
     """Claimed paths of which no alternative exists (J13): as given, below the folder of documents, without that
-    folder, and a bare file name anywhere."""
-    c = claims.filter("kind = 'path' and not negated").dropDuplicates(["source", "line", "value"])
+    folder, and a bare file name anywhere. URLs are no paths, and neither is what a package of the project's
+    workspaces holds (packages: name) (F07). Of patterns and placeholders it is a warning (F12)."""
+    c = claims.filter("kind = 'path' and not negated").filter(~F.col("value").rlike(URL)).dropDuplicates(["source", "line", "value"])
+    if packages is not None:
+        c = c.withColumn("package", F.regexp_extract("value", SCOPED_PACKAGE, 1)).join(packages.select(F.col("name").alias("package")).distinct(), "package", "left_anti")
     tried = F.array_distinct(F.array("value", F.concat(F.lit(scaffold + "/"), "value"), F.when(F.col("value").startswith(scaffold + "/"), F.substring("value", len(scaffold) + 2, 1 << 30)).otherwise(F.col("value")), F.regexp_replace("value", r"^\./", "")))
     alt = c.select("source", "line", "value", F.explode(tried).alias("path"))
     bare = paths.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("bare")).distinct()
     found = alt.join(paths.select("path").distinct(), "path", "left_semi").select("source", "line", "value")
     named = c.join(bare, (F.col("value") == F.col("bare")) & ~F.col("value").contains("/"), "left_semi").select("source", "line", "value")
     gone = c.select("source", "line", "value").join(found.unionByName(named).distinct(), ["source", "line", "value"], "left_anti")
-    soft = F.col("source").contains("patterns/") | F.col("value").rlike(r"[<>\[\]{}]")
+    soft = F.col("source").contains("patterns/") | F.col("value").rlike(r"[<>\[\]{}]") | F.col("value").rlike(PLACEHOLDER_WORDS)
     return gone.select(*issue("MISSING_PATH", F.when(soft, "warning").otherwise("error"), F.col("source"), F.col("line"), F.concat(F.lit("no such path: "), "value")))
 
 

@@ -35,3 +35,22 @@ def transcript_counts(lines: DataFrame, column: str = "value") -> DataFrame:
         F.sum(F.when(kind == "assistant", used).otherwise(0)).alias("tools"),
         F.max(F.when(kind == "result", F.try_variant_get(v, "$.total_cost_usd", "double"))).alias("cost"),
     )
+
+
+def found_rank(returned: DataFrame, wanted: Column, *order: Column | str) -> DataFrame:
+    """task, rank, found: the place of a task's first result that is wanted (A20); null if there is none."""
+    from pyspark.sql import Window
+
+    rows = returned.withColumn("_n", F.row_number().over(Window.partitionBy("task").orderBy(*order)))
+    hit = F.min(F.when(wanted, F.col("_n"))).cast("long")
+    return rows.groupBy("task").agg(hit.alias("rank"), hit.isNotNull().alias("found"))
+
+
+def variant_means(runs: DataFrame, values: list[str], best: str) -> DataFrame:
+    """variant, n, means of values, place from 1 by the mean of best, the least first (A21); runs of one variant each."""
+    from pyspark.sql import Window
+
+    means = [F.round(F.avg(v), 6).alias(v) for v in values]
+    g = runs.groupBy("variant").agg(F.count("*").alias("n"), *means)
+    # variants are few: one row each
+    return g.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(best).asc_nulls_last(), "variant")))

@@ -237,3 +237,15 @@ def changed_files(tracked: DataFrame, current: DataFrame) -> DataFrame:
         .when(~F.col("size").eqNullSafe(F.col("size0")) | ~F.col("modified_at").eqNullSafe(F.col("at0")), "edited")
     )
     return j.select("path", change.alias("change")).filter("change is not null")
+
+
+def nodes_by_file(nodes: DataFrame) -> DataFrame:
+    """file_path, first (smallest ord), ids in that order."""
+    at = F.array_sort(F.collect_list(F.struct("ord", "id")))
+    return nodes.groupBy("file_path").agg(F.min("ord").alias("first"), F.transform(at, lambda x: x["id"]).alias("ids"))
+
+
+def affected(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """id, depth of the roots (depth 0) and all that a change of them affects, in order of depth and id."""
+    all_ = roots.select("id", F.lit(0).alias("depth")).unionByName(found.select("id", "depth"))
+    return all_.groupBy("id").agg(F.min("depth").alias("depth")).orderBy("depth", "id")

@@ -182,9 +182,5 @@ def document_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def found_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each name the rank, by price, of the first part of one brand."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("p_name").orderBy(F.col("p_retailprice").desc(), "p_partkey")
-    r = bridge.table(spark, sf_dir, "part").withColumn("rank", F.row_number().over(w))
-    hit = F.min(F.when(F.col("p_brand") == "Brand#2", F.col("rank"))).cast("long")
-    return r.groupBy(F.col("p_name").alias("task")).agg(hit.alias("rank"), hit.isNotNull().alias("found"))
+    r = bridge.table(spark, sf_dir, "part").withColumn("task", F.col("p_name"))
+    return evaluate.found_rank(r, F.col("p_brand") == "Brand#2", F.col("p_retailprice").desc(), "p_partkey")

@@ -10,8 +10,11 @@ strings and comments are blanked, with scopes from the nesting of braces.
 from __future__ import annotations
 
 import ast
+import io
+import keyword
 import re
 import sys
+import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
@@ -276,3 +279,61 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     i = imports.select(F.concat(F.lit("file:"), "file_path").alias("source"), F.concat(F.lit("file:"), "imported_path").alias("target"), F.lit("imports").alias("kind"), F.col("ref_id").alias("ord"))
     c = n.filter("kind != 'file'").select(F.concat(F.lit("file:"), "file_path").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"), "ord")
     return n, graph.valid_edges(graph.first_edges(e.unionByName(i).unionByName(c)), n), refs
+
+
+#: Words of TypeScript, JavaScript and Rust that stand for themselves among a body's tokens.
+KEYWORDS = frozenset(
+    """as async await break case catch class const continue crate debugger default delete do dyn else enum export extends extern false
+    finally fn for from function get if impl implements import in instanceof interface let loop match mod move mut namespace new null of
+    private protected pub public readonly ref return self set static struct super switch this throw trait true try type typeof undefined
+    unsafe use var void where while with yield""".split()
+)
+LEAF = re.compile(
+    r"""(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>"(?:\\[\s\S]|[^"\\])*"|'(?:\\.|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`)|(?P<number>\d[\w.]*)|(?P<word>[^\W\d][\w$]*|\$[\w$]*)|(?P<mark>=>|->|::|[=!]==?|[<>]=|&&|\|\||[^\s\w])"""
+)
+PYTHON_LEAVES = {tokenize.NUMBER: "number", tokenize.STRING: "string", tokenize.COMMENT: "comment"} | {
+    getattr(tokenize, t): "string" for t in ("FSTRING_START", "FSTRING_MIDDLE", "FSTRING_END") if hasattr(tokenize, t)
+}
+
+
+def python_leaves(text: str) -> Iterator[tuple[int, int, str]]:
+    """line, last line, type of a Python file's tokens, up to where it can't be read."""
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            if t.type == tokenize.NAME:
+                yield t.start[0], t.end[0], t.string if keyword.iskeyword(t.string) else "identifier"
+            elif t.type == tokenize.OP:
+                yield t.start[0], t.end[0], t.string
+            elif t.type in PYTHON_LEAVES:
+                yield t.start[0], t.end[0], PYTHON_LEAVES[t.type]
+    except (tokenize.TokenError, SyntaxError):
+        return
+
+
+def brace_leaves(text: str) -> Iterator[tuple[int, int, str]]:
+    """line, last line, type of the tokens of a file with braces."""
+    line, at = 1, 0
+    for m in LEAF.finditer(text):
+        line, at = line + text.count("\n", at, m.start()), m.start()
+        kind = m.lastgroup
+        if kind in ("word", "mark"):
+            kind = m[0] if kind == "mark" or m[0] in KEYWORDS else "identifier"
+        yield line, line + m[0].count("\n"), kind
+
+
+def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for p, t, g in zip(pdf["path"], pdf["text"], pdf["language"], strict=True):
+            found = python_leaves(t or "") if g == "python" else () if g == "unknown" else brace_leaves(t or "")
+            yield pd.DataFrame([(p, i, *leaf) for i, leaf in enumerate(found)], columns=["path", "pos", "line", "end_line", "type"])
+
+
+def leaves(files: DataFrame) -> DataFrame:
+    """path, pos, line, end_line, type of all tokens of all files (X08): names and literals by their kind, all else as it stands."""
+    return files.select("path", "text", "language").mapInPandas(_leaves, "path string, pos int, line int, end_line int, type string")
+
+
+def save(nodes: DataFrame, edges: DataFrame, refs: DataFrame, folder: str) -> None:
+    """A built graph written in place of what the folder held."""
+    for name, df in (("nodes", nodes), ("edges", edges), ("refs", refs)):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -103,10 +103,18 @@ def make_targets(files: DataFrame) -> DataFrame:
 
 
 def commit_age(commits: DataFrame, now) -> DataFrame:
-    """file, days, commits since each file's last change (S19, W08); commits: id, at, files."""
+    """file, days, commits since each file's last change (S19, W08); commits: id, at, files.
+
+    A commit's place is the number of later days' commits and its place within its day: only
+    the sums of days, not the commits, pass through one window.
+    """
     from pyspark.sql import Window
 
-    ranked = commits.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("at").desc(), "id")) - 1)
+    c = commits.withColumn("day", F.to_date("at"))
+    later = Window.partitionBy(F.lit(0)).orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = c.groupBy("day").agg(F.count("*").alias("n")).select("day", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("day").orderBy(F.col("at").desc(), "id")) - 1
+    ranked = c.withColumn("nth", within).join(days, "day").withColumn("pos", F.col("before") + F.col("nth"))
     touched = ranked.select(F.explode("files").alias("file"), "pos", "at")
     return touched.groupBy("file").agg(F.floor((F.unix_timestamp(now) - F.unix_timestamp(F.max("at"))) / 86400).alias("days"), F.min("pos").alias("commits"))
 
@@ -139,10 +147,57 @@ def readme(files: DataFrame, names: tuple[str, ...] = ("README.md", "readme.md",
     return files.join(best, "path").select("path", text.alias("text"))
 
 
+def workspace_patterns(files: DataFrame) -> DataFrame:
+    """pattern: folders of workspaces by package.json, as a list or under packages; else by pnpm-workspace.yaml."""
+    said = F.get_json_object("text", "$.workspaces")
+    listed = F.when(said.startswith("["), said).otherwise(F.get_json_object("text", "$.workspaces.packages"))
+    first = files.filter("path = 'package.json'").select(F.lit(1).alias("way"), F.from_json(listed, "array<string>").alias("p"))
+    block = F.regexp_extract("text", r"(?m)^packages:[ \t]*\r?\n((?:[ \t]*-[^\n]*(?:\n|$)|[ \t]*(?:#[^\n]*)?\n)+)", 1)
+    items = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]*[\"']?([^\"'\s#]+)"), F.lit(1))
+    second = files.filter("path = 'pnpm-workspace.yaml'").select(F.lit(2).alias("way"), items.alias("p"))
+    best = first.unionByName(second).filter(F.size("p") > 0).agg(F.min_by("p", "way").alias("p"))
+    return best.select(F.explode("p").alias("pattern"))
+
+
 def workspace_names(files: DataFrame) -> DataFrame:
-    """path, name of the packages of workspaces: any package.json below the root that has a name."""
-    p = files.filter("path like '%/package.json'").select("path", F.get_json_object("text", "$.name").alias("name"))
-    return p.filter("name is not null").select(F.regexp_replace("path", "/package.json$", "").alias("path"), "name")
+    """path, name of the packages in workspaces that have a name (S20); one manifest's patterns are broadcast."""
+    from ..functions.text import glob_regex
+
+    p = files.filter("path like '%/package.json'").select(F.regexp_replace("path", "/package.json$", "").alias("path"), F.get_json_object("text", "$.name").alias("name"))
+    bare = F.regexp_replace("pattern", r"^\./|/+$", "")
+    globs = workspace_patterns(files).filter("pattern not like '!%'").select(glob_regex(bare).alias("glob"))
+    return p.filter("name is not null").join(F.broadcast(globs), F.expr("regexp_like(path, glob)"), "left_semi")
+
+
+#: The files by which a project's tools are told; of each kind the first that is there counts.
+TOOLS = {
+    "test_runner": {
+        "vitest": ("vitest.config.ts", "vitest.config.js"), "jest": ("jest.config.ts", "jest.config.js", "jest.config.json"),
+        "pytest": ("pytest.ini", "pyproject.toml"), "mocha": (".mocharc.yml", ".mocharc.json"),
+    },
+    "build_tool": {
+        "tsup": ("tsup.config.ts", "tsup.config.js"), "vite": ("vite.config.ts", "vite.config.js"), "next": ("next.config.ts", "next.config.js", "next.config.mjs"),
+        "webpack": ("webpack.config.ts", "webpack.config.js"), "rollup": ("rollup.config.ts", "rollup.config.js"), "esbuild": ("esbuild.config.ts",), "make": ("Makefile",),
+    },
+    "linter": {
+        "eslint": ("eslint.config.js", "eslint.config.mjs", ".eslintrc.js", ".eslintrc.json", ".eslintrc.yml"), "pylint": (".pylintrc", "pylintrc"),
+        "flake8": (".flake8",), "golangci-lint": (".golangci.yml",),
+    },
+    "formatter": {"prettier": (".prettierrc", ".prettierrc.json", ".prettierrc.js", "prettier.config.js"), "biome": ("biome.json",), "editorconfig": (".editorconfig",)},
+    "package_manager": {"bun": ("bun.lockb", "bun.lock"), "pnpm": ("pnpm-lock.yaml",), "yarn": ("yarn.lock",), "npm": ("package-lock.json", "package.json")},
+}
+
+
+def tooling(files: DataFrame, tools: dict[str, dict[str, tuple[str, ...]]] = TOOLS) -> DataFrame:
+    """category, tool that a project uses."""
+    rows = [(c, i, t, p) for c, of in tools.items() for i, (t, names) in enumerate(of.items()) for p in names]
+    w = files.sparkSession.createDataFrame(rows, "category string, pos int, tool string, path string")
+    return files.select("path").join(F.broadcast(w), "path").groupBy("category").agg(F.min_by("tool", "pos").alias("tool"))
+
+
+def write_results(rows: DataFrame, path: str, form: str = "json") -> None:
+    """Measured results as JSON lines or as CSV with a header."""
+    rows.write.mode("overwrite").option("header", True).format(form).save(path)
 
 
 def project(files: DataFrame) -> DataFrame:
