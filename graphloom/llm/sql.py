@@ -199,6 +199,17 @@ FROM docs LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 """
 
 
+OP12 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc_revisits": OP1,
     "op3_ngram_jaccard_join": OP3,
@@ -207,4 +218,5 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": OP6,
     "op8_licence_scan": _op8(),
     "op9_chat_format": OP9,
+    "op12_vector_search": OP12,
 }
