@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, licences, line_rules, mixing, ngram_join, quality, sharding, vafile, warc
+from . import chat, decontaminate, language, licences, line_rules, mixing, ngram_join, quality, sharding, vafile, warc, whitening
 from .common import spread, table
 
 DOMAINS = ("web", "books", "code", "news")
@@ -84,6 +84,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors whitened: up to 16 components of each."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest inner products of every fiftieth vector with all others."""
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -100,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_scan": op8_licence_scan,
     "op9_chat_format": op9_chat_format,
     "op10_sharding": op10_sharding,
+    "op11_whitening": op11_whitening,
     "op12_vector_search": op12_vector_search,
 }
