@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, licences, line_rules, mixing, ngram_join, quality, sharding, vafile, warc, whitening
+from . import chat, decontaminate, language, licences, line_rules, mixing, ngram_join, quality, repair, sharding, vafile, warc, whitening
 from .common import spread, table
 
 DOMAINS = ("web", "books", "code", "news")
@@ -94,6 +94,11 @@ def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged, and the cheapest repair of each."""
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_quality_classifier": op2_quality_classifier,
@@ -107,4 +112,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_whitening": op11_whitening,
     "op12_vector_search": op12_vector_search,
+    "op13_conversation_repair": op13_conversation_repair,
 }
