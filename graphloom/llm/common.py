@@ -40,6 +40,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def told(column: str = "doc_id") -> Column:
+    """An id as text, for its way through pandas, which makes inexact doubles of whole numbers that stand beside a null."""
+    return F.col(column).cast("string").alias(column)
+
+
+def untold(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """df with an id that told() made a text of as a number again."""
+    return df.withColumn(column, F.col(column).cast("long"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, one is chosen if Spark is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

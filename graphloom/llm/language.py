@@ -16,22 +16,22 @@ each language, chosen by a hash of doc_id and text; every text is scored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, spread
+from .common import checkpoint, ship, spread, told, untold
 
 ship(__name__)
 
 ORDER = 3
 #: Expected number of documents of each language that the trees are learnt from.
 DOCS_PER_LANG = 1_500
-#: Languages that are learnt at most; with more, learning fails rather than leave some out.
-MAX_LANGS = 400
+#: Languages whose trees are held together; with more, texts are scored with one group of languages after another.
+TOGETHER = 400
 #: Bytes of text that are scored at a time.
 CHUNK = 1 << 19
 PAD = 10
@@ -127,11 +127,9 @@ def one_tree(part: list[np.ndarray], count: np.ndarray, n: int) -> tuple[np.ndar
     return row_of, -np.log2(prob)
 
 
-def build(counts: pd.DataFrame, max_langs: int = MAX_LANGS) -> Trees:
+def build(counts: pd.DataFrame) -> Trees:
     """Trees from rows lang, gram, n. Their size is the sum of the languages' own trees, which the sample bounds, and a table of triples of symbols."""
     langs = sorted(counts["lang"].unique())
-    if len(langs) > max_langs:
-        raise ValueError(f"{len(langs)} languages; at most {max_langs} are learnt, see max_langs")
     gram = counts["gram"].to_numpy(dtype=np.uint32)
     seen = np.unique(np.concatenate([(gram >> np.uint32(8 * k)) & np.uint32(255) for k in range(ORDER + 1)] + [np.array([PAD], dtype=np.uint32)]))
     n = len(seen) + 1
@@ -159,24 +157,47 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
     power of how many bits shorter the best code is than each. Of equal
     codes the language whose name comes first wins. Only text is looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    return _named(_scored(_unscored(docs), trees))
+
+
+STATE = "doc_id string, text string, lang_pred string, rest double, bits double"
+
+
+def _unscored(docs: DataFrame) -> DataFrame:
+    """Rows of STATE before any language: rest is the sum of which score is the reciprocal."""
+    return spread(docs.select(told("doc_id"), "text")).selectExpr("doc_id", "text", "string(null) lang_pred", "double(null) rest", "double(null) bits")
+
+
+def _scored(rows: DataFrame, trees: Trees) -> DataFrame:
+    """Rows of STATE with further languages, whose names come after those before."""
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(getattr(trees, f.name) for f in fields(trees)))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = shared.value
+        t = Trees(*shared.value)
         for pdf in batches:
-            known = [x is not None and any(map(str.isalpha, x)) and bool(t.langs) for x in pdf["text"]]
-            bits = t.scores([x.encode("utf-8", "surrogatepass") for x, k in zip(pdf["text"], known, strict=True) if k])
-            pred, score, most = [], [], []
-            rows = iter(bits)
-            for k in known:
-                b = next(rows) if k else None
-                pred.append(t.langs[int(b.argmin())] if k else "und")
-                score.append(float(1 / np.exp2(np.maximum(b.min() - b, -1000)).sum()) if k else 0.0)
-                most.append(float(b.min()) if k else None)
-            ids = pd.array([None if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype="Int64")
-            yield pd.DataFrame({"doc_id": ids, "lang_pred": pred, "score": score, "bits": most})
-
-    return spread(docs.select("doc_id", "text")).mapInPandas(judge, "doc_id long, lang_pred string, score double, bits double")
+            known = np.array([x is not None and any(map(str.isalpha, x)) and bool(t.langs) for x in pdf["text"]], dtype=bool)
+            pred, rest, most = pdf["lang_pred"].to_numpy(dtype=object), pdf["rest"].to_numpy(dtype=float, copy=True), pdf["bits"].to_numpy(dtype=float, copy=True)
+            found = t.scores([x.encode("utf-8", "surrogatepass") for x in pdf["text"][known]])
+            for i, b in zip(np.flatnonzero(known), found, strict=True):
+                best = float(b.min())
+                total = float(np.exp2(np.maximum(best - b, -1000)).sum())
+                if np.isnan(most[i]):
+                    pred[i], rest[i], most[i] = t.langs[int(b.argmin())], total, best
+                else:
+                    least = min(best, most[i])
+                    rest[i] = rest[i] * np.exp2(max(least - most[i], -1000)) + total * np.exp2(max(least - best, -1000))
+                    pred[i], most[i] = (t.langs[int(b.argmin())] if best < most[i] else pred[i]), least
+            # NaN is null
+            df = pd.DataFrame({"lang_pred": pred, "rest": pd.array(rest, dtype="Float64"), "bits": pd.array(most, dtype="Float64")})
+            df.insert(0, "doc_id", pdf["doc_id"].astype(object))
+            df.insert(1, "text", pdf["text"].astype(object))
+            yield df
+
+    return rows.mapInPandas(judge, STATE)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return untold(rows.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce(1 / F.col("rest"), F.lit(0.0)).alias("score"), "bits"))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -184,14 +205,24 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def identify(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
+def identify(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, together: int = TOGETHER) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits: learnt from the documents that aren't held out, applied to all.
 
     One row for each row of docs, in which repeated rows are judged alike. Null, empty and letterless texts are und; a
     null lang is not learnt from; a row with a null doc_id isn't held out. Of equal code lengths the language
-    whose name comes first wins. An empty table, or one without a usable lang, learns nothing, and all it has is und.
+    whose name comes first wins. An empty table, or one without a usable lang, learns nothing, and all it has is und. More
+    languages than may be held together are learnt and scored in groups, with the same result.
     Whole texts are used, however long. Other columns, whatever their names, are ignored.
     """
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    trees = build(gram_counts(spread(known), docs_per_lang).toPandas())
-    return predict(docs, trees).withColumn("held_out", held_out())
+    counts = gram_counts(spread(known), docs_per_lang)
+    names = known.select("lang").distinct()
+    some = [r["lang"] for r in names.orderBy("lang").limit(together + 1).collect()]
+    if len(some) <= together:
+        return predict(docs, build(counts.toPandas())).withColumn("held_out", held_out())
+    # as many languages at a time as may be held together, each group with the rows as the one before left them
+    counts, names, rows = checkpoint(counts), checkpoint(names), _unscored(docs)
+    while some := some[:together]:
+        rows = checkpoint(_scored(rows, build(counts.filter(F.col("lang").between(some[0], some[-1])).toPandas())))
+        some = [r["lang"] for r in names.filter(F.col("lang") > some[-1]).orderBy("lang").limit(together).collect()]
+    return _named(rows).withColumn("held_out", held_out())

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship, spread
+from .common import checkpoint, ship, spread, told, untold
 
 ship(__name__)
 
@@ -28,7 +28,7 @@ MIN_LEFT = 30
 #: Boilerplate lines up to this number are broadcast as hashes; beyond it they are joined with all lines.
 BROADCAST_LINES = 500_000
 
-FIELDS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_removed long"
+FIELDS = "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_removed long"
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -109,7 +109,7 @@ def _measured(rows: list[tuple], texts: bool) -> pd.DataFrame:
         [(*base_counts(t), gone) + (clean,) * texts for _, t, gone, clean in rows],
         columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed"] + ["clean_text"] * texts,
     )
-    df.insert(0, "doc_id", pd.array([None if pd.isna(r[0]) else int(r[0]) for r in rows], dtype="Int64"))
+    df.insert(0, "doc_id", pd.array([r[0] for r in rows], dtype=object))
     return df
 
 
@@ -183,7 +183,7 @@ def line_rules(
                 rows = zip(pdf["doc_id"], pdf["text"], pdf["host"], strict=True)
                 yield _measured([(i, t, *without(t, h, shared.value)) for i, t, h in rows], texts)
 
-        out = rows.mapInPandas(measure, FIELDS + ", clean_text string" * texts)
+        out = untold(rows.select(told("doc_id"), "text", "host").mapInPandas(measure, FIELDS + ", clean_text string" * texts))
     else:
         out = _joined(rows, often, texts)
     fine = (F.col("n_words") >= 50) & (F.col("n_repeat_words") * 100 <= F.col("n_words") * 50)
@@ -203,8 +203,8 @@ def _joined(rows: DataFrame, often: DataFrame, texts: bool) -> DataFrame:
             rows = zip(pdf["doc_id"], pdf["text"], pdf["host"], pdf["gone"], strict=True)
             yield _measured([(i, t, *without(t, h, set() if g is None else {int(x) for x in g})) for i, t, h, g in rows], texts)
 
-    joined = numbered.join(hit, "doc", "left").select("doc_id", "text", "host", "gone")
-    return joined.mapInPandas(measure, FIELDS + ", clean_text string" * texts)
+    joined = numbered.join(hit, "doc", "left").select(told("doc_id"), "text", "host", "gone")
+    return untold(joined.mapInPandas(measure, FIELDS + ", clean_text string" * texts))
 
 
 def digest(docs: DataFrame) -> DataFrame:

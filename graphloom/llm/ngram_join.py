@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, ship, spread
+from .common import checkpoint, fresh, ship, spread, told, untold
 
 ship(__name__)
 
@@ -336,7 +336,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(s):
                     sets[d1, d2] = s
             df = pd.DataFrame(rows, columns=["doc", "n", "d1", "d2", "sketch"])
-            df.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i) for i in islice(ids, len(raws))], dtype="Int64"))
+            df.insert(0, "doc_id", pd.array(list(islice(ids, len(raws))), dtype=object))
             yield df
             if sets:
                 h = np.sort(np.concatenate(list(sets.values())))
@@ -344,7 +344,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 # in sorted order a shingle that occurs that often is equal to the one so many places on
                 h = h[: max(0, len(h) - least + 1)][h[: max(0, len(h) - least + 1)] == h[least - 1 :]]
                 h, k = np.unique(h, return_counts=True)
-                none = pd.array([None] * len(h), dtype="Int64")
+                none = pd.array([None] * len(h), dtype=object)
                 yield pd.DataFrame({"doc_id": none, "doc": False, "n": k + (least - 1), "d1": h.view(np.int64), "d2": 0, "sketch": b""})
 
 
@@ -718,8 +718,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = spread(docs.select("doc_id", "text"))
-    seen = checkpoint(rows.mapInPandas(_describe, "doc_id long, doc boolean, n long, d1 long, d2 long, sketch binary"))
-    of = seen.filter("doc").drop("doc")
+    seen = checkpoint(rows.select(told("doc_id"), "text").mapInPandas(_describe, "doc_id string, doc boolean, n long, d1 long, d2 long, sketch binary"))
+    of = untold(seen.filter("doc").drop("doc"))
     n_docs, total = of.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     common = seen.filter("not doc").groupBy("d1").agg(F.sum("n").alias("k")).filter(F.col("k") >= max(32, n_docs // (4 * COMMON)))
     common = common.orderBy(F.desc("k"), "d1").limit(MOST_COMMON).select("d1").toPandas()["d1"].to_numpy(dtype=np.int64)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, ship, spread, text_key
+from .common import checkpoint, fresh, ship, spread, text_key, told, untold
 from .line_rules import repeated_words
 
 ship(__name__)
@@ -118,15 +118,15 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             f = features(raw, words, r)
             rows.append((len(words), sum(v * 3**j for j, v in enumerate(votes(len(words), r))), list(f), list(f.values())))
         df = pd.DataFrame(rows, columns=["n_words", "pattern", "idx", "val"])
-        df.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype="Int64"))
+        df.insert(0, "doc_id", pdf["doc_id"].astype(object))
         df["key"] = pdf["key"].astype(object)
         yield df
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, pattern (votes as digits to base 3; -1 without words), idx and val (hashed features), key (the text's hash)."""
-    given = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
-    return spread(given).mapInPandas(_measure, "doc_id long, n_words long, pattern long, idx array<int>, val array<float>, key string")
+    """doc_id (as text), n_words, pattern (votes as digits to base 3; -1 without words), idx and val (hashed features), key (the text's hash)."""
+    given = docs.select(told("doc_id"), "text", text_key(F.col("text")).alias("key"))
+    return spread(given).mapInPandas(_measure, "doc_id string, n_words long, pattern long, idx array<int>, val array<float>, key string")
 
 
 @dataclass
@@ -206,7 +206,7 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep_from: float = K
     table = seen.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
     model = fit_labels(table["pattern"].to_numpy(dtype=np.int64), table["n"].to_numpy())
     # expected size train_rows; with fewer documents all are taken
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("key")), F.lit(1 << 40))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("long"), F.col("key")), F.lit(1 << 40))
     bound = min(1 << 40, (train_rows << 40) // max(1, int(table["n"].sum())))
     sample = seen.filter(draw < F.lit(bound)).groupBy("doc_id", "key").agg(
         F.first("pattern").alias("pattern"), F.first("idx").alias("idx"), F.first("val").alias("val"), F.count("*").alias("times")
@@ -215,22 +215,22 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep_from: float = K
     sample = sample.toPandas().sort_values(["key", "doc_id"], kind="stable")
     soft = model.posterior(sample["pattern"].to_numpy(dtype=np.int64)) if len(sample) else np.zeros(0)
     weights = fit_scorer(list(sample["idx"]), list(sample["val"]), soft, sample["times"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights))
+    shared = docs.sparkSession.sparkContext.broadcast((model.prior, model.right, weights))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        label, w = shared.value
+        *learnt, w = shared.value
+        label = LabelModel(*learnt)
         for pdf in batches:
             z = np.array([w[np.asarray(i, dtype=np.int64)] @ np.asarray(v) + w[-1] if len(i) else -np.inf for i, v in zip(pdf["idx"], pdf["val"], strict=True)])
             s = np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -50, 50))))
             some = pdf["pattern"].to_numpy() >= 0
             p = np.where(some, label.posterior(np.maximum(pdf["pattern"].to_numpy(), 0)), 0.0)
-            ids = pd.array([None if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype="Int64")
-            df = pd.DataFrame({"doc_id": ids, "n_words": pdf["n_words"], "posterior": p, "score": s, "kept": some & (s >= keep_from)})
+            df = pd.DataFrame({"doc_id": pdf["doc_id"].astype(object), "n_words": pdf["n_words"], "posterior": p, "score": s, "kept": some & (s >= keep_from)})
             if keys:
                 df["key"] = pdf["key"].astype(object)
             yield df
 
-    return rows.mapInPandas(score, "doc_id long, n_words long, posterior double, score double, kept boolean" + ", key string" * keys)
+    return untold(rows.mapInPandas(score, "doc_id string, n_words long, posterior double, score double, kept boolean" + ", key string" * keys))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

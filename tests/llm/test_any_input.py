@@ -89,6 +89,32 @@ def test_stages(spark, tmp_path, docs, bench, name, stage):
         assert len(got) == len(ROWS) and all(r["shard"] for r in out.collect())
 
 
+BIG = 2**60
+
+
+def test_large_ids_beside_null_ones(spark):
+    """Ids above 2 ** 53 come back as they are, and links among them are found, in a batch with a null id."""
+    one = " ".join(f"w{i}" for i in range(60))
+    rows = [(BIG + 1, one, "en", "s"), (None, "some text of its own " * 20, "en", "s"), (BIG + 1001, one.replace("w59", "x"), "en", "s"), (BIG + 3, "another one " * 30, "de", "t")]
+    df = spark.createDataFrame(rows, DOCUMENT).coalesce(1)
+    want = sorted(r[0] or 0 for r in rows)
+    for name, f in OPERATORS.items():
+        bench = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
+        assert sorted(r["doc_id"] or 0 for r in f(df, bench).collect()) == want, name
+    assert sorted(r["doc_id"] or 0 for r in line_rules.line_rules(df, min_docs=1, min_per_mille=0, broadcast_lines=0).collect()) == want
+    assert sorted(r["doc_id"] or 0 for r in licences.scan(df).collect()) == want
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_components(df).collect()}
+    assert found == {BIG + 1: BIG + 1, BIG + 1001: BIG + 1, BIG + 3: BIG + 3, None: None}
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_large_ids_in_stages(spark, tmp_path, bench, name, stage):
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(BIG + 2 * i + 1, f"Sentence number {i} of the clean texts says that it is good, and the {i * 7} others do so too. " * 4, "en", f"src{i % 3}") for i in range(30)] + [(None, "A text without an id, which is as good as the others are. " * 4, "en", "src1")]
+    got = stage(spark, spark.createDataFrame(rows, DOCUMENT).withColumn("n_chars", F.lit(0)).coalesce(1), str(tmp_path)).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} <= {r[:2] for r in rows}
+
+
 def test_names_that_no_column_has(spark):
     df = spark.createDataFrame([(1, 2, 3)], "A int, a_ int, b int")
     assert common.fresh(df, "a") == "a__" and common.fresh(df, "c") == "c"

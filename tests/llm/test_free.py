@@ -326,8 +326,65 @@ def test_trees_grow_with_the_languages_own_contexts():
         trees = language.build(pd.concat(rows, ignore_index=True))
         sizes[k] = sum(x.nbytes for x in trees.length)
     assert sizes[16] < 4.5 * sizes[4]
-    with pytest.raises(ValueError):
-        language.build(pd.DataFrame({"lang": ["a", "b"], "gram": [1, 2], "n": [1, 1]}), max_langs=1)
+
+
+def test_many_languages_in_groups(spark):
+    rng = random.Random(15)
+    vocab = [["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(8)] for _ in range(23)]
+    rows = [(i, " ".join(rng.choice(vocab[i % 23]) for _ in range(20)), f"l{i % 23:02}", "s", 0) for i in range(230)] + [(None, None, "l01", "s", 0), (2**60 + 1, "!", None, "s", 0)]
+    df = spark.createDataFrame(rows, DOC)
+    want = {r["doc_id"]: (r["lang_pred"], r["score"], r["bits"], r["held_out"]) for r in language.identify(df).collect()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["bits"], r["held_out"]) for r in language.identify(df, together=5).collect()}
+    assert got.keys() == want.keys()
+    for i, (lang, score, bits, held) in want.items():
+        assert got[i][0] == lang and got[i][3] == held
+        assert (got[i][2] is None) == (bits is None) and abs((got[i][2] or 0) - (bits or 0)) < 1e-2 and abs(got[i][1] - score) < 1e-3
+
+
+def test_what_is_broadcast_needs_no_package(spark, monkeypatch):
+    """Executors may lack the package: what they are sent names none of it."""
+    import pickle
+
+    sent = []
+    whole = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(pickle.dumps(x)) or whole(self, x))
+    rows = spark.createDataFrame([(i, f"Words of a text that is number {i}. " * 20, "en", "s", 0) for i in range(40)], DOC)
+    for f in (quality.classify, line_rules.line_rules, language.identify, ngram_join.similarity_components):
+        f(rows).count()
+    assert len(sent) >= 4 and not [x for x in sent if b"graphloom" in x]
+
+
+def test_quality_against_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    found = quality.classify(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    good, bad = found[found["quality"] == 1], found[found["quality"] == 0]
+    assert len(good) > 50 and len(bad) > 20
+    assert (good["score"].to_numpy()[:, None] > bad["score"].to_numpy()).mean() > 0.99
+    assert good["kept"].mean() > 0.97 and bad["kept"].mean() < 0.05
+
+
+def test_depleted_documents_against_sql(spark, tmp_path):
+    """Documents that the base rules keep and that the lines of their host empty."""
+    import duckdb
+
+    from graphloom.llm import sql
+
+    rng = random.Random(21)
+    shared = [" ".join(words(rng, 30)) for _ in range(6)]
+    texts, hosts = [], []
+    for i in range(150):
+        own = [" ".join(words(rng, rng.randrange(5, 40), 9000)) for _ in range(rng.randrange(1, 4))]
+        texts.append("\n".join(rng.sample(shared, rng.randrange(0, 6)) + own))
+        hosts.append("h" + str(i % 3))
+    docs(spark, texts, hosts).write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cur = duckdb.execute(sql.ORACLES["op4_line_frequency"])
+    names = [c[0] for c in cur.description]
+    want = sorted(cur.fetchall())
+    rows = sorted(tuple(r[c] for c in names) for r in line_rules.digest(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect())
+    assert rows == want
+    depleted = [r for r in want if not r[names.index("base_failed")] and not r[names.index("kept")]]
+    assert 10 < len(depleted) < 140
 
 
 def plain_shares(t):
