@@ -3,7 +3,8 @@
 A template is the set of words of a licence notice. It is met at a place of a text
 if the span of words that begins there, half as long again as the notice, holds
 NEED per cent of its words (all of them if they are few), those that name the
-licence among them and none that names a sibling. Line breaks and comment marks don't count.
+licence among them. Such a word doesn't count where the word before or after it, in the span or not, is one
+that makes it the name of a sibling, as in "GNU Lesser" or "BY-SA". Line breaks and comment marks don't count.
 
 Texts are cut into overlapping blocks, so that every span lies in one. The words of the
 templates are put in one global order, the rarest in the corpus first; a block is
@@ -43,7 +44,7 @@ PHRASES = (
 
 @dataclass(frozen=True)
 class Template:
-    """A notice, its label, the words without which it isn't met and those with which it isn't."""
+    """A notice, its label, the words without which it isn't met, and those beside which these name something else."""
 
     label: str
     text: str
@@ -181,7 +182,7 @@ def ordered_templates(rows: DataFrame, templates=TEMPLATES) -> list[dict]:
 
 
 def probes(words: Column, order: list[dict]) -> Column:
-    """For each block of a text's words and each of its words that may be the first common one: block, b, q, word.
+    """For each block of a text's words and each of its words that may be the first common one: block (after the word before it), b, q, word.
 
     b: the block's template words, rarest first; q: the place of word in it.
     """
@@ -190,8 +191,8 @@ def probes(words: Column, order: list[dict]) -> Column:
     heads = F.lit(sorted({w for x in order for w in x["t"][: len(x["t"]) - x["need"] + 1]}))
     least, stride = min(x["need"] for x in order), max(x["span"] for x in order)
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(stride))
-    blocks = F.transform(starts, lambda i: F.slice(words, i + 1, 2 * stride))
-    held = F.transform(blocks, lambda w: F.struct(w.alias("block"), F.array_intersect(ranked, w).alias("b")))
+    blocks = F.transform(starts, lambda i: F.concat(F.array(F.coalesce(F.get(words, i - 1), F.lit(""))), F.slice(words, i + 1, 2 * stride)))
+    held = F.transform(blocks, lambda w: F.struct(w.alias("block"), F.array_intersect(ranked, F.slice(w, 2, 2 * stride)).alias("b")))
     # the length filter with the smallest need, then the words of the prefix of the block that are in the prefix of a template
     held = F.filter(held, lambda x: F.size(x["b"]) >= least)
     few = F.transform(held, lambda x: F.struct(x["block"].alias("block"), x["b"].alias("b"), F.array_intersect(F.slice(x["b"], F.lit(1), F.size(x["b"]) - least + 1), heads).alias("w")))
@@ -213,12 +214,18 @@ def filtered(b: Column, q: Column) -> Column:
 
 
 def best_span(block: Column, stride: int) -> Column:
-    """The most words of a template that a span beginning in the block's first half holds, if it meets the template, else 0."""
-    starts = F.filter(F.sequence(F.lit(0), F.least(F.size(block), F.lit(stride)) - 1), lambda i: F.array_contains(F.col("t"), F.get(block, i)))
+    """The most words of a template that a span beginning in the first half of a block holds, if it meets the template, else 0.
+
+    block: the word before the block, and the block.
+    """
+    starts = F.filter(F.sequence(F.lit(1), F.least(F.size(block) - 1, F.lit(stride))), lambda i: F.array_contains(F.col("t"), F.get(block, i)))
+    barred = lambda k: F.coalesce(F.array_contains(F.col("bar"), F.get(block, k)), F.lit(False))
 
     def held(i: Column) -> Column:
         here = F.slice(block, i + 1, F.col("span"))
-        fine = (F.size(F.array_except("must", here)) == 0) & ~F.arrays_overlap(F.col("bar"), here)
+        places = F.filter(F.sequence(i, i + F.col("span") - 1), lambda k: F.coalesce(F.array_contains(F.col("must"), F.get(block, k)), F.lit(False)) & ~barred(k - 1) & ~barred(k + 1))
+        named = F.when(F.arrays_overlap(F.col("bar"), F.slice(block, i, F.col("span") + 2)), F.transform(places, lambda k: F.get(block, k))).otherwise(here)
+        fine = F.size(F.array_except("must", named)) == 0
         return F.when(fine, F.size(F.array_intersect("t", here))).otherwise(0)
 
     most = F.coalesce(F.array_max(F.transform(starts, held)), F.lit(0))
@@ -249,21 +256,21 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each document.
 
     score is 1 where a phrase occurs, else the largest containment of a
-    template that is met, else 0. Null text is empty. Rows that share a doc_id are
-    one document, whose words and places are those of all its rows; a null doc_id is
-    one too. Repeated rows count as often as they occur, ties don't matter. No documents,
+    template that is met, else 0. Null text is empty. Every row is a document, also where rows share a doc_id or
+    have none, and comes out once; repeated rows are judged alike, ties don't matter. No documents,
     no rows. Other columns, whatever their names, are ignored. Very long texts and very
     long lines are used whole: blocks are cut from words, not from lines.
     """
     # texts are read once; the words of those that may meet a template, and a few words of the others, are written out
-    rows = checkpoint(read(docs, templates))
+    # with numbers, so that a row's parts come together again
+    rows = checkpoint(read(docs, templates).withColumn("row", F.monotonically_increasing_id()))
     order = ordered_templates(rows, templates)
     stride = max((x["span"] for x in order), default=1)
     # the document itself comes first, as a probe that meets nothing
     probed = F.array(F.lit(None).cast("struct<block:array<string>,b:array<string>,q:int,word:string>"))
     mine = F.when(F.col("w").isNull(), probed).otherwise(F.concat(probed, probes(F.col("w"), order))) if order else probed
-    rows = rows.select("doc_id", "n_words", "base", mine.alias("probes"))
-    rows = rows.select("doc_id", "n_words", "base", F.posexplode("probes").alias("nth", "x")).select("doc_id", "n_words", "base", "nth", "x.*")
+    rows = rows.select("row", "doc_id", "n_words", "base", mine.alias("probes"))
+    rows = rows.select("row", "doc_id", "n_words", "base", F.posexplode("probes").alias("nth", "x")).select("row", "doc_id", "n_words", "base", "nth", "x.*")
     order = F.broadcast(prefixes(docs, order).withColumnRenamed("word", "head"))
     met = rows.join(order, (F.col("word") == F.col("head")) & filtered(F.col("b"), F.col("q")), "left")
     # a block and a template are looked at once, at their first common word
@@ -272,6 +279,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     itself = F.col("nth") == 0
     base = F.when(itself, F.col("base")).otherwise(F.array().cast("array<struct<at:int,label:string>>"))
     told = met.select(
+        "row",
         "doc_id",
         F.when(itself, F.col("n_words")).otherwise(0).alias("n_words"),
         base.alias("base"),
@@ -284,7 +292,8 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     score = F.when(F.size("base") > 0, 1.0).when(F.col("held") > 0, F.col("held") / F.col("of")).otherwise(0.0)
     joined = lambda sets: F.array_join(F.array_sort(F.array_distinct(F.flatten(sets))), ",")
     at = F.transform("base", lambda x: x["at"].cast("long"))
-    return told.groupBy("doc_id").agg(
+    answers = told.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
         F.sum("n_words").alias("n_words"),
         F.sum(F.size("base")).alias("n_base"),
         F.min(F.array_min(at)).alias("first_word"),
@@ -293,3 +302,4 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         joined(F.collect_set(F.array_distinct(own))).alias("labels"),
         F.max(score).alias("score"),
     )
+    return answers.drop("row")

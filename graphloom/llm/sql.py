@@ -185,10 +185,14 @@ phrases(p, label) AS (VALUES {phrases}),
 base AS (SELECT doc_id, i, label FROM docs, phrases, unnest(range(len(w))) u(i) WHERE w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p),
 templates(t, need, span, must, bar, label) AS (VALUES {templates}),
 near AS (SELECT doc_id, w, templates.* FROM docs, templates WHERE len(list_intersect(t, w)) >= need AND len(list_intersect(must, w)) = len(must)),
-spans AS (SELECT doc_id, label, t, need, must, bar, w[i + 1:i + span] AS s FROM near, unnest(range(len(w))) u(i) WHERE list_contains(t, w[i + 1])),
+spans AS (
+  SELECT doc_id, label, t, need, must, bar, w[i + 1:i + span] AS s, list_concat([coalesce(w[i], '')], w[i + 1:i + span + 1]) AS e, span
+  FROM near, unnest(range(len(w))) u(i) WHERE list_contains(t, w[i + 1])),
 met AS (
   SELECT doc_id, label, max(len(list_intersect(t, s)) / len(t)) AS s FROM spans
-  WHERE len(list_intersect(t, s)) >= need AND len(list_intersect(must, s)) = len(must) AND NOT list_has_any(s, bar) GROUP BY ALL),
+  WHERE len(list_intersect(t, s)) >= need AND len(list_intersect(must, s)) = len(must) AND (NOT list_has_any(e, bar) OR len(list_distinct(list_transform(
+    list_filter(range(2, span + 2), lambda k: coalesce(list_contains(must, e[k]), false) AND NOT coalesce(list_contains(bar, e[k - 1]), false) AND NOT coalesce(list_contains(bar, e[k + 1]), false)),
+    lambda k: e[k]))) = len(must)) GROUP BY doc_id, label),
 b AS (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY doc_id),
 a AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(s) AS s
