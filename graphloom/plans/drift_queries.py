@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import composite, drift, events
 from ..sources import bridge
-from .registry import query
+from .registry import ORACLES, QUERIES, query
 
 LINKS = """links AS (
   SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/+$', '') AS file, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)"""
@@ -170,10 +170,10 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORE = "greatest(0, least(100, 100 - coalesce(sum(CASE severity WHEN 'error' THEN 10 WHEN 'warning' THEN 3 ELSE 1 END), 0)))::BIGINT AS score"
 
 
-@query(f"WITH {ISSUES} SELECT {SCORE} FROM issues WHERE day = DATE '2024-01-30'")
+@query(f"WITH {ISSUES} SELECT {SCORE} FROM issues")
 def drift_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score of the last day's issues."""
-    return drift.score(_issues(spark, sf_dir).filter(F.col("day") == F.lit("2024-01-30").cast("date")))
+    """The score of all issues."""
+    return drift.score(_issues(spark, sf_dir))
 
 
 @query(f"WITH {ISSUES} SELECT day, {SCORE} FROM issues GROUP BY day UNION ALL SELECT NULL, {SCORE} FROM issues")
@@ -222,31 +222,20 @@ def range_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ISSUES}, s AS (SELECT {SCORE}, count(*) FILTER (severity = 'error') AS errors FROM issues WHERE day = DATE '2024-01-30'),
+    f"""WITH {ISSUES}, s AS (SELECT {SCORE}, count(*) FILTER (severity = 'error') AS errors FROM issues),
     u AS (SELECT user_id, max(ts) FILTER (event_type = 'signup') AS t FROM events GROUP BY user_id),
     h AS (SELECT count(*) FILTER (floor(epoch(TIMESTAMP '2024-01-30 12:00:00' - t) / 86400) > 3) AS n FROM u)
     SELECT 'drift' AS what, score >= 80 AND errors = 0 AS ok, score AS n FROM s UNION ALL SELECT 'heartbeat', n = 0, n FROM h UNION ALL SELECT 'events', true, count(*) FROM events"""
 )
 def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last day's score, stale users, and the number of events."""
-    _, report = composite.check([_issues(spark, sf_dir).filter(F.col("day") == F.lit("2024-01-30").cast("date"))])
+    """The score of all issues, stale users, and the number of events."""
+    _, report = composite.check([_issues(spark, sf_dir)])
     log = bridge.log(spark, sf_dir)
     last = log.groupBy(F.col("user_id").alias("key")).agg(F.max(F.when(F.col("kind") == "signup", F.col("at"))).alias("last_updated"))
     return composite.doctor(report, events.heartbeat(last, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 3), log)
 
 
-@query(
-    f"""WITH {ISSUES}, s AS (SELECT {SCORE}, count(*) FILTER (severity = 'error') AS errors FROM issues),
-    u AS (SELECT user_id, max(ts) FILTER (event_type = 'signup') AS t FROM events GROUP BY user_id),
-    h AS (SELECT count(*) FILTER (floor(epoch(TIMESTAMP '2024-01-30 12:00:00' - t) / 86400) > 3) AS n FROM u)
-    SELECT 'drift' AS what, score >= 80 AND errors = 0 AS ok, score AS n FROM s UNION ALL SELECT 'heartbeat', n = 0, n FROM h UNION ALL SELECT 'events', true, count(*) FROM events"""
-)
-def doctor_all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As doctor, with the score of all issues."""
-    _, report = composite.check([_issues(spark, sf_dir)])
-    log = bridge.log(spark, sf_dir)
-    last = log.groupBy(F.col("user_id").alias("key")).agg(F.max(F.when(F.col("kind") == "signup", F.col("at"))).alias("last_updated"))
-    return composite.doctor(report, events.heartbeat(last, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 3), log)
+QUERIES["doctor_all_issues"], ORACLES["doctor_all_issues"] = doctor, ORACLES["doctor"]
 
 
 @query(
