@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.store import checkpoint
 from ..functions.text import is_test_path, occurrences, search_terms, task_tokens, token_estimate, tokens
 from .graph import neighbourhood
+from .index import Index
 
 #: Weights of the columns searched.
 WEIGHTS = {"id": 0.0, "name": 20.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0}
@@ -30,21 +32,34 @@ def prefix_counts(rows: DataFrame, terms: Sequence[str], weights: Mapping[str, f
     return base.select(*out)
 
 
-def bm25(rows: DataFrame, query: str, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
-    """id, score of the rows that any term hits; the smaller, the better (Q01-Q03).
+def hits(rows: DataFrame | Index, terms: Sequence[str], weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+    """prefix_counts of the rows that any term hits, with n (rows in all), mean (of n_tokens) and d_i (rows that term i hits).
 
-    Statistics (number of rows, mean length, rows per term) are one aggregate over
-    all rows, joined as its single row.
+    From an index only the postings of the terms are read. Statistics are one aggregate, joined as its single row.
     """
+    found = [F.count(F.when(F.col(f"h_{i}") > 0, 1)).alias(f"d_{i}") for i in range(len(terms))]
+    if isinstance(rows, Index):
+        f = rows.counts(terms, weights)
+        n, total = rows.size()
+        stats = f.agg(F.lit(n).alias("n"), F.lit(total / n if n else None).cast("double").alias("mean"), *found)
+    else:
+        f = prefix_counts(rows, terms, weights)
+        stats = f.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"), *found)
+    hit = F.greatest(*[F.col(f"h_{i}") for i in range(len(terms))], F.lit(0), F.lit(0)) > 0
+    return f.join(F.broadcast(stats)).filter(hit)
+
+
+def bm25(rows: DataFrame | Index, query: str, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+    """id, score of the rows that any term hits; the smaller, the better (Q01-Q03)."""
     terms = search_terms(query)
-    f = prefix_counts(rows, terms, weights)
-    stats = f.agg(
-        F.count("*").alias("n"), F.avg("n_tokens").alias("mean"), *[F.count(F.when(F.col(f"h_{i}") > 0, 1)).alias(f"d_{i}") for i in range(len(terms))]
-    )
-    j = f.join(F.broadcast(stats))
+    return scored(hits(rows, terms, weights), range(len(terms)))
+
+
+def scored(j: DataFrame, some: Sequence[int]) -> DataFrame:
+    """id, score by some of the terms that hits() was given."""
     score: Column = F.lit(0.0)
     hit: Column = F.lit(False)
-    for i in range(len(terms)):
+    for i in some:
         d = F.col(f"d_{i}")
         idf = F.greatest(F.log((F.col("n") - d + 0.5) / (d + 0.5)), F.lit(1e-6))
         x = F.col(f"f_{i}")
@@ -73,9 +88,9 @@ def exact_match(token: str) -> Column:
     return (F.col("name") == token) | (F.col("qualified_name") == token) | F.col("qualified_name").endswith("::" + token)
 
 
-def symbol_rank(rows: DataFrame, token: str) -> DataFrame:
+def symbol_rank(rows: DataFrame, token: str, index: Index | None = None) -> DataFrame:
     """id, how of the best way that a symbol is found: by id, by name, by search."""
-    hits = bm25(rows, token).orderBy("score", "id").limit(100).select("id", F.lit(3).alias("how"))
+    hits = bm25(index or rows, token).orderBy("score", "id").limit(100).select("id", F.lit(3).alias("how"))
     way = F.when(F.col("id") == token, 1).when((F.col("name") == token) | (F.col("qualified_name") == token), 2)
     found = rows.select("id", way.alias("how")).filter("how is not null").unionByName(hits)
     best = found.agg(F.min("how").alias("how"))
@@ -90,16 +105,21 @@ def by_quota(ranked: DataFrame, quotas: Mapping[str, int], n: int) -> DataFrame:
     return rows.filter(F.col("_c") <= limit).drop("_c").orderBy(*order).limit(n)
 
 
-def scope(rows: DataFrame, edges: DataFrame, task: str, n: int = 10, neighbours: DataFrame | None = None) -> DataFrame:
+def scope(rows: DataFrame, edges: DataFrame, task: str, n: int = 10, neighbours: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """id, category, score, reasons: what a task is about, within quotas.
 
-    rows are searched; neighbours of what is found are among neighbours (by default rows too).
+    rows are searched, through their index where there is one; neighbours of what is found are among neighbours (by default
+    rows too). The task and each of its tokens are scored from the same hits.
     """
     near = rows if neighbours is None else neighbours
-    pool = top(bm25(rows, task), POOL, "score", "id").select("id", (F.lit(0.6) - F.lit(0.03) * (F.col("rank") - 1)).alias("score"), F.lit("semantic-match").alias("reason"))
+    whole = search_terms(task)
+    terms = list(dict.fromkeys([*whole, *[t for token in task_tokens(task) for t in search_terms(token)]]))
+    j = checkpoint(hits(index or rows, terms))
+    by = lambda words: scored(j, [terms.index(t) for t in words])
+    pool = top(by(whole), POOL, "score", "id").select("id", (F.lit(0.6) - F.lit(0.03) * (F.col("rank") - 1)).alias("score"), F.lit("semantic-match").alias("reason"))
     for token in task_tokens(task):
-        hits = bm25(rows, token).orderBy("score", "id").limit(PER_TOKEN).select("id")
-        exact = rows.join(hits, "id", "left_semi").filter(exact_match(token)).select("id", F.lit(1.0).alias("score"), F.lit("exact-name-match").alias("reason"))
+        best = by(search_terms(token)).orderBy("score", "id").limit(PER_TOKEN).select("id")
+        exact = rows.join(best, "id", "left_semi").filter(exact_match(token)).select("id", F.lit(1.0).alias("score"), F.lit("exact-name-match").alias("reason"))
         pool = pool.unionByName(exact)
     direct = pool.groupBy("id").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("reason")).alias("reasons"))
     direct = direct.join(rows.select("id", "file_path"), "id").withColumn("category", F.when(is_test_path(F.col("file_path")), "test").otherwise("direct"))
