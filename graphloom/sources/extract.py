@@ -2,14 +2,13 @@
 
 Files are parsed on executors by mapInPandas, one batch of files at a time; what
 follows (resolution, fingerprints, search) is DataFrame operations. Python files
-are parsed with the standard library's ast. TypeScript, JavaScript and Rust
-have no parser here: their declarations, calls and imports are found in text whose
-strings and comments are blanked, with scopes from the nesting of braces.
+are parsed with the standard library's ast, TypeScript, JavaScript and Rust by braces.py.
 """
 
 from __future__ import annotations
 
 import ast
+import hashlib
 import io
 import keyword
 import re
@@ -22,21 +21,25 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import body_hash, node_id
+from ..functions.text import node_id
+from . import braces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ROW = "path string, what string, kind string, name string, scope array<string>, start_line int, end_line int, docstring string, signature string, is_exported boolean, is_async boolean, target string"
+ROW = "path string, what string, kind string, name string, scope array<string>, start_line int, end_line int, docstring string, signature string, is_exported boolean, is_async boolean, target string, visibility string, return_type string, is_static boolean, is_abstract boolean, body_hash string"
+BRACES = ("typescript", "tsx", "javascript", "jsx", "rust")
+#: Kinds whose bodies are hashed.
+BODIES = ("function", "method", "class", "interface", "enum", "constant", "variable", "type_alias")
 FIELDS = [c.split()[0] for c in ROW.split(", ")]
 
 
-def node(path, kind, name, scope, start, end, doc=None, sig=None, exported=False, is_async=False):
-    return (path, "node", kind, name, list(scope), start, end, doc, sig, exported, is_async, None)
+def node(path, kind, name, scope, start, end, doc=None, sig=None, exported=False, is_async=False, visibility=None, return_type=None, is_static=False, is_abstract=False):
+    return (path, "node", kind, name, list(scope), start, end, doc, sig, exported, is_async, None, visibility, return_type, is_static, is_abstract, None)
 
 
 def ref(path, kind, name, scope, line):
     """scope names the node that refers."""
-    return (path, "ref", kind, None, list(scope), line, line, None, None, None, None, name)
+    return (path, "ref", kind, None, list(scope), line, line, None, None, None, None, name, None, None, None, None, None)
 
 
 def dotted(e: ast.expr) -> str | None:
@@ -54,9 +57,9 @@ class PythonFile(ast.NodeVisitor):
     def __init__(self, path: str):
         self.path, self.scope, self.kinds, self.rows = path, [], [], []
 
-    def define(self, n, kind: str, sig: str | None = None, is_async: bool = False):
+    def define(self, n, kind: str, sig: str | None = None, is_async: bool = False, returns: str | None = None):
         doc = ast.get_docstring(n) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else None
-        self.rows.append(node(self.path, kind, n.name, self.scope, n.lineno, n.end_lineno, doc, sig, not n.name.startswith("_"), is_async))
+        self.rows.append(node(self.path, kind, n.name, self.scope, n.lineno, n.end_lineno, doc, sig, not n.name.startswith("_"), is_async, return_type=returns))
         self.scope.append(n.name)
         self.kinds.append(kind)
         for child in n.body:
@@ -66,7 +69,7 @@ class PythonFile(ast.NodeVisitor):
 
     def visit_FunctionDef(self, n, is_async: bool = False):
         kind = "method" if self.kinds and self.kinds[-1] == "class" else "function"
-        self.define(n, kind, f"({ast.unparse(n.args)})", is_async)
+        self.define(n, kind, f"({ast.unparse(n.args)})", is_async, ast.unparse(n.returns) if n.returns else None)
 
     def visit_AsyncFunctionDef(self, n):
         self.visit_FunctionDef(n, True)
@@ -78,8 +81,14 @@ class PythonFile(ast.NodeVisitor):
         self.define(n, "class")
 
     def visit_Assign(self, n):
+        self.assigned(n, n.targets)
+
+    def visit_AnnAssign(self, n):
+        self.assigned(n, [n.target])
+
+    def assigned(self, n, targets):
         if not self.kinds or self.kinds[-1] == "class":
-            for t in n.targets:
+            for t in targets:
                 if isinstance(t, ast.Name):
                     kind = "property" if self.kinds else "constant" if t.id.isupper() else "variable"
                     self.rows.append(node(self.path, kind, t.id, self.scope, n.lineno, n.end_lineno, exported=not t.id.startswith("_")))
@@ -113,98 +122,18 @@ def python_rows(path: str, text: str) -> list[tuple]:
         return [node(path, "class" if m[3] == "class" else "method" if m[1] else "function", m[4], [], at(m), at(m), exported=m[4][0] != "_", is_async=bool(m[2])) for m in found]
 
 
-BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-TS_DECLARATIONS = (
-    ("class", re.compile(r"\b(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)([^{;]*)")),
-    ("interface", re.compile(r"\binterface\s+([A-Za-z_$][\w$]*)([^{;]*)")),
-    ("enum", re.compile(r"\benum\s+([A-Za-z_$][\w$]*)()")),
-    ("type_alias", re.compile(r"\btype\s+([A-Za-z_$][\w$]*)()\s*(?:<[^=]*>)?\s*=")),
-    ("function", re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)()\s*[(<]")),
-    ("function", re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)()[^=;\n]*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)[^=;\n]*=>")),
-    ("variable", re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)()")),
-)
-TS_METHOD = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*(#?[A-Za-z_$][\w$]*)\s*\([^;{}]*\)\s*(?::[^={;]+)?\{")
-TS_IMPORT = re.compile(r"\b(?:import|export)\b[^;\"'`\n]*?(?:\bfrom\s*)?[\"']([^\"'\n]+)[\"']|\brequire\(\s*[\"']([^\"'\n]+)[\"']")
-RUST_DECLARATIONS = (
-    ("class", re.compile(r"\bstruct\s+(\w+)()")), ("enum", re.compile(r"\benum\s+(\w+)()")), ("interface", re.compile(r"\btrait\s+(\w+)()")),
-    ("namespace", re.compile(r"\bmod\s+(\w+)()\s*\{")), ("constant", re.compile(r"\b(?:const|static)\s+(?:mut\s+)?(\w+)()\s*:")),
-    ("function", re.compile(r"\bfn\s+(\w+)()")),
-)
-RUST_IMPL = re.compile(r"\bimpl\b(?:<[^>]*>)?\s*(?:([\w:]+)(?:<[^{]*?>)?\s+for\s+)?([\w:]+)()")
-RUST_USE = re.compile(r"\buse\s+([^;]+);")
-CALL = re.compile(r"(\bnew\s+)?\b([A-Za-z_$][\w$]*(?:(?:\.|::)[A-Za-z_$][\w$]*)*)\s*\(")
-#: Words before a bracket that are no calls.
-NO_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "typeof", "match", "fn", "super", "constructor", "await", "import", "require", "else", "loop"}
-
+def body_digest(lines: list[str], start: int, end: int) -> str:
+    """As functions.text.body_hash, of lines start to end."""
+    body = re.sub(r"[ \t\n\x0b\f\r]+", " ", "\n".join(lines[start - 1 : end])).strip(" ")
+    return hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()
 
-def braces(text: str) -> list[tuple[int, int]]:
-    """Spans of matching braces."""
-    out, stack = [], []
-    for i, c in enumerate(text):
-        if c == "{":
-            stack.append(i)
-        elif c == "}" and stack:
-            out.append((stack.pop(), i))
-    return sorted(out)
 
-
-def brace_rows(path: str, text: str, rust: bool) -> list[tuple]:
+def brace_rows(path: str, text: str, language: str) -> list[tuple]:
     """Rows of a file in a language with braces."""
-    plain = BLANK.sub(lambda m: "".join(c if c == "\n" else " " for c in m[0]), text)
-    spans = braces(plain)
-    opened = dict(spans)
-    line = lambda i: plain.count("\n", 0, i) + 1
-    found: dict[int, tuple[str, str, int, int, str, int]] = {}
-    for kind, p in RUST_DECLARATIONS if rust else TS_DECLARATIONS:
-        for m in p.finditer(plain):
-            if m.start(1) in found:
-                continue
-            stop = re.compile(r"[{;]" if kind != "variable" else r"[;\n]").search(plain, m.end(1))
-            at = stop.start() if stop else len(plain) - 1
-            found[m.start(1)] = (kind, m[1], m.start(), opened.get(at, at), m[2] or "", at)
-    impls = []
-    if rust:
-        for m in RUST_IMPL.finditer(plain):
-            at = plain.find("{", m.end())
-            if at >= 0:
-                impls.append((at, opened.get(at, at), m[2].split("::")[-1], m[1]))
-    else:
-        for m in TS_METHOD.finditer(plain):
-            if m[1] not in NO_CALLS or m[1] == "constructor":
-                at = m.end() - 1
-                inside = [f for f in found.values() if f[0] == "class" and f[5] < m.start(1) < f[3]]
-                if inside and m.start(1) not in found:
-                    found[m.start(1)] = ("method", m[1], m.start(1), opened.get(at, at), "", at)
-    rows, decl = [], sorted(found.values(), key=lambda f: f[2])
-    outer = lambda i: [f for f in decl if f[0] not in ("variable", "constant", "type_alias") and f[5] < i < f[3]]
-    for kind, name, start, end, tail, at in decl:
-        impl = next((x for x in impls if x[0] < start < x[1]), None)
-        scope = [f[1] for f in outer(start)] + ([impl[2]] if impl else [])
-        if impl and kind == "function":
-            kind = "method"
-        head = plain[plain.rfind("\n", 0, start) + 1 : start]
-        if kind == "variable" and (scope or "(" in head):
-            continue
-        if kind == "variable" and re.search(r"\bconst\b", plain[start : start + 6]):
-            kind = "constant"
-        exported = bool(re.search(r"\bexport\b|\bpub\b", head + plain[start : start + 10]))
-        signature = " ".join(plain[start:at].split())
-        rows.append(node(path, kind, name, scope, line(start), line(end), None, signature, exported, bool(re.search(r"\basync\b", head + signature[:8]))))
-        for word, names in re.findall(r"\b(extends|implements)\s+([\w$.,\s<>]+?)(?=\bextends\b|\bimplements\b|$)", tail):
-            rows += [ref(path, word, re.sub(r"<.*", "", x).strip(), [*scope, name], line(start)) for x in names.split(",") if x.strip()]
-    rows += [ref(path, "implements", x[3], [x[2]], line(x[0])) for x in impls if x[3]]
-    for m in CALL.finditer(plain):
-        last = re.split(r"\.|::", m[2])[-1]
-        before = plain[max(0, m.start() - 9) : m.start()]
-        if last in NO_CALLS or m.start(2) in found or re.search(r"(\bfunction\s*\*?|\bfn)\s*$", before):
-            continue
-        inner = outer(m.start())
-        impl = next((x for x in impls if x[0] < m.start() < x[1]), None)
-        scope = ([impl[2]] if impl else []) + [f[1] for f in inner]
-        rows.append(ref(path, "instantiates" if m[1] else "calls", m[2].removeprefix("this."), scope, line(m.start())))
-    for m in RUST_USE.finditer(plain) if rust else TS_IMPORT.finditer(text):
-        rows.append(ref(path, "imports", (m[1] or m[2] if not rust else m[1]).strip(), [], line(m.start())))
-    return rows
+    nodes, refs = braces.read(text, language)
+    flags = lambda n: {k.removeprefix("is_") if k == "is_exported" else k: n[k] for k in ("is_exported", "is_async", "visibility", "return_type", "is_static", "is_abstract") if n.get(k) is not None}
+    rows = [node(path, n["kind"], n["name"], n["scope"], n["start_line"], n["end_line"], n["docstring"], n["signature"], **flags(n)) for n in nodes]
+    return rows + [ref(path, kind, name, scope, at) for kind, name, scope, at in refs]
 
 
 def file_rows(path: str, text: str, language: str) -> list[tuple]:
@@ -212,15 +141,15 @@ def file_rows(path: str, text: str, language: str) -> list[tuple]:
     own = node(path, "file", path, [], 1, end, exported=True)
     if language == "python":
         return [own, *python_rows(path, text)]
-    if language in ("typescript", "tsx", "javascript", "jsx"):
-        return [own, *brace_rows(path, text, False)]
-    return [own, *brace_rows(path, text, True)] if language == "rust" else [own]
+    return [own, *brace_rows(path, text, language)] if language in BRACES else [own]
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for p, t, g in zip(pdf["path"], pdf["text"], pdf["language"], strict=True):
-            yield pd.DataFrame(file_rows(p, t or "", g), columns=FIELDS)
+            lines = (t or "").split("\n")
+            rows = [(*r[:-1], body_digest(lines, r[5], r[6])) if r[1] == "node" and r[2] in BODIES else r for r in file_rows(p, t or "", g)]
+            yield pd.DataFrame(rows, columns=FIELDS)
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -228,15 +157,13 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "text", "language").mapInPandas(_extract, ROW)
 
 
-def nodes(raw: DataFrame, files: DataFrame) -> DataFrame:
+def nodes(raw: DataFrame) -> DataFrame:
     """The nodes: id, kind, name, qualified_name, file_path, lines, docstring, signature, flags, body_hash, ord."""
-    n = raw.filter("what = 'node'").join(files.select("path", "text"), "path")
-    body = F.array_join(F.slice(F.split("text", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    hashed = F.when(F.col("kind").isin("function", "method", "class", "interface", "enum", "constant", "variable", "type_alias"), body_hash(body))
-    return n.select(
+    return raw.filter("what = 'node'").select(
         node_id(F.col("kind"), F.col("path"), F.col("name")).alias("id"), "kind", "name",
         F.array_join(F.concat("scope", F.array("name")), "::").alias("qualified_name"), F.col("path").alias("file_path"), "start_line", "end_line",
-        "docstring", "signature", "is_exported", "is_async", hashed.alias("body_hash"), F.xxhash64("path", "start_line", "name").alias("ord"),
+        "docstring", "signature", "is_exported", "is_async", "body_hash", F.xxhash64("path", "start_line", "name").alias("ord"),
+        "visibility", "return_type", "is_static", "is_abstract",
     )
 
 
@@ -269,12 +196,15 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     # files are parsed once; nodes and references are used several times
     raw = checkpoint(extract(files))
-    n = checkpoint(graph.upsert_latest(nodes(raw, files)))
+    if files.filter((F.col("path") == "package.json") & F.col("text").rlike(r'"express"\s*:')).isEmpty():
+        raw = raw.filter("not kind <=> 'route' and not kind <=> 'function_ref'")
+    n = checkpoint(graph.upsert_latest(nodes(raw)))
     refs = checkpoint(references(raw, n))
     said = refs.filter("reference_kind = 'imports'").select("ref_id", "file_path", F.col("reference_name").alias("specifier"))
     python = F.col("file_path").endswith(".py")
     imports = graph.import_targets(said.filter(~python), files).unionByName(lookup.python_import_targets(said.filter(python), files))
     met = graph.resolve(refs.filter("reference_kind != 'imports'"), n, imports.select("file_path", "imported_path"))
+    met = graph.framework_first(met, graph.route_targets(refs.filter("reference_kind = 'function_ref'"), n))
     e = refs.join(met, "ref_id").select(F.col("from_node_id").alias("source"), "target", F.col("reference_kind").alias("kind"), F.col("ref_id").alias("ord"))
     i = imports.select(F.concat(F.lit("file:"), "file_path").alias("source"), F.concat(F.lit("file:"), "imported_path").alias("target"), F.lit("imports").alias("kind"), F.col("ref_id").alias("ord"))
     c = n.filter("kind != 'file'").select(F.concat(F.lit("file:"), "file_path").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"), "ord")
@@ -288,9 +218,6 @@ KEYWORDS = frozenset(
     private protected pub public readonly ref return self set static struct super switch this throw trait true try type typeof undefined
     unsafe use var void where while with yield""".split()
 )
-LEAF = re.compile(
-    r"""(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>"(?:\\[\s\S]|[^"\\])*"|'(?:\\.|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`)|(?P<number>\d[\w.]*)|(?P<word>[^\W\d][\w$]*|\$[\w$]*)|(?P<mark>=>|->|::|[=!]==?|[<>]=|&&|\|\||[^\s\w])"""
-)
 PYTHON_LEAVES = {tokenize.NUMBER: "number", tokenize.STRING: "string", tokenize.COMMENT: "comment"} | {
     getattr(tokenize, t): "string" for t in ("FSTRING_START", "FSTRING_MIDDLE", "FSTRING_END") if hasattr(tokenize, t)
 }
@@ -310,21 +237,10 @@ def python_leaves(text: str) -> Iterator[tuple[int, int, str]]:
         return
 
 
-def brace_leaves(text: str) -> Iterator[tuple[int, int, str]]:
-    """line, last line, type of the tokens of a file with braces."""
-    line, at = 1, 0
-    for m in LEAF.finditer(text):
-        line, at = line + text.count("\n", at, m.start()), m.start()
-        kind = m.lastgroup
-        if kind in ("word", "mark"):
-            kind = m[0] if kind == "mark" or m[0] in KEYWORDS else "identifier"
-        yield line, line + m[0].count("\n"), kind
-
-
 def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for p, t, g in zip(pdf["path"], pdf["text"], pdf["language"], strict=True):
-            found = python_leaves(t or "") if g == "python" else () if g == "unknown" else brace_leaves(t or "")
+            found = python_leaves(t or "") if g == "python" else braces.leaves(t or "", g, KEYWORDS) if g in BRACES else ()
             yield pd.DataFrame([(p, i, *leaf) for i, leaf in enumerate(found)], columns=["path", "pos", "line", "end_line", "type"])
 
 
