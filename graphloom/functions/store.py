@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,3 +70,15 @@ class Versions:
         # one row in one file, which appears when it is whole
         self.spark.createDataFrame([(version, folders, numbers or {})], self.ROW).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         return version
+
+    def layers(self, now: Row, name: str, dead: str, key: str, schema: str, keep: Column | None = None) -> DataFrame:
+        """The rows of a table that no later layer of the table dead, which has the column key, has made void; keep is applied where rows are read."""
+        folders, void = now["folders"][name], now["folders"][dead]
+        at = dict(zip((s.strip().split()[0] for s in schema.split(",")), (s.strip() for s in schema.split(",")), strict=True))
+        parts = []
+        for place, folder in enumerate(folders):
+            df = self.spark.read.schema(schema).parquet(folder)
+            df = df if keep is None else df.filter(keep)
+            later = [self.spark.read.schema(at[key]).parquet(f) for f in void[place + 1 :]]
+            parts.append(df.join(reduce(DataFrame.unionByName, later).distinct(), key, "left_anti") if later else df)
+        return reduce(DataFrame.unionByName, parts)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,21 +74,14 @@ class Index:
 
     def _schema(self, name: str) -> str:
         hits = "".join(f", h_{c} int" for c in self.columns)
-        return {"postings": f"term string, id string, n_tokens int{hits}, p string", "dictionary": "term string, n_rows long", "rows": "id string, n_tokens int", "dead": "id string"}[name]
+        return {"postings": f"term string, id string, n_tokens int{hits}, p string", "dictionary": "term string, n_rows long", "rows": "id string, n_tokens int"}[name]
 
     def _read(self, name: str, place: int) -> DataFrame:
         return self.spark.read.schema(self._schema(name)).parquet(self.now["folders"][name][place])
 
     def _live(self, name: str, keep: Column | None = None) -> DataFrame:
         """A table's rows that no later version has changed; keep is applied where it is read."""
-        parts = []
-        n = len(self.now["folders"][name])
-        for place in range(n):
-            df = self._read(name, place)
-            df = df if keep is None else df.filter(keep)
-            later = [self._read("dead", k) for k in range(place + 1, n)]
-            parts.append(df.join(reduce(DataFrame.unionByName, later), "id", "left_anti") if later else df)
-        return reduce(DataFrame.unionByName, parts)
+        return self.versions.layers(self.now, name, "dead", "id", self._schema(name), keep)
 
     def size(self) -> tuple[int, int]:
         """Rows, and tokens in all of them."""

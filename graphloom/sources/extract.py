@@ -192,7 +192,7 @@ def routes(files: DataFrame) -> DataFrame:
 def build(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges, references of a tree (C01): extraction, containment, imports, resolution."""
     from ..functions.store import checkpoint
-    from ..operators import graph, lookup
+    from ..operators import graph
 
     # files are parsed once; nodes and references are used several times
     raw = checkpoint(extract(files))
@@ -200,15 +200,37 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         raw = raw.filter("not kind <=> 'route' and not kind <=> 'function_ref'")
     n = checkpoint(graph.upsert_latest(nodes(raw)))
     refs = checkpoint(references(raw, n))
+    return n, edges_of(bound(refs, n, imported(refs, files)), n), refs
+
+
+def imported(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """ref_id, file_path, imported_path of the imports among references that lead to a file (J06); files: path."""
+    from ..operators import graph, lookup
+
     said = refs.filter("reference_kind = 'imports'").select("ref_id", "file_path", F.col("reference_name").alias("specifier"))
     python = F.col("file_path").endswith(".py")
-    imports = graph.import_targets(said.filter(~python), files).unionByName(lookup.python_import_targets(said.filter(python), files))
+    return graph.import_targets(said.filter(~python), files).unionByName(lookup.python_import_targets(said.filter(python), files))
+
+
+def bound(refs: DataFrame, n: DataFrame, imports: DataFrame) -> DataFrame:
+    """ref_id, source, target, kind of the references that bind."""
+    from ..operators import graph
+
     met = graph.resolve(refs.filter("reference_kind != 'imports'"), n, imports.select("file_path", "imported_path"))
     met = graph.framework_first(met, graph.route_targets(refs.filter("reference_kind = 'function_ref'"), n))
-    e = refs.join(met, "ref_id").select(F.col("from_node_id").alias("source"), "target", F.col("reference_kind").alias("kind"), F.col("ref_id").alias("ord"))
-    i = imports.select(F.concat(F.lit("file:"), "file_path").alias("source"), F.concat(F.lit("file:"), "imported_path").alias("target"), F.lit("imports").alias("kind"), F.col("ref_id").alias("ord"))
+    e = refs.join(met, "ref_id").select("ref_id", F.col("from_node_id").alias("source"), "target", F.col("reference_kind").alias("kind"))
+    i = imports.join(refs.select("ref_id"), "ref_id", "left_semi")
+    i = i.select("ref_id", F.concat(F.lit("file:"), "file_path").alias("source"), F.concat(F.lit("file:"), "imported_path").alias("target"), F.lit("imports").alias("kind"))
+    return e.unionByName(i)
+
+
+def edges_of(e: DataFrame, n: DataFrame) -> DataFrame:
+    """Edges of bound references and of what files contain, each once, both ends there."""
+    from ..operators import graph
+
+    e = e.select("source", "target", "kind", F.col("ref_id").alias("ord"))
     c = n.filter("kind != 'file'").select(F.concat(F.lit("file:"), "file_path").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"), "ord")
-    return n, graph.valid_edges(graph.first_edges(e.unionByName(i).unionByName(c)), n), refs
+    return graph.valid_edges(graph.first_edges(e.unionByName(c)), n)
 
 
 #: Words of TypeScript, JavaScript and Rust that stand for themselves among a body's tokens.
@@ -247,9 +269,3 @@ def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def leaves(files: DataFrame) -> DataFrame:
     """path, pos, line, end_line, type of all tokens of all files (X08): names and literals by their kind, all else as it stands."""
     return files.select("path", "text", "language").mapInPandas(_leaves, "path string, pos int, line int, end_line int, type string")
-
-
-def save(nodes: DataFrame, edges: DataFrame, refs: DataFrame, folder: str) -> None:
-    """A built graph written in place of what the folder held."""
-    for name, df in (("nodes", nodes), ("edges", edges), ("refs", refs)):
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
