@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.store import checkpoint
+from . import patterns
 
 #: What an issue costs.
 COST = {"error": 10, "warning": 3, "info": 1}
@@ -31,8 +32,6 @@ LIFECYCLE = (
     "preinstall", "install", "postinstall", "preuninstall", "uninstall", "postuninstall", "prepublish", "prepublishOnly",
     "publish", "postpublish", "prepack", "pack", "postpack", "prepare", "preshrinkwrap", "shrinkwrap", "postshrinkwrap",
 )
-#: Names of a manifest that are looked for in texts at a time.
-BROADCAST_NAMES = 10_000
 STALE = {"warn_days": 30, "error_days": 90, "warn_commits": 50, "error_commits": 200}
 #: How claims state a version, and how they run a script.
 VERSION_CLAIM = r"^(.+?)\s+v?(\d[\d.]*\S*)$"
@@ -162,12 +161,8 @@ def manager_conflicts(claims: DataFrame) -> DataFrame:
 
 
 def uncovered(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """Names that occur in no text (J19): name. They are broadcast to the texts, BROADCAST_NAMES at a time."""
-    n = names.select("name").distinct()
-    parts = 1 + n.count() // BROADCAST_NAMES
-    some = [n.filter(F.pmod(F.xxhash64("name"), F.lit(parts)) == i) for i in range(parts)]
-    found = reduce(DataFrame.unionByName, [texts.select(F.col("text").alias("t")).join(F.broadcast(p), F.col("t").contains(F.col("name"))).select("name") for p in some])
-    return n.join(found.distinct(), "name", "left_anti")
+    """Names that occur in no text (J19): name. Each text is read once for all of them."""
+    return names.select("name").distinct().join(patterns.occurring(names, texts).select("name"), "name", "left_anti")
 
 
 def undocumented_scripts(names: DataFrame, texts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds of event.
@@ -12,7 +12,7 @@ KINDS = ("decision", "note", "risk", "todo")
 LEVELS = "▁▂▃▄▅▆▇█"
 
 
-def parse_log(lines: DataFrame, kinds: tuple[str, ...] | None = KINDS, column: str = "value") -> DataFrame:
+def parse_log(lines: DataFrame, kinds: tuple[str, ...] | None = KINDS, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Event rows of JSON lines; lines that aren't events are skipped.
 
     An event is an object with strings timestamp, kind (one of kinds) and
@@ -26,7 +26,7 @@ def parse_log(lines: DataFrame, kinds: tuple[str, ...] | None = KINDS, column: s
         text("timestamp").alias("timestamp"), text("kind").alias("kind"), text("message").alias("message"),
         F.transform(strings, lambda x: F.try_variant_get(x, "$", "string")).alias("files"),
         F.coalesce(text("cwd"), F.lit(".")).alias("cwd"),
-        text("trace").alias("trace"), text("source").alias("source"), text("status").alias("status"),
+        text("trace").alias("trace"), text("source").alias("source"), text("status").alias("status"), *keep,
     )
     ok = F.col("timestamp").isNotNull() & F.col("kind").isNotNull() & F.col("message").isNotNull()
     return rows.filter(ok if kinds is None else ok & F.col("kind").isin(*kinds))
@@ -37,6 +37,21 @@ def log_lines(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct("timestamp", "kind", "message", "files", "cwd", "trace", "source", "status")).alias("value"))
 
 
+def append(events: DataFrame, folder: str, batch: int) -> None:
+    """Add events to the log in folder (M09, C08): a batch's lines in a folder of its own.
+
+    A batch that is written again, since a task or the driver failed, takes its own place, so that no event is there twice; a stream
+    writes with foreachBatch(lambda rows, batch: append(rows, folder, batch)).
+    """
+    log_lines(events).write.mode("overwrite").text(f"{folder}/batch={batch}")
+
+
+def read_log(spark: SparkSession, folder: str, kinds: tuple[str, ...] | None = KINDS) -> DataFrame:
+    """Events of a log, with batch."""
+    lines = spark.read.schema("value string, batch long").option("basePath", folder).text(folder)
+    return parse_log(lines, kinds, keep=("batch",))
+
+
 def since(spec: str, now: str) -> Column:
     """The time from which on events count: YYYY-MM-DD (UTC midnight), or Nd, N days before now to the second."""
     if m := re.fullmatch(r"(\d+)d", spec):

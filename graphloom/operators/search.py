@@ -102,6 +102,8 @@ def by_quota(ranked: DataFrame, quotas: Mapping[str, int], n: int) -> DataFrame:
     order = [F.col("score").desc(), F.col("id")]
     limit = F.coalesce(*[F.when(F.col("category") == c, F.lit(k)) for c, k in quotas.items()])
     rows = ranked.withColumn("_c", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
+    # a number, so that each task cuts its groups before anything is shuffled
+    rows = rows.filter(F.col("_c") <= max(quotas.values(), default=0))
     return rows.filter(F.col("_c") <= limit).drop("_c").orderBy(*order).limit(n)
 
 

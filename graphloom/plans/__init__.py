@@ -1 +1,3 @@
 
+
+from . import registry  # noqa: F401

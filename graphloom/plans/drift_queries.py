@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import composite, drift, events
-from ..sources import bridge
+from ..functions.store import checkpoint
+from ..operators import composite, drift, events, patterns
+from ..sources import bridge, documents
 from .registry import ORACLES, QUERIES, query
 
 LINKS = """links AS (
@@ -235,6 +236,37 @@ def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composite.doctor(report, events.heartbeat(last, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 3), log)
 
 
+@query(
+    r"""WITH w AS (SELECT regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+    names AS (SELECT DISTINCT w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS name FROM w, unnest(range(greatest(len(w) - 2, 0))) u(i)),
+    met AS (SELECT name, count(*) AS n FROM names JOIN documents ON contains(lower(text), name) GROUP BY name)
+    SELECT name, coalesce(n, 0) AS n_texts FROM names LEFT JOIN met USING (name)"""
+)
+def names_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All phrases of three words of the benchmark, and how many documents each occurs in."""
+    w = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    items = bridge.table(spark, sf_dir, "benchmark").select(w.alias("w")).filter(F.size("w") > 2)
+    phrase = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    names = checkpoint(items.select(F.explode(phrase).alias("name")).distinct())
+    found = patterns.occurring(names, bridge.table(spark, sf_dir, "documents").select(F.lower("text").alias("text")))
+    return names.join(found, "name", "left").select("name", F.coalesce("n_texts", F.lit(0).cast("long")).alias("n_texts"))
+
+
+@query(
+    """WITH e AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS t, url FROM pages),
+    u AS (SELECT page_id, unnest(list_concat(t, ['quote " and \\ slash #' || page_id])) AS target FROM e)
+    SELECT page_id::VARCHAR AS file, target, count(*) AS n FROM u WHERE target <> '' GROUP BY page_id, target"""
+)
+def front_matter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of each page, written as the edges of a document's front matter and read from it again."""
+    said = lambda c: F.concat(F.lit('  - target: "'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"\n    condition: it is linked # on the page\n'))
+    p = bridge.table(spark, sf_dir, "pages")
+    targets = F.concat(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), F.array(F.concat(F.lit('quote " and \\ slash #'), F.col("page_id").cast("string"))))
+    text = F.concat(F.lit("---\ntitle: page\nedges:\n"), F.array_join(F.transform(targets, said), ""), F.lit("---\n"), F.col("html"))
+    docs = p.select(F.col("page_id").cast("string").alias("source"), text.alias("text"))
+    return documents.front_edges(docs).groupBy("file", "target").agg(F.count("*").alias("n"))
+
+
 QUERIES["doctor_all_issues"], ORACLES["doctor_all_issues"] = doctor, ORACLES["doctor"]
 
 

@@ -7,10 +7,13 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import front
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: What makes a span of code a path, a command, or neither, and headings that list dependencies.
@@ -85,21 +88,42 @@ def front_matter(docs: DataFrame) -> DataFrame:
     return docs.select("source", F.when(m != "", m).alias("front"))
 
 
+FRONT = "source string, fields map<string,string>, edges array<struct<target:string,condition:string>>, grounds array<struct<node_id:string,fingerprint:string>>"
+
+
+def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pair = lambda a, b: pa.list_(pa.struct([(a, pa.string()), (b, pa.string())]))
+    schema = pa.schema([("source", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("edges", pair("target", "condition")), ("grounds", pair("node_id", "fingerprint"))])
+    for batch in batches:
+        rows = []
+        for source, text in zip(*(batch.column(c).to_pylist() for c in ("source", "text")), strict=True):
+            found = front.read(text)
+            if found is not None:
+                # edges are taken one by one, groundings only all together
+                given = found.get("edges") if isinstance(found.get("edges"), list) else []
+                edges = [e for x in given for e in front.entries([x], ("target", "condition"), ("target",)) or ()]
+                grounds = front.entries(found.get("grounds_to"), ("node", "fingerprint"), ("node", "fingerprint")) or []
+                name = lambda names, rows: [dict(zip(names, r, strict=True)) for r in rows]
+                rows.append({
+                    "source": source, "fields": [(k, v) for k, v in found.items() if isinstance(v, str)],
+                    "edges": name(("target", "condition"), edges), "grounds": name(("node_id", "fingerprint"), grounds),
+                })
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def fronts(docs: DataFrame) -> DataFrame:
+    """source, fields, edges, grounds of documents whose front matter is well formed (S11); docs: source, text."""
+    return docs.select("source", "text").mapInArrow(_fronts, FRONT)
+
+
 def front_edges(docs: DataFrame) -> DataFrame:
     """file, target of the front matter's edges (X11)."""
-    t = F.regexp_extract_all("front", F.lit(r"(?m)^[ \t]*-?[ \t]*target:[ \t]*[\"']?([^\"'\s#]+)"), F.lit(1))
-    return front_matter(docs).filter("front is not null").select(F.col("source").alias("file"), F.explode(t).alias("target"))
+    return fronts(docs).select(F.col("source").alias("file"), F.explode("edges").alias("e")).select("file", "e.target")
 
 
 def groundings(docs: DataFrame) -> DataFrame:
     """file, node_id, fingerprint of grounds_to; a list with a malformed entry counts as none."""
-    block = F.regexp_extract("front", r"(?m)^grounds_to:[ \t]*\n((?:[ \t]+[^\n]*\n?|-[^\n]*\n?)+)", 1)
-    items = F.filter(F.split(block, r"(?m)^[ \t]*-[ \t]*"), lambda x: F.trim(x) != "")
-    field = lambda x, k: F.regexp_extract(x, rf"(?m)^[ \t]*{k}:[ \t]*[\"']?([^\"'\n]+?)[\"']?[ \t]*$", 1)
-    parsed = F.transform(items, lambda x: F.struct(field(x, "node").alias("node_id"), field(x, "fingerprint").alias("fingerprint")))
-    rows = front_matter(docs).filter("front is not null").select(F.col("source").alias("file"), parsed.alias("g"))
-    rows = rows.filter(F.forall("g", lambda x: (x["node_id"] != "") & (x["fingerprint"] != "")))
-    return rows.select("file", F.inline("g"))
+    return fronts(docs).select(F.col("source").alias("file"), F.inline("grounds"))
 
 
 def links(docs: DataFrame) -> DataFrame:

@@ -161,3 +161,37 @@ def test_scores_cover_all_issues(spark):
     assert len(got) > 2 and got == {k: max(0, 100 - c) for k, c in spent.items()}
     told = {r["what"]: r["n"] for r in registry.QUERIES["doctor_all_issues"](spark, sf).collect()}
     assert told["drift"] == got[None]
+
+
+def test_log_that_is_written_again_holds_nothing_twice(spark, tmp_path):
+    from graphloom.operators import events
+
+    row = "timestamp string, kind string, message string, files array<string>, cwd string, trace string, source string, status string"
+    made = lambda *said: spark.createDataFrame([("2026-01-01T00:00:00Z", "note", m, ["a"], ".", None, None, None) for m in said], row)
+    folder = str(tmp_path / "log")
+    events.append(made("one", "two"), folder, 0)
+    events.append(made("three\nlines \"q\""), folder, 1)
+    # a batch that fails on its way, and is written again
+    try:
+        events.append(made("four").withColumn("message", F.raise_error(F.lit("lost"))), folder, 2)
+    except Exception:  # noqa: BLE001, S110
+        pass
+    events.append(made("four"), folder, 2)
+    events.append(made("three\nlines \"q\""), folder, 1)
+    got = sorted((r["batch"], r["message"], r["trace"]) for r in events.read_log(spark, folder).collect())
+    assert got == [(0, "one", None), (0, "two", None), (1, 'three\nlines "q"', None), (2, "four", None)]
+
+
+def test_very_many_names_in_texts(spark, monkeypatch):
+    from graphloom.operators import patterns
+
+    names = [f"name{i}x" for i in range(3000)] + ["a", "aa", "b a", "", None, "ü"]
+    texts = [("name7x name12x aa",), ("b a name7",), (None,), ("",), ("ünname2999x" * 3,)]
+    n, t = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame(texts, "text string")
+    want = {x: k for x in names if x and (k := sum(x in (s or "") for (s,) in texts))}
+    for size in (4_000_000, 5_000):
+        monkeypatch.setattr(patterns, "CHARACTERS", size)
+        got = patterns.occurring(n, t)
+        assert {r["name"]: r["n_texts"] for r in got.collect()} == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert patterns.occurring(n.limit(0), t).count() == 0 and patterns.occurring(n, t.limit(0)).count() == 0
