@@ -55,6 +55,12 @@ def minhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prints(spark, sf_dir).select("id", "token_count", F.array_join(F.col("minhash").cast("array<string>"), ",").alias("minhash"))
 
 
+@query(f"WITH {MINHASH.replace('item_id AS id', 'doc_id AS id').replace('FROM benchmark', 'FROM documents')} SELECT id, token_count, array_to_string(m, ',') AS minhash FROM prints")
+def minhash64_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents (A10)."""
+    return _prints(spark, sf_dir, "documents", "doc_id").select("id", "token_count", F.array_join(F.col("minhash").cast("array<string>"), ",").alias("minhash"))
+
+
 @query(f"WITH {MINHASH.replace('item_id AS id', 'doc_id AS id').replace('FROM benchmark', 'FROM documents')}{PAIRS} SELECT a, b FROM pairs")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that share a band of their fingerprints."""
