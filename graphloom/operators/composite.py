@@ -2,57 +2,86 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.store import checkpoint
+from ..functions.text import token_estimate
 from . import drift, events, graph
 
 RESERVE = 140
 SCHEMA_VERSION = 1
 
 
-def answer(facts: DataFrame, edges: DataFrame, command: str, budget: int = 1500, max_nodes: int = 10) -> DataFrame:
-    """part, n, record: JSON lines of an answer (M10): meta, the facts that fit in order of ord, edges among them, summary.
+def answer(
+    facts: DataFrame, edges: DataFrame, command: str, budget: int = 1500, max_nodes: int = 10, sections: Sequence[tuple[str, DataFrame]] = ()
+) -> DataFrame:
+    """part, n, record: JSON lines of an answer (M10): meta, the facts that fit in order of ord, edges among them, further sections, summary.
 
     facts: id, ord, record (a struct). Facts stop at the first that does not fit
-    (W11); edges that do not fit are skipped (W12). RESERVE tokens are kept for the
-    frame; if they exceed the budget, the budget is raised and the answer marked
+    (W11); of edges and sections, in this order, records that do not fit are skipped (W12). sections: name, and rows of ord (a string) and
+    record (a struct). RESERVE tokens are kept for the frame; if they exceed the budget, the budget is raised and the answer marked
     as truncated.
+
+    All of it is one plan. What is in one task is max_nodes facts, the edges among these, and the sections, which belong to them.
     """
-    spark = facts.sparkSession
     most = max(budget, 2 * RESERVE)
-    told = F.to_json(F.struct(F.lit("fact").alias("type"), "record.*"))
-    matched = facts.count()
-    # an answer is small: max_nodes facts at most, and the edges among these
-    first = facts.orderBy("ord", "id").limit(max_nodes).select("id", told.alias("record")).collect()
-    cost = lambda record: -(-len(record) // 4)
-    spent, kept, lines = 0, [], []
-    for r in first:
-        if spent + cost(r["record"]) > most - RESERVE:
-            break
-        spent += cost(r["record"])
-        kept.append((r["id"],))
-        lines.append((1, len(lines), r["record"]))
-    ids = spark.createDataFrame(kept, "id string")
-    record = F.to_json(F.struct(F.lit("edge").alias("type"), "kind", "source", "target", F.lit("static").alias("provenance")))
-    among = graph.induced(edges, ids).select("source", "target", "kind").distinct().select(record.alias("record")).orderBy("record").collect()
-    n_edges = 0
-    for r in among:
-        if spent + cost(r["record"]) <= most - RESERVE:
-            spent += cost(r["record"])
-            lines.append((2, n_edges, r["record"]))
-            n_edges += 1
-    cut = len(kept) < matched or n_edges < len(among) or most > budget
-    meta = {"type": "meta", "schemaVersion": SCHEMA_VERSION, "command": command, "maxNodes": max_nodes, "maxOutputTokens": most}
-    summary = {
-        "type": "summary", "matchedNodes": matched, "returnedNodes": len(kept), "returnedEdges": n_edges,
-        "maxOutputTokens": most, "truncated": cut, "estimatedOutputTokens": spent + RESERVE,
-    }
-    framed = [(0, 0, json.dumps(meta)), *lines, (3, 0, json.dumps(summary))]
-    return spark.createDataFrame(framed, "part int, n long, record string")
+    room = most - RESERVE
+    told = lambda kind, *fields: F.to_json(F.struct(F.lit(kind).alias("type"), *fields))
+    first = facts.select("ord", "id", told("fact", "record.*").alias("record")).orderBy("ord", "id").limit(max_nodes)
+    running = Window.partitionBy(F.lit(0)).orderBy("ord", "id")
+    kept = first.withColumn("spent", F.sum(token_estimate(F.col("record"))).over(running.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("spent") <= room)
+    kept = checkpoint(kept.withColumn("n", F.row_number().over(running)))
+    facts_kept = F.array_sort(F.collect_list(F.struct("n", "record")))
+    one = kept.agg(F.coalesce(F.max("spent"), F.lit(0)).alias("spent"), F.transform(facts_kept, lambda x: x["record"]).alias("facts"))
+
+    among = graph.induced(edges, kept.select("id")).select("source", "target", "kind").distinct()
+    rows = among.select(F.lit(0).alias("section"), F.lit("").alias("ord"), told("edge", "kind", "source", "target", F.lit("static").alias("provenance")).alias("record"))
+    for k, (name, more) in enumerate(sections, 1):
+        rows = rows.unionByName(more.select(F.lit(k).alias("section"), F.col("ord").cast("string").alias("ord"), told(name, "record.*").alias("record")))
+    others = rows.agg(F.array_sort(F.collect_list(F.struct("section", "ord", "record"))).alias("others"))
+    matched = facts.agg(F.count("*").alias("matched"))
+    j = one.join(F.broadcast(others)).join(F.broadcast(matched))
+
+    none = F.struct(F.col("spent").alias("spent"), F.slice("others", 1, 0).alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        cost = token_estimate(x["record"])
+        took = F.struct((acc["spent"] + cost).alias("spent"), F.concat(acc["kept"], F.array(x)).alias("kept"))
+        return F.when(acc["spent"] + cost <= room, took).otherwise(acc)
+
+    j = j.withColumn("r", F.aggregate("others", none, step))
+    n_facts, n_edges = F.size("facts"), F.size(F.filter("r.kept", lambda x: x["section"] == 0))
+    cut = (n_facts < F.col("matched")) | (F.size("r.kept") < F.size("others")) | F.lit(most > budget)
+    meta = told("meta", F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.lit(command).alias("command"), F.lit(max_nodes).alias("maxNodes"), F.lit(most).alias("maxOutputTokens"))
+    summary = told(
+        "summary", F.col("matched").alias("matchedNodes"), n_facts.alias("returnedNodes"), n_edges.alias("returnedEdges"), F.lit(most).alias("maxOutputTokens"), cut.alias("truncated"),
+        (F.col("r.spent") + RESERVE).alias("estimatedOutputTokens"),
+    )
+    line = lambda part, n, record: F.struct(F.lit(part).alias("part") if isinstance(part, int) else part.alias("part"), n.cast("long").alias("n"), record.alias("record"))
+    zero = F.lit(0)
+    # positions within a section
+    place = lambda x, i: i - F.size(F.filter("r.kept", lambda y: y["section"] < x["section"]))
+    lines = F.concat(
+        F.array(line(0, zero, meta)),
+        F.transform("facts", lambda x, i: line(1, i, x)),
+        F.transform("r.kept", lambda x, i: line(x["section"] + 2, place(x, i), x["record"])),
+        F.array(line(3 + len(sections), zero, summary)),
+    )
+    return j.select(F.inline(lines))
+
+
+def not_found(asked: DataFrame) -> DataFrame:
+    """An error section of ids that no node has; asked: id, found (lookup.nodes_by_id)."""
+    return asked.filter("not found").select(F.col("id").alias("ord"), F.struct(F.lit("NODE_NOT_FOUND").alias("code"), F.col("id").alias("target")).alias("record"))
+
+
+def ambiguous(name: str, found: DataFrame) -> DataFrame:
+    """An error section if a name means several nodes: one record with their number (C05); found: id."""
+    n = found.select("id").distinct().agg(F.count("*").alias("n")).filter("n > 1")
+    return n.select(F.lit(name).alias("ord"), F.struct(F.lit("TARGET_AMBIGUOUS").alias("code"), F.lit(name).alias("target"), F.col("n").alias("candidates")).alias("record"))
 
 
 def check(parts: Sequence[DataFrame]) -> tuple[DataFrame, DataFrame]:

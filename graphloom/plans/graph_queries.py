@@ -275,20 +275,6 @@ def budget_skip_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "spent", F.size("kept").cast("long").alias("n_kept"))
 
 
-
-
-@query()
-def impact_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answer, as JSON lines within 600 tokens, to: what does a change of the most called part affect."""
-    from ..operators import composite
-
-    edges = bridge.edges(spark, sf_dir)
-    roots = graph.link_counts(edges).filter("id like 'function:p%'").orderBy(F.desc("n_callers"), "id").limit(1).select("id")
-    found = graph.merged_impact(graph.impact(edges, roots, 2))
-    facts = found.select("id", (F.col("depth") * 1_000_000).alias("ord"), F.struct("id", "depth", "root").alias("record"))
-    return composite.answer(facts, edges, "impact", 600, 20)
-
-
 @query(
     f"""WITH {NODES}, {CALLS} SELECT kind, count(*) AS n_nodes, count(DISTINCT file_path) AS n_files, sum(coalesce(o.n, 0))::BIGINT AS n_calls
     FROM nodes LEFT JOIN (SELECT source AS id, count(*) AS n FROM calls GROUP BY source) o USING (id) GROUP BY kind"""

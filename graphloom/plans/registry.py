@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import drift_queries, graph_queries, identity_queries, log_queries, lookup_queries, scaffold_queries, search_queries  # noqa: E402, F401
+from . import answer_queries, drift_queries, graph_queries, identity_queries, log_queries, lookup_queries, scaffold_queries, search_queries  # noqa: E402, F401

@@ -135,7 +135,7 @@ def scope_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.by_quota(p.select(F.col("p_partkey").alias("id"), cat.alias("category"), F.col("p_retailprice").alias("score")), search.QUOTAS, 10)
 
 
-def _scope_sql() -> str:
+def scope_sql() -> str:
     token = lambda k, t: f"tok{k} AS (WITH {_bm25([t.lower()])} SELECT id FROM scored ORDER BY score, id LIMIT 20)"
     toks = TASK.split()
     exact = " UNION ALL ".join(
@@ -153,7 +153,7 @@ q AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, id
 SELECT id, category, score, array_to_string(reasons, ',') AS reasons FROM q WHERE n <= CASE category WHEN 'direct' THEN 5 ELSE 4 END ORDER BY score DESC, id LIMIT 10"""
 
 
-@query(_scope_sql())
+@query(scope_sql())
 def scope_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a task is about: search, exact names, one hop, quotas."""
     nodes = bridge.parts(spark, sf_dir)
