@@ -106,6 +106,22 @@ def dashboard(report: DataFrame, activity: DataFrame) -> DataFrame:
     return report.select("score", events.progress_bar(F.col("score")).alias("bar")).join(F.broadcast(bars))
 
 
+def dashboard_lists(issues: DataFrame, log: DataFrame, n: int = 8) -> DataFrame:
+    """what, place (from 1), line of the first n issues and the latest n events.
+
+    issues: ord, severity, code, file; log: at, event_id, kind. No more than n rows of either come into one task.
+    """
+
+    def numbered(what: str, rows: DataFrame, *order: Column) -> DataFrame:
+        first = rows.orderBy(*order).limit(n)
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+        return first.select(F.lit(what).alias("what"), place.alias("place"), "line")
+
+    told = issues.select("ord", F.concat_ws(" ", "severity", "code", "file").alias("line"))
+    said = log.select("at", "event_id", F.concat_ws(" ", F.date_format("at", "yyyy-MM-dd HH:mm"), "kind").alias("line"))
+    return numbered("issue", told, F.col("ord")).unionByName(numbered("event", said, F.desc("at"), F.col("event_id")))
+
+
 def sync(nodes: DataFrame, edges: DataFrame, refs: DataFrame, changed: DataFrame, fresh_nodes: DataFrame, fresh_refs: DataFrame, imports: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges, refs after some files changed (M08): their rows are replaced, all references resolved anew.
 

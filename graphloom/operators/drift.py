@@ -81,6 +81,12 @@ def by_file(issues: DataFrame) -> DataFrame:
     return issues.groupBy("file").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(F.struct("ord", "code", "severity"))).alias("issues"))
 
 
+def by_severity(issues: DataFrame) -> DataFrame:
+    """severity, file, n, first: issues by severity and within that by file (A04); issues has ord. Counts and places only, so that a file
+    with very many issues is no long row."""
+    return issues.groupBy("severity", "file").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+
+
 def missing_paths(claims: DataFrame, paths: DataFrame, scaffold: str = "scaffold", packages: DataFrame | None = None) -> DataFrame:
     """Claimed paths of which no alternative exists (J13): as given, below the folder of documents, without that
     folder, and a bare file name anywhere. URLs are no paths, and neither is what a package of the project's

@@ -267,6 +267,22 @@ def front_matter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.front_edges(docs).groupBy("file", "target").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {ISSUES} SELECT severity, file, count(*) AS n, min(ord) AS first FROM issues GROUP BY severity, file")
+def issues_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues by severity and file."""
+    return drift.by_severity(_issues(spark, sf_dir))
+
+
+@query(
+    f"""WITH {ISSUES}, i AS (SELECT 'issue' AS what, row_number() OVER (ORDER BY ord)::INT AS place, severity || ' ' || code || ' ' || file AS line FROM issues),
+    e AS (SELECT 'event', row_number() OVER (ORDER BY ts DESC, event_id)::INT AS place, strftime(ts, '%Y-%m-%d %H:%M') || ' ' || event_type FROM events)
+    SELECT * FROM i WHERE place <= 8 UNION ALL SELECT * FROM e WHERE place <= 8"""
+)
+def dashboard_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard's first eight issues and latest eight events."""
+    return composite.dashboard_lists(_issues(spark, sf_dir), bridge.log(spark, sf_dir))
+
+
 QUERIES["doctor_all_issues"], ORACLES["doctor_all_issues"] = doctor, ORACLES["doctor"]
 
 
