@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.store import checkpoint
+from ..sources.documents import NEGATED
 from . import patterns
 
 #: What an issue costs.
@@ -36,8 +37,6 @@ STALE = {"warn_days": 30, "error_days": 90, "warn_commits": 50, "error_commits":
 #: How claims state a version, and how they run a script.
 VERSION_CLAIM = r"^(.+?)\s+v?(\d[\d.]*\S*)$"
 RUN_CLAIM = r"^(?:npm\s+run|yarn|pnpm|bun\s+run)\s+(\S+)"
-#: Phrases of a heading whose section says what not to do.
-NEGATED = ("not exist", "not use", "deliberately not", "excluded", "removed", "deprecated")
 #: What is no path of a file system, what names a package, and words of a path that stand for others.
 URL = r"^(?:https?|ftp|file)://|^//"
 SCOPED_PACKAGE = r"^(@[\w-]+/[\w-]+)(?:/.*)?$"

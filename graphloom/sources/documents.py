@@ -20,6 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EXTENSION = re.compile(r"\.(ts|js|tsx|jsx|py|go|rs|rb|java|json|yaml|yml|toml|md|css|scss|html|vue|svelte|sh)$")
 COMMAND = re.compile(r"^(npm|yarn|pnpm|bun|make|cargo|python|pip|go|node|npx|tsx)\s")
 PLACEHOLDER = re.compile(r"[<>\[\]{}]")
+PIECE_OF_CODE = re.compile(r"[=();,\"']")
 METHOD = re.compile(r"^(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/")
 DEPENDENCIES = re.compile(r"key\s*libraries|core\s*technologies|dependencies|stack|tech", re.I)
 VERSION = re.compile(r"^(.+?)\s+[v^~>=<]*(\d[\d.]*\S*)$")
@@ -32,7 +33,7 @@ def is_path(value: str) -> bool:
     """Whether a span of code names a file: no command, template, route, or piece of code."""
     looks = "/" in value or EXTENSION.search(value)
     route = METHOD.match(value) or (value.startswith("/") and not EXTENSION.search(value))
-    code = re.search(r"[=();,\"']", value) or value.startswith("*")
+    code = PIECE_OF_CODE.search(value) or value.startswith("*")
     return bool(looks and not (COMMAND.match(value) or PLACEHOLDER.search(value) or route or code))
 
 
