@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.store import Versions, checkpoint
 from ..functions.text import tokens
+from . import batch
 
-#: Rows of about the same length that are bounded together, and blocks whose rows are scored first for each task.
+#: Rows that are scored together, and blocks of them after which each task keeps its best.
 BLOCK, FIRST = 256, 2
-K1, B = 1.2, 0.75
 #: Scores count to so many places, so that the order in which terms are added up doesn't matter.
 PLACES = 9
 
@@ -112,49 +112,20 @@ class Index:
 
     # a table of tasks
 
-    def contributions(self, prefixes: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-        """prefix, id, block, c: what each prefix adds to the score of each row that it hits."""
-        n, total = self.size()
+    def vectors(self, prefixes: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+        """id, n_tokens, terms, f: of the rows that any prefix hits, the terms that begin with one and their weighted hits."""
         most = prefixes.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0))).first()[0]
         begins = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(max(1, most)))), lambda k: F.left("term", k)))
         words = self.frequencies().select("term", F.substring("term", 1, 2).alias("p"), begins.alias("prefix")).join(prefixes, "prefix", "left_semi")
         f = sum((F.lit(w) * F.col(f"h_{c}") for c, w in weights.items()), F.lit(0.0))
-        found = self.postings().join(words, ["p", "term"]).groupBy("prefix", "id", "n_tokens").agg(F.sum(f).alias("f"))
-        found = checkpoint(found)
-        d = found.groupBy("prefix").agg(F.count("*").alias("d"))
-        idf = F.greatest(F.log((F.lit(n) - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(1e-6))
-        x, long = F.col("f"), F.col("n_tokens") / F.lit(total / n if n else 1.0)
-        c = idf * x * (K1 + 1) / (x + K1 * (1 - B + B * long))
-        # rows of like lengths, whose largest contributions are alike
-        length = F.floor(F.log2(F.col("n_tokens") + F.lit(1.0)) * 4)
-        block = F.xxhash64(length, F.pmod(F.xxhash64("id"), F.lit(max(1, n // (16 * BLOCK)))))
-        return checkpoint(found.join(d, "prefix").select("prefix", "id", block.alias("block"), c.alias("c")))
+        found = self.postings().join(words.select("p", "term").distinct(), ["p", "term"]).groupBy("id", "n_tokens").agg(F.collect_list(F.struct("term", f.alias("f"))).alias("x"))
+        return found.select("id", "n_tokens", F.col("x.term").alias("terms"), F.col("x.f").alias("f"))
 
     def retrieve(self, tasks: DataFrame, k: int, weights: Mapping[str, float]) -> DataFrame:
         """task, rank (from 1), id, score (negative, the smaller the better): the k best rows for each task (task, terms: an array of different prefixes).
 
-        Rows are bounded in blocks: no row of a block scores more for a task than the sum of the block's largest contributions of the
-        task's prefixes. Each task scores its FIRST best blocks; the k-th score there is a bar, and of the other
-        blocks only those are scored that may reach it. Ties go to the smaller id; scores are rounded to PLACES.
+        The postings of the tasks' terms are gathered by row once, and all tasks are scored as these rows pass by (batch.retrieve).
         """
-        words = checkpoint(tasks.select("task", F.explode("terms").alias("prefix")).distinct())
-        c = self.contributions(words.select("prefix").distinct(), weights)
-        tops = c.groupBy("prefix", "block").agg(F.max("c").alias("most"))
-        # rounding may lift a score a little
-        bounds = words.join(tops, "prefix").groupBy("task", "block").agg((F.sum("most") + 2 * 10.0**-PLACES).alias("bound"))
-        best = Window.partitionBy("task").orderBy(F.desc("bound"), "block")
-        bounds = checkpoint(bounds.withColumn("place", F.row_number().over(best)))
-
-        def scored(some: DataFrame) -> DataFrame:
-            pairs = words.join(some.select("task", "block"), "task").join(c, ["prefix", "block"])
-            ranked = pairs.groupBy("task", "id").agg(F.round(F.sum("c"), PLACES).alias("s"))
-            order = Window.partitionBy("task").orderBy(F.desc("s"), "id")
-            return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-        first = checkpoint(scored(bounds.filter(F.col("place") <= FIRST)))
-        bar = first.filter(F.col("rank") == k).select("task", F.col("s").alias("bar"))
-        rest = bounds.filter(F.col("place") > FIRST).join(bar, "task", "left").filter("bar is null or bound >= bar")
-        both = first.unionByName(scored(rest)).drop("rank")
-        order = Window.partitionBy("task").orderBy(F.desc("s"), "id")
-        out = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        return out.select("task", "rank", "id", (-F.col("s")).alias("score"))
+        prefixes = tasks.select(F.explode("terms").alias("prefix")).distinct()
+        rows = checkpoint(self.vectors(prefixes, weights))
+        return batch.retrieve(rows, tasks, k, PLACES, BLOCK, FIRST, self.size())
