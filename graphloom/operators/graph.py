@@ -169,7 +169,11 @@ def resolve(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None)
     else:
         i = imports.select("file_path", F.col("imported_path").alias("path")).distinct()
         asked = r.select("class", "name", "file_path").distinct()
-        met = asked.join(i, "file_path").join(cand, ["class", "name", "path"]).groupBy("class", "name", "file_path").agg(*counted("imp"))
+        # counted by file before they meet those who import it
+        ways, parts = ("imp", "imp_exp"), ("n", "lo", "hi")
+        by_path = cand.groupBy("class", "name", "path").agg(*counted("imp")).select("class", "name", "path", *[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ways for x in parts])
+        met = asked.join(i, "file_path").join(by_path, ["class", "name", "path"]).groupBy("class", "name", "file_path")
+        met = met.agg(*[F.struct(F.sum(f"{c}_n").alias("n"), F.min(f"{c}_lo").alias("lo"), F.max(f"{c}_hi").alias("hi")).alias(c) for c in ways])
         r = r.join(met, ["class", "name", "file_path"], "left")
         r = r.join(i.select("file_path", F.col("path").alias("own_path"), F.lit(True).alias("own_imported")), ["file_path", "own_path"], "left")
 
@@ -202,13 +206,17 @@ def framework_first(base: DataFrame, framework: DataFrame) -> DataFrame:
 
 
 def route_targets(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Handlers named by routes: the only one in the same file, else the only one at all."""
-    cand = nodes.filter(F.col("kind").isin("function", "method")).select(F.col("id").alias("target"), "name", F.col("file_path").alias("target_path"))
-    met = refs.join(cand, refs["reference_name"] == cand["name"])
-    same = F.col("file_path") == F.col("target_path")
+    """Handlers named by routes: the only one in the same file, else the only one at all.
+
+    Handlers are counted by name, and by name and file, first, so that a route meets one row of each, however many bear its name.
+    """
+    cand = nodes.filter(F.col("kind").isin("function", "method")).filter("name is not null")
+    bearers = lambda n, name, *by: cand.groupBy(F.col("name").alias("reference_name"), *by).agg(F.count("*").alias(n), F.max("id").alias(name))
+    met = refs.select("ref_id", "reference_name", "file_path").join(bearers("n", "any"), "reference_name")
+    met = met.join(bearers("n_own", "own", "file_path"), ["reference_name", "file_path"], "left")
     picked = met.groupBy("ref_id").agg(
-        F.when(F.count(F.when(same, 1)) == 1, F.max(F.when(same, F.col("target")))).alias("own"),
-        F.when(F.count("*") == 1, F.max("target")).alias("any"),
+        F.when(F.sum("n_own") == 1, F.max("own")).alias("own"),
+        F.when(F.sum("n") == 1, F.max("any")).alias("any"),
     )
     return picked.select("ref_id", F.coalesce("own", "any").alias("target")).filter("target is not null")
 

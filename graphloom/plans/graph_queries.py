@@ -136,9 +136,10 @@ def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = bridge.table(spark, sf_dir, "part")
-    a, b = p.select("p_size", "p_type", F.col("p_name").alias("n1"), F.col("p_brand").alias("b1")), p.select("p_size", "p_type", F.col("p_name").alias("n2"), F.col("p_brand").alias("b2"))
-    j = a.join(b, ["p_size", "p_type"]).filter("n1 < n2")
+    """A brand imports another if some name of it comes before one of the other's, among parts of one size and type: then its least one before the other's greatest."""
+    p = bridge.table(spark, sf_dir, "part").groupBy("p_size", "p_type", "p_brand").agg(F.min("p_name").alias("least"), F.max("p_name").alias("most"))
+    a, b = p.select("p_size", "p_type", "least", F.col("p_brand").alias("b1")), p.select("p_size", "p_type", "most", F.col("p_brand").alias("b2"))
+    j = a.join(b, ["p_size", "p_type"]).filter("least < most")
     return j.select(F.concat(F.lit("brand/"), "b1").alias("file_path"), F.concat(F.lit("brand/"), "b2").alias("imported_path")).distinct()
 
 
