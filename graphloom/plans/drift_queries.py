@@ -216,7 +216,8 @@ def issues_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def range_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user in the fifty hours after each sign-up."""
-    log = bridge.log(spark, sf_dir).withColumn("at", F.floor(F.unix_timestamp(F.col("at").cast("timestamp")) / 600))
+    # seconds are rounded, as SQL's cast rounds them, before they are put into units of ten minutes
+    log = bridge.log(spark, sf_dir).withColumn("at", F.floor(F.rint(F.unix_micros(F.col("at").cast("timestamp")) / 1_000_000) / 600))
     tokens = log.filter("kind != 'signup'").select(F.col("user_id").alias("file"), "at", F.col("at").alias("until"))
     ranges = log.filter("kind = 'signup'").select(F.col("event_id").alias("id"), F.col("user_id").alias("file"), F.col("at").alias("start"), (F.col("at") + 300).alias("end"))
     return composite.contained(tokens, ranges).groupBy("id").agg(F.count("*").alias("n"))
