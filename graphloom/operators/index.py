@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +14,34 @@ from ..functions.store import Versions, checkpoint
 from ..functions.text import tokens
 from . import batch
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Partitions that rows are dealt out to at most, and rows whose tokens are counted together.
+DEALT, ROWS = 200, 256
 #: Rows that are scored together, and blocks of them after which each task keeps its best.
 BLOCK, FIRST = 256, 2
 #: Scores count to so many places, so that the order in which terms are added up doesn't matter.
 PLACES = 9
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, id, n_tokens and the term's hits in each column, of rows with id and each column's tokens."""
+    for batch in batches:
+        for part in (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS)):
+            ids, columns = part.column(0).to_pylist(), [c.to_pylist() for c in part.columns[1:]]
+            out: list[tuple] = []
+            for i, row in zip(ids, zip(*columns, strict=True), strict=True):
+                hits: dict[str, list[int]] = {}
+                for at, terms in enumerate(row):
+                    for t in terms:
+                        hits.setdefault(t, [0] * len(row))[at] += 1
+                n = sum(map(len, row))
+                out += [(t, i, n, *h) for t, h in hits.items()]
+            names = ["term", "id", "n_tokens", *[f"h_{c.removeprefix('t_')}" for c in part.schema.names[1:]]]
+            kinds = [pa.string(), pa.string()] + [pa.int32()] * (1 + len(columns))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=names)
+
+
 class Index:
     """Postings of rows (id and text columns) in the folder path, in versions.
 
@@ -31,13 +56,12 @@ class Index:
         self.now = self.versions.current()
 
     def _parts(self, rows: DataFrame) -> dict[str, DataFrame]:
-        """What is written of rows."""
-        base = rows.select(F.col("id").cast("string").alias("id"), *[tokens(F.col(c)).alias(f"t_{c}") for c in self.columns])
-        from_column = lambda c: F.transform(f"t_{c}", lambda t: F.struct(t.alias("term"), F.lit(c).alias("at")))
-        every = F.flatten(F.array(*map(from_column, self.columns)))
+        """What is written of rows, which are dealt out by id first: a small file may hold very many, whose postings no task should hold at once."""
+        dealt = min(DEALT, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        base = rows.select(F.col("id").cast("string").alias("key"), *self.columns).repartition(dealt, "key")
+        base = base.select(F.col("key").alias("id"), *[tokens(F.col(c)).alias(f"t_{c}") for c in self.columns])
+        found = base.mapInArrow(_counted, self._schema("postings").removesuffix(", p string"))
         base = base.withColumn("n_tokens", sum((F.size(f"t_{c}") for c in self.columns), F.lit(0)))
-        found = base.select("id", "n_tokens", F.explode(every).alias("x")).groupBy("x.term", "id", "n_tokens")
-        found = found.agg(*[F.count(F.when(F.col("x.at") == c, 1)).cast("int").alias(f"h_{c}") for c in self.columns])
         found = checkpoint(found.withColumn("p", F.substring("term", 1, 2)))
         return {
             "postings": found.repartitionByRange("p", "term", "id").sortWithinPartitions("p", "term", "id"),
