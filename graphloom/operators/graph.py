@@ -80,14 +80,19 @@ def impact(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
 
     Every root has its own visited set, which holds the root: a root may be
     affected by another. One join a level; the level joins only what was new, and is
-    written out where another level follows.
+    written out where another level follows. Calls are taken once after they are joined, so that those of the
+    first level are shuffled by their target alone.
     """
-    calls = edges.filter("kind = 'calls'").select(F.col("target").alias("id"), F.col("source").alias("caller")).distinct()
-    level = roots.select(F.col("id").alias("root"), "id").distinct()
-    seen = level.withColumn("depth", F.lit(0))
+    calls = edges.filter("kind = 'calls'").select(F.col("target").alias("id"), F.col("source").alias("caller"))
+    level = roots.select("id").distinct()
+    seen = level.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
-        nxt = level.join(calls, "id").select("root", F.col("caller").alias("id")).distinct()
-        level = nxt.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        if d == 1:
+            nxt = calls.join(level, "id", "left_semi").select(F.col("id").alias("root"), F.col("caller").alias("id"))
+            level = nxt.filter("root != id").distinct()
+        else:
+            nxt = level.join(calls, "id").select("root", F.col("caller").alias("id")).distinct()
+            level = nxt.join(seen.select("root", "id"), ["root", "id"], "left_anti")
         level = checkpoint(level) if d < depth else level
         seen = seen.unionByName(level.withColumn("depth", F.lit(d)))
     return seen.filter("depth > 0")
@@ -101,15 +106,18 @@ def merged_impact(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, cap: int | None = None) -> DataFrame:
     """Rows (seed, id, relation): callers and callees one step away, at most cap of each."""
-    c = edges.filter("kind = 'calls'").select("source", "target").distinct()
+    c = edges.filter("kind = 'calls'")
     s = seeds.select(F.col("id").alias("seed")).distinct()
-    up = c.join(s, c["target"] == s["seed"]).select("seed", F.col("source").alias("id"), F.lit("caller").alias("relation"))
-    down = c.join(s, c["source"] == s["seed"]).select("seed", F.col("target").alias("id"), F.lit("callee").alias("relation"))
-    out = up.unionByName(down)
-    if cap is None:
-        return out
-    w = Window.partitionBy("seed", "relation").orderBy("id")
-    return out.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).drop("_n")
+
+    def near(seed: str, other: str, relation: str) -> DataFrame:
+        """Joined, taken once and cut by seed, so that one shuffle serves all three."""
+        met = c.select(F.col(seed).alias("seed"), F.col(other).alias("id")).join(s, "seed", "left_semi").distinct()
+        if cap is not None:
+            w = Window.partitionBy("seed").orderBy("id")
+            met = met.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).drop("_n")
+        return met.withColumn("relation", F.lit(relation))
+
+    return near("target", "source", "caller").unionByName(near("source", "target", "callee"))
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
