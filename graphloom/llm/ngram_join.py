@@ -72,6 +72,8 @@ COMMON = 256
 MOST_COMMON = 1 << 20
 #: Edges up to this number are broadcast in the rounds that find components (16 bytes each); beyond it they are shuffled.
 BROADCAST_EDGES = 500_000
+#: So many of them are for one task, which joins what they join; the rounds join what the tasks found.
+TASK_EDGES = 50_000
 #: A set of numbers is broadcast as a bit set of about 16 bits each and of at most so many 64-bit words, 64 MB. Beyond that more
 #: numbers pass for members than are; what uses the sets gives the same result for any superset.
 BIT_WORDS = 1 << 23
@@ -199,7 +201,7 @@ def _bits_of(x: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
 def bit_set(numbers: DataFrame):
     """A broadcast bit set of a column of longs: all of these are members, of other numbers a few per cent, see BIT_WORDS."""
     words = 1 << 8
-    n = numbers.count()
+    n = numbers.agg(F.approx_count_distinct(numbers.columns[0])).first()[0]
     while words < BIT_WORDS and words * 4 < n:
         words *= 2
 
@@ -551,12 +553,12 @@ def _squares(all_pairs: bool):
 
 
 def large_block_pairs(member: DataFrame, info: DataFrame, all_pairs: bool) -> tuple[DataFrame, DataFrame]:
-    """Candidates (a, b, ra, rb) among the members (block, cls, comp) of large blocks, and the blocks that aren't done with these."""
-    sizes = member.groupBy("block").agg(F.count("*").alias("size")).select("block", F.ceil(F.col("size") / CHUNK).cast("int").alias("cuts"), "size")
+    """Candidates (a, b, ra, rb) among the members (block, cls, comp, size, the block's) of large blocks, and the blocks that
+    aren't done with these."""
     # each member goes to one of size / CHUNK cuts of its block, and each cut meets each
-    sizes = checkpoint(sizes)
-    rows_met = sizes.agg(F.coalesce(F.sum(F.col("size") * F.col("cuts")), F.lit(0))).first()[0]
-    m = member.join(sizes.select("block", "cuts"), "block").withColumn("cut", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int"))
+    m = member.withColumn("cuts", F.ceil(F.col("size") / CHUNK).cast("int"))
+    rows_met = m.agg(F.coalesce(F.sum("cuts"), F.lit(0))).first()[0]
+    m = m.withColumn("cut", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     square = F.xxhash64("block", F.least("cut", "other"), F.greatest("cut", "other"))
     m = m.select(square.alias("square"), "block", "cls", "comp").join(info, "cls")
@@ -588,7 +590,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     ends = F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("ra").alias("id")), F.struct(F.col("b").alias("cls"), F.col("rb").alias("id"))))
     want = pairs.select("ra", "rb", ends.alias("e")).select("ra", "rb", "e.cls", "e.id")
-    wanted = bit_set(want.select("id").distinct())
+    wanted = bit_set(want.select("id"))
     sets = docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(_arrays(wanted), "id long, cls long, s array<long>")
     # each pair has two sets, and they differ
     both = want.join(sets, ["id", "cls"]).groupBy("ra", "rb").agg(F.min("s").alias("x"), F.max("s").alias("y"))
@@ -596,18 +598,48 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * PER_CENT).select("ra", "rb")
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of edges (u, v), and for each the smallest node that it reaches, where that is another."""
+    nodes, at = np.unique(np.r_[u, v], return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    least = np.arange(len(nodes))
+    while (least[x] != least[y]).any():
+        low = np.minimum(least[x], least[y])
+        for end in (least[x], least[y]):
+            np.minimum.at(least, end, low)
+        while (least[least] != least).any():
+            least = least[least]
+    moved = least != np.arange(len(nodes))
+    return nodes[moved], nodes[least[moved]]
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges of a task with the same components, from each node to the smallest; BROADCAST_EDGES are taken together."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf.to_numpy(dtype=np.int64))
+        n += len(pdf)
+        if n > BROADCAST_EDGES:
+            yield pd.DataFrame(np.stack(stars(*np.concatenate(held).T), axis=1), columns=["u", "v"])
+            held, n = [], 0
+    if held:
+        yield pd.DataFrame(np.stack(stars(*np.concatenate(held).T), axis=1), columns=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node that it reaches) for the nodes of edges (ra, rb).
+    """node, comp (the smallest node that it reaches) for the nodes of edges (ra, rb) that aren't the smallest.
 
-    Up to BROADCAST_EDGES edges the least neighbours are broadcast and few tasks read
+    Each task first joins what its own edges join, so that rounds are needed only where there are several tasks. Up to
+    BROADCAST_EDGES edges the least neighbours, and the result, are broadcast and few tasks read
     the edges; beyond it both sides are shuffled.
     """
-    e = checkpoint(edges.select(F.greatest("ra", "rb").alias("u"), F.least("ra", "rb").alias("v")).filter("u != v").distinct())
-    told, n = None, e.count()
-    while True:
-        few = n <= BROADCAST_EDGES
+    e = checkpoint(edges.select(F.greatest("ra", "rb").alias("u"), F.least("ra", "rb").alias("v")).filter("u != v"))
+    n = e.count()
+    few = n <= BROADCAST_EDGES
+    e = checkpoint((e.coalesce(1 + n // TASK_EDGES) if few else e).mapInPandas(_stars, "u long, v long"))
+    told, done = None, few and n < TASK_EDGES
+    while not done:
         near = F.broadcast if few else lambda df: df
-        e = e.coalesce(1 + n // 50_000) if few else e
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours go to the least neighbour
@@ -616,11 +648,15 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours, and the node itself, go to the least one
         least = e1.groupBy("u").agg(F.min("v").alias("m"))
         e2 = e1.join(near(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v")).filter("u != v").distinct()
-        e = checkpoint(e2.coalesce(1 + n // 50_000) if few else e2)
+        e = checkpoint(e2.coalesce(1 + n // TASK_EDGES) if few else e2)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == told:
-            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
+            e = e.groupBy("u").agg(F.min("v").alias("v"))
+            done = True
         told, n = now, now[0]
+        few = n <= BROADCAST_EDGES
+    e = e.toDF("node", "comp")
+    return F.broadcast(e) if few else e
 
 
 def _again(groups: int, common, wanted, names):
@@ -656,13 +692,18 @@ def mixed(rows: DataFrame) -> DataFrame:
     return rows.join(split.filter("lo != hi").select("block", "size", "least"), "block")
 
 
-def missed_edges(docs: DataFrame, rows: DataFrame, info: DataFrame, met: DataFrame, edges: DataFrame, comp: DataFrame, groups: int, common) -> tuple[DataFrame, DataFrame]:
-    """edges and components, with the links of pairs that have only large blocks in common."""
+def joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components with further edges (ra, rb)."""
+    return components(comp.toDF("ra", "rb").union(edges))
+
+
+def missed_edges(docs: DataFrame, rows: DataFrame, info: DataFrame, met: DataFrame, comp: DataFrame, groups: int, common) -> DataFrame:
+    """Components with the links of pairs that have only large blocks in common."""
     counts = met.filter(F.col("kind") == LARGE).groupBy(F.col("a").alias("cls"))
     counts = counts.agg(F.sum(F.shiftright("b", 3)).alias("k"), F.min(F.col("b").bitwiseAND(7)).alias("least")).filter("k > least")
     again = checkpoint(counts.select("cls").join(info.select("cls", "rep"), "cls"))
-    if again.isEmpty():
-        return edges, comp
+    if not again.take(1):
+        return comp
     wanted = bit_set(again.select("rep"))
     names = bit_set(met.filter(F.col("kind") == NAME).select("a"))
     given = rows.filter("doc_id is not null").mapInPandas(_again(groups, common, wanted, names), "rep long, cls long, block long, slack int, n long, sketch binary")
@@ -675,8 +716,7 @@ def missed_edges(docs: DataFrame, rows: DataFrame, info: DataFrame, met: DataFra
     small = blocks.filter(F.col("size") <= SMALL).select("block", "cls", "comp")
     other = small.toDF("block", "b", "comp_b")
     pairs = small.withColumnRenamed("cls", "a").join(other, "block").filter("a < b and comp != comp_b").select("a", "b").distinct()
-    edges = checkpoint(edges.union(verified(docs, checkpoint(near(pairs, info)))))
-    comp = components(edges)
+    comp = joined(comp, verified(docs, checkpoint(near(pairs, info))))
 
     large = blocks.filter(F.col("size") > SMALL)
     for step in ("largest", "forest", "all"):
@@ -692,18 +732,17 @@ def missed_edges(docs: DataFrame, rows: DataFrame, info: DataFrame, met: DataFra
             live = live.withColumn("place", F.row_number().over(of_class.orderBy(F.desc("size"), "block"))).filter("place > floor")
             member = mixed(live.select("block", "cls", "rep", "slack", "comp"))
         member = checkpoint(member.select("block", "cls", "rep", "slack", "comp", "size"))
-        if member.isEmpty():
+        if not member.take(1):
             break
         some = member
         if step == "largest":
             # first each in one block only, so that a group of near copies meets once and not in each of its blocks
-            one = member.groupBy("cls").agg(F.max_by("block", F.struct("size", "block")).alias("block"))
-            some = member.join(one, ["cls", "block"], "left_semi")
-        more, left = large_block_pairs(some.select("block", "cls", "comp"), info, step == "all")
-        if not more.isEmpty():
-            edges = checkpoint(edges.union(verified(docs, more)))
-            comp = components(edges)
-    return edges, comp
+            some = member.withColumn("one", F.max(F.struct("size", "block")).over(of_class)).filter("block = one.block").select("block", "cls", "comp")
+            some = checkpoint(some.join(some.groupBy("block").agg(F.count("*").alias("size")), "block"))
+        more, left = large_block_pairs(some.select("block", "cls", "comp", "size"), info, step == "all")
+        if more.take(1):
+            comp = joined(comp, verified(docs, more))
+    return comp
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -735,9 +774,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     met = checkpoint(packed.groupBy("p").applyInPandas(_meet, "kind int, a long, b long"))
 
     pairs = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
-    edges = checkpoint(verified(docs, checkpoint(near(pairs, info))))
-    comp = components(edges)
-    edges, comp = missed_edges(docs, rows, info, met, edges, comp, groups, shared)
+    comp = components(verified(docs, checkpoint(near(pairs, info))))
+    comp = missed_edges(docs, rows, info, met, comp, groups, shared)
 
     # classes first, which are joined with the documents once
     of_class = classes.select("d1", "d2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")

@@ -129,6 +129,43 @@ def test_components_against_all_pairs(spark, seed, small):
     assert kept == {i for i in range(len(texts)) if want[i] == i}
 
 
+@pytest.mark.parametrize("most,share", [(500_000, 50_000), (500_000, 30), (40, 30), (0, 30)])
+def test_components_of_edges(spark, most, share):
+    rng = random.Random(7)
+    ids = [rng.randrange(1 << 62) for _ in range(150)]
+    edges = [(ids[i], ids[i + 1]) for i in range(60)] + [(ids[70], ids[i]) for i in range(71, 100)]
+    edges += [tuple(rng.sample(ids[100:], 2)) for _ in range(40)] + [(ids[0], ids[0]), (ids[1], ids[0])]
+    rng.shuffle(edges)
+    least = {i: i for i in ids}
+    for _ in ids:
+        for x, y in edges:
+            least[x] = least[y] = min(least[x], least[y])
+    old = ngram_join.BROADCAST_EDGES, ngram_join.TASK_EDGES
+    ngram_join.BROADCAST_EDGES, ngram_join.TASK_EDGES = most, share
+    try:
+        df = spark.createDataFrame(edges, "ra long, rb long").repartition(6)
+        got = [(r["node"], r["comp"]) for r in ngram_join.components(df).collect()]
+        none = ngram_join.components(df.limit(0)).collect()
+    finally:
+        ngram_join.BROADCAST_EDGES, ngram_join.TASK_EDGES = old
+    assert sorted(got) == sorted((i, c) for i, c in least.items() if i != c)
+    assert none == []
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """The driver keeps something of each job and plan; one for each round was too much for it where edges come again and again."""
+    df = ngram_join.checkpoint(spark.createDataFrame([(i, i + 1) for i in range(200)], "ra long, rb long").repartition(6))
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "few edges")
+    try:
+        comp = ngram_join.components(df)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["comp"] for r in comp.collect()} == {0}
+    assert jobs <= 8
+
+
 def test_degenerate_tables(spark):
     df = docs(spark, ["a b c d e f", "a b c d e f", None])
     assert ngram_join.similarity_components(df.limit(0)).count() == 0
