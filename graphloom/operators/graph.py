@@ -149,10 +149,12 @@ def resolve(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None)
     Nodes are counted by name first, for all kinds of reference that may bind to them, so that a
     reference meets a row for its name and one for its file, however many nodes bear the name.
     """
-    classes = F.array(F.lit("any"), *[F.when(F.col("kind").isin(*kinds), F.lit(k)) for k, kinds in ALLOWED_TARGETS.items()])
-    cand = nodes.filter("kind != 'file'").select(
-        F.explode(F.array_compact(classes)).alias("class"), "name", F.col("file_path").alias("path"), F.col("id").alias("target"), "is_exported", "ord"
-    )
+    known = sorted({k for kinds in ALLOWED_TARGETS.values() for k in kinds})
+    classes = [("any", k) for k in [*known, "other"]] + [(c, k) for c, kinds in ALLOWED_TARGETS.items() for k in kinds]
+    # joined and not exploded: Spark 4.1 loses a column beside an explode of what it finds to be constant, as where all nodes are of one kind
+    of_kind = nodes.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(map(str, classes))} AS v(class, bound_kind)")
+    cand = nodes.filter("kind != 'file'").withColumn("bound_kind", F.when(F.col("kind").isin(*known), F.col("kind")).otherwise("other"))
+    cand = cand.join(F.broadcast(of_kind), "bound_kind").select("class", "name", F.col("file_path").alias("path"), F.col("id").alias("target"), "is_exported", "ord")
 
     def counted(prefix: str) -> list[Column]:
         exported = F.when(F.col("is_exported"), F.col("target"))
