@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,6 +105,30 @@ def merged_impact(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return found.groupBy(*by, "id").agg(best.alias("b")).select(*by, "id", F.col("b.depth").alias("depth"), F.col("b.root").alias("root"))
 
 
+def nearest_roots(edges: DataFrame, roots: DataFrame, depth: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """merged_impact of impact, each group of roots (by..., id) by itself, without a row for each root that affects a node.
+
+    A level holds, for each group and node, the two least roots that reach it in so many steps: two, as a root that
+    comes back to itself does not count there. No visited set is needed, as the smallest depth wins. A level is shuffled by
+    the node alone, which serves its cut, the next level's join, and the merge; calls are shuffled by their target, once for all levels.
+    """
+    calls = edges.filter("kind = 'calls' and source is not null and target is not null").select(F.col("target").alias("id"), F.col("source").alias("caller"))
+    level = roots.filter("id is not null").select(*by, "id", F.col("id").alias("root"))
+    # ids begin alike, so that their hash, made after a shuffle, sorts them faster
+    place = F.xxhash64("id").alias("_h")
+    least = Window.partitionBy("_h", *by, "id").orderBy("root")
+    found = []
+    for d in range(1, depth + 1):
+        level = calls.join(level, "id").select(*by, F.col("caller").alias("id"), "root").repartition("id").select("*", place)
+        found.append(level.withColumn("depth", F.lit(d)))
+        # in one sort: the first row of each root, and of these two
+        level = level.withColumn("_last", F.lag("root").over(least)).filter("_last is null or _last != root")
+        level = level.withColumn("_n", F.row_number().over(least)).filter("_n <= 2").select(*by, "id", "root")
+    best = F.min(F.when(F.col("root") != F.col("id"), F.struct("depth", "root"))).alias("b")
+    merged = reduce(DataFrame.unionByName, found).groupBy("_h", *by, "id").agg(best).filter("b is not null")
+    return merged.select(*by, "id", F.col("b.depth").alias("depth"), F.col("b.root").alias("root"))
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, cap: int | None = None) -> DataFrame:
     """Rows (seed, id, relation): callers and callees one step away, at most cap of each."""
     c = edges.filter("kind = 'calls'")

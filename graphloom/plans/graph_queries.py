@@ -101,9 +101,8 @@ def impact_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def impact_multi_root_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a change of each brand's file affects: all its parts are roots; least depth, first root."""
-    found = graph.impact(bridge.edges(spark, sf_dir), bridge.parts(spark, sf_dir), 2)
-    brand = bridge.table(spark, sf_dir, "part").select(bridge.key("function:p", "p_partkey").alias("root"), F.col("p_brand").alias("brand"))
-    return graph.merged_impact(found.join(brand, "root"), ["brand"])
+    parts = bridge.table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), bridge.key("function:p", "p_partkey").alias("id"))
+    return graph.nearest_roots(bridge.edges(spark, sf_dir), parts, 2, ["brand"])
 
 
 @query(
