@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -105,28 +105,43 @@ def merged_impact(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return found.groupBy(*by, "id").agg(best.alias("b")).select(*by, "id", F.col("b.depth").alias("depth"), F.col("b.root").alias("root"))
 
 
-def nearest_roots(edges: DataFrame, roots: DataFrame, depth: int = 2, by: Sequence[str] = ()) -> DataFrame:
-    """merged_impact of impact, each group of roots (by..., id) by itself, without a row for each root that affects a node.
+def nearest_roots(calls: Mapping[tuple[str, str], DataFrame], kind: str, roots: DataFrame, depth: int = 2, by: Sequence[str] = (), name: Callable[[Column], Column] = lambda r: r) -> dict[str, DataFrame]:
+    """by..., id, depth, root for each kind of node: merged_impact of impact, each group of roots by itself, without a row for each root that affects a node.
 
-    A level holds, for each group and node, the two least roots that reach it in so many steps: two, as a root that
-    comes back to itself does not count there. No visited set is needed, as the smallest depth wins. A level is shuffled by
-    the node alone, which serves its cut, the next level's join, and the merge; calls are shuffled by their target, once for all levels.
+    calls: id, caller for each kind that is called and kind that calls it. roots: by..., id of nodes of that kind. Ids need be
+    unique in their kind only, and may be numbers, which are shuffled in fewer bytes than names; name(id) is
+    a root's name, by which the first is found.
+
+    A level holds the least root that reaches a node in so many steps, for each group; the two least where roots' kind
+    calls, too, as a root that comes back to itself does not count there. No visited set is needed, as the smallest depth wins. A level is
+    shuffled by the node alone, which serves its cut, the next level's join, and the merge.
     """
-    calls = edges.filter("kind = 'calls' and source is not null and target is not null").select(F.col("target").alias("id"), F.col("source").alias("caller"))
-    level = roots.filter("id is not null").select(*by, "id", F.col("id").alias("root"))
-    # ids begin alike, so that their hash, made after a shuffle, sorts them faster
-    place = F.xxhash64("id").alias("_h")
-    least = Window.partitionBy("_h", *by, "id").orderBy("root")
-    found = []
+    calls = {ends: c.filter("id is not null and caller is not null") for ends, c in calls.items()}
+    level = {kind: roots.filter("id is not null").select(*by, "id", F.col("id").alias("root"))}
+    again = any(far == kind for _, far in calls)
+    least = Window.partitionBy("id", *by).orderBy("_name")
+    found: dict[str, list[DataFrame]] = {}
     for d in range(1, depth + 1):
-        level = calls.join(level, "id").select(*by, F.col("caller").alias("id"), "root").repartition("id").select("*", place)
-        found.append(level.withColumn("depth", F.lit(d)))
-        # in one sort: the first row of each root, and of these two
-        level = level.withColumn("_last", F.lag("root").over(least)).filter("_last is null or _last != root")
-        level = level.withColumn("_n", F.row_number().over(least)).filter("_n <= 2").select(*by, "id", "root")
-    best = F.min(F.when(F.col("root") != F.col("id"), F.struct("depth", "root"))).alias("b")
-    merged = reduce(DataFrame.unionByName, found).groupBy("_h", *by, "id").agg(best).filter("b is not null")
-    return merged.select(*by, "id", F.col("b.depth").alias("depth"), F.col("b.root").alias("root"))
+        met: dict[str, list[DataFrame]] = {}
+        for (near, far), c in calls.items():
+            if near in level:
+                met.setdefault(far, []).append(c.join(level[near], "id").select(*by, F.col("caller").alias("id"), "root"))
+        level = {}
+        for k, parts in met.items():
+            rows = reduce(DataFrame.unionByName, parts).repartition("id").withColumn("_name", name(F.col("root")))
+            found.setdefault(k, []).append(rows.withColumn("depth", F.lit(d)))
+            if again:
+                # the first row of each root, and of these two, in one sort
+                rows = rows.withColumn("_last", F.lag("_name").over(least)).filter("_last is null or _last != _name")
+            level[k] = rows.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= 1 + again).select(*by, "id", "root")
+
+    def merged(k: str, parts: list[DataFrame]) -> DataFrame:
+        best = F.struct("depth", F.col("_name").alias("root"))
+        best = F.min(F.when(F.col("root") != F.col("id"), best) if k == kind else best).alias("b")
+        rows = reduce(DataFrame.unionByName, parts).groupBy("id", *by).agg(best).filter("b is not null")
+        return rows.select(*by, "id", F.col("b.depth").alias("depth"), F.col("b.root").alias("root"))
+
+    return {k: merged(k, parts) for k, parts in found.items()}
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, cap: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,8 +103,9 @@ def impact_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def impact_multi_root_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a change of each brand's file affects: all its parts are roots; least depth, first root."""
-    parts = bridge.table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), bridge.key("function:p", "p_partkey").alias("id"))
-    return graph.nearest_roots(bridge.edges(spark, sf_dir), parts, 2, ["brand"])
+    parts = bridge.table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"))
+    found = graph.nearest_roots(bridge.calls(spark, sf_dir), "function:p", parts, 2, ["brand"], lambda r: F.concat(F.lit("function:p"), r.cast("string")))
+    return reduce(DataFrame.unionByName, [rows.withColumn("id", bridge.key(kind, "id")) for kind, rows in found.items()])
 
 
 @query(

@@ -57,8 +57,19 @@ def test_nearest_roots_are_those_of_a_merged_impact(spark):
         roots = spark.createDataFrame(groups, "g string, id string")
         found = graph.impact(e, roots, 3).join(roots.withColumnRenamed("id", "root"), "root")
         want = {tuple(r) for r in graph.merged_impact(found, ["g"]).collect()}
-        got = [tuple(r) for r in graph.nearest_roots(e, roots, 3, ["g"]).collect()]
+        calls = e.select(F.col("target").alias("id"), F.col("source").alias("caller"))
+        got = [tuple(r) for r in graph.nearest_roots({("n", "n"): calls}, "n", roots, 3, ["g"])["n"].collect()]
         assert set(got) == want and len(got) == len(want) and len(want) > 9
+        # the same with nodes of two kinds, whose numbers are the same, and roots of one
+        number = lambda c: F.floor(F.substring(c, 2, 9).cast("int") / 2)
+        kind = lambda c, k: F.substring(c, 2, 9).cast("int") % 2 == k
+        of = {(f"k{a}", f"k{b}"): calls.filter(kind("id", a) & kind("caller", b)).select(number("id").alias("id"), number("caller").alias("caller")) for a in (0, 1) for b in (0, 1)}
+        even = roots.filter(kind("id", 0))
+        found = graph.impact(e, even, 3).join(even.withColumnRenamed("id", "root"), "root")
+        want = {tuple(r) for r in graph.merged_impact(found, ["g"]).collect()}
+        by_kind = graph.nearest_roots(of, "k0", even.select("g", number("id").alias("id")), 3, ["g"], lambda r: F.concat(F.lit("n"), (r * 2).cast("string")))
+        got = [(r["g"], f"n{2 * r['id'] + int(k[1])}", r["depth"], r["root"]) for k, rows in by_kind.items() for r in rows.collect()]
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_upsert_and_delete(spark):
